@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality_rules, sharding
+from tidemark.llm import mixing, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op5_sharding": sharding.op5_sharding,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLE_SQL = {
