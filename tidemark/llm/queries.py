@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, quality_rules, secret_scan, sharding
+from tidemark.llm import mixing, near_dedup, quality_rules, secret_scan, sharding
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_quality_rules": quality_rules.op7_quality_rules,

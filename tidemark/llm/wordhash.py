@@ -61,16 +61,21 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.starts)
-        if not n:
-            return np.empty(0, dtype=np.uint64)
         lengths = self.ends - self.starts
-        total = int(lengths.sum())
-        begin = np.cumsum(lengths) - lengths
-        inside = np.arange(total) - np.repeat(begin, lengths)
-        at = inside + np.repeat(self.starts, lengths)
-        values = _BYTE[self.data[at]] * powers(int(lengths.max()))[inside]
-        return mix(np.add.reduceat(values, begin) + lengths.astype(np.uint64))
+        out = np.empty(len(lengths), dtype=np.uint64)
+        filled = np.cumsum(lengths)
+        low = 0
+        while low < len(lengths):  # some thousands of words at a time: the arrays below are per byte
+            done = filled[low] - lengths[low]
+            high = max(low + 1, int(np.searchsorted(filled, done + (1 << 19))))
+            part = lengths[low:high]
+            begin = np.cumsum(part) - part
+            inside = np.arange(int(part.sum())) - np.repeat(begin, part)
+            at = inside + np.repeat(self.starts[low:high], part)
+            values = _BYTE[self.data[at]] * powers(int(part.max()))[inside]
+            out[low:high] = np.add.reduceat(values, begin) + part.astype(np.uint64)
+            low = high
+        return mix(out)
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
