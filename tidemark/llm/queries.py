@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, near_dedup, quality_rules, secret_scan, sharding
+from tidemark.llm import mixing, near_dedup, quality_rules, secret_scan, sharding, substring_dedup
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -10,8 +10,10 @@ QUERIES = {
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_mixing": mixing.op9_mixing,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLE_SQL = {
     "op7_quality_rules": quality_rules.oracle(),
+    "op10_substring_dedup": substring_dedup.ORACLE,
 }
