@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, near_dedup, quality_rules, secret_scan, sharding, substring_dedup
+from tidemark.llm import (
+    fingerprints,
+    mixing,
+    near_dedup,
+    packing,
+    quality_rules,
+    secret_scan,
+    sharding,
+    substring_dedup,
+)
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_sharding": sharding.op5_sharding,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
