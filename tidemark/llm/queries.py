@@ -11,10 +11,12 @@ from tidemark.llm import (
     secret_scan,
     sharding,
     substring_dedup,
+    toxicity,
 )
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_sharding": sharding.op5_sharding,
     "op6_secret_scan": secret_scan.op6_secret_scan,

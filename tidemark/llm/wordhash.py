@@ -89,12 +89,12 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> Words:
+def split_words(texts: pa.Array, lower: bool = False, separator: np.ndarray = SEPARATOR) -> Words:
     """Words of each text; `lower` maps A-Z to a-z and nothing else."""
     data, offsets = utf8(texts)
     if lower:
         data = ASCII_LOWER[data]
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     start, end = inside.copy(), inside.copy()
