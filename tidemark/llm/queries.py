@@ -7,6 +7,7 @@ from tidemark.llm import (
     mixing,
     near_dedup,
     packing,
+    pii,
     quality_rules,
     secret_scan,
     sharding,
@@ -17,6 +18,7 @@ from tidemark.llm import (
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_pii": pii.op3_pii,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_sharding": sharding.op5_sharding,
     "op6_secret_scan": secret_scan.op6_secret_scan,
