@@ -96,16 +96,16 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def _quotas(pdf: pd.DataFrame) -> pd.DataFrame:
-    """quota of each (size, salt) of one source; salts of a length are filled in order."""
-    pdf = pdf.sort_values(["size", "salt"], kind="stable")
-    lengths, first = np.unique(pdf["size"].to_numpy(), return_index=True)
+    """_quota of each (size, salt) of one source; salts of a length are filled in order."""
+    pdf = pdf.sort_values(["_size", "_salt"], kind="stable")
+    lengths, first = np.unique(pdf["_size"].to_numpy(), return_index=True)
     n = pdf["n"].to_numpy(dtype=np.int64)
     counts = np.add.reduceat(n, first)
     taken = fit(lengths, counts, int(pdf["budget"].iloc[0]))
     before = np.cumsum(n) - n
     before -= np.repeat(before[first], np.diff(np.append(first, len(n))))
     quota = np.clip(np.repeat(taken, np.diff(np.append(first, len(n)))) - before, 0, n)
-    return pdf.assign(quota=quota)[["source", "size", "salt", "quota"]]
+    return pdf.assign(_quota=quota)[["_source", "_size", "_salt", "_quota"]]
 
 
 def mix(
@@ -118,55 +118,47 @@ def mix(
     seed: int = SEED,
 ) -> DataFrame:
     """The given columns and size, source_size, target, copies: how often the mix takes each document."""
-    order = F.xxhash64(F.lit(seed), F.col(key), F.col("size"))
-    sized = df.withColumn("size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
-    sized = sized.withColumn("salt", F.pmod(order, F.lit(SALTS)).cast("int"))
-    histogram = sized.groupBy(F.col(source).alias("source"), "size", "salt").agg(F.count("*").alias("n"))
+    order = F.xxhash64(F.lit(seed), F.col(key), F.col("_size"))
+    # a null source gets a key of its own, so that one exchange serves the ranks and the join with quotas
+    sized = df.withColumns(
+        {
+            "_source": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")),
+            "_size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"),
+        }
+    ).withColumn("_salt", F.pmod(order, F.lit(SALTS)).cast("int"))
+    keys = ["_source", "_size", "_salt"]
+    histogram = sized.groupBy(*keys).agg(F.count("*").alias("n"))
     histogram = staged(histogram, "mixing-lengths")  # read twice: for totals and for quotas
-    totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect()
-    totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+    totals = histogram.groupBy("_source").agg(F.sum(F.col("_size") * F.col("n")).alias("total")).collect()
+    totals.sort(key=lambda r: (not r["_source"], r["_source"]))
     sizes = [r["total"] for r in totals]
     plan = []
     for row, size, target in zip(
         totals, sizes, share(sizes, [weights[i % len(weights)] for i in range(len(sizes))], repeats), strict=True
     ):
         full = min(repeats, int(target // size)) if size else 0
-        plan.append((row["source"], size, target, full, round(target - full * size)))
+        plan.append((row["_source"], size, target, full, round(target - full * size)))
     plans = df.sparkSession.createDataFrame(
-        plan, "source string, source_size long, target double, full long, budget long"
+        plan, "_source string, _total long, _target double, _full long, budget long"
     )  # one row a source
     quotas = (
-        histogram.where("size > 0")
-        .alias("h")
-        .join(F.broadcast(plans.alias("p")), F.col("h.source").eqNullSafe(F.col("p.source")))
-        .where("budget > 0")
-        .select("h.source", "size", "salt", "n", "budget")
-        .groupBy("source")
-        .applyInPandas(_quotas, "source string, size long, salt int, quota long")
-        .where("quota > 0")
-    )
-    ranked = sized.withColumn(
-        "rank", F.row_number().over(Window.partitionBy(source, "size", "salt").orderBy(order, F.col(key)))
+        histogram.where("_size > 0")
+        .join(F.broadcast(plans.where("budget > 0").select("_source", "budget")), "_source")
+        .groupBy("_source")
+        .applyInPandas(_quotas, "_source string, _size long, _salt int, _quota long")
+        .where("_quota > 0")
     )
+    ranked = sized.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order, F.col(key))))
+    copies = F.col("_full") + (F.col("_rank") <= F.coalesce(F.col("_quota"), F.lit(0))).cast("long")
     return (
-        ranked.alias("d")
-        .join(
-            quotas.alias("q"),
-            F.col(f"d.{source}").eqNullSafe(F.col("q.source"))
-            & (F.col("d.size") == F.col("q.size"))
-            & (F.col("d.salt") == F.col("q.salt")),
-            "left",
-        )
-        .join(F.broadcast(plans.alias("p")), F.col(f"d.{source}").eqNullSafe(F.col("p.source")))
+        ranked.join(quotas, keys, "left")
+        .join(F.broadcast(plans.drop("budget")), "_source")
         .select(
-            *[F.col(f"d.{c}") for c in df.columns if c != "size"],
-            F.col("d.size").alias("size"),
-            "source_size",
-            "target",
-            F.when(F.col("d.size") == 0, 0)
-            .otherwise(F.col("full") + (F.col("d.rank") <= F.coalesce(F.col("quota"), F.lit(0))).cast("long"))
-            .cast("long")
-            .alias("copies"),
+            *[F.col(c) for c in df.columns if c not in ("size", "source_size", "target", "copies")],
+            F.col("_size").alias("size"),
+            F.col("_total").alias("source_size"),
+            F.col("_target").alias("target"),
+            F.when(F.col("_size") == 0, 0).otherwise(copies).cast("long").alias("copies"),
         )
     )
 
