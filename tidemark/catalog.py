@@ -1,10 +1,16 @@
-"""The registry of the library's queries over the driver's tables, and the SQL that checks them."""
+"""The registry of the library's queries over the driver's tables, and the SQL that checks them.
+
+Names begin with the operator's number in the survey.  A query without SQL is sequential or hashes as
+Spark does; the tests hold it against a plain version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans import queries_events, queries_images, queries_joins
+
 
 def event_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, users, span and exact value statistics of positive events by type."""
@@ -25,7 +31,12 @@ def event_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"event_profile": event_profile}
+QUERIES = {
+    "event_profile": event_profile,
+    **queries_images.QUERIES,
+    **queries_events.QUERIES,
+    **queries_joins.QUERIES,
+}
 
 ORACLE_SQL = {
     "event_profile": """
@@ -33,5 +44,8 @@ SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users, round(avg(
        round(quantile_cont(value, 0.5), 6) AS median_value, round(quantile_cont(value, 0.95), 6) AS p95_value,
        max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS max_k
 FROM events WHERE value > 0 GROUP BY event_type
-"""
+""",
+    **queries_images.ORACLE_SQL,
+    **queries_events.ORACLE_SQL,
+    **queries_joins.ORACLE_SQL,
 }
