@@ -35,11 +35,13 @@ def bands(value: Column, k: int) -> Column:
     """K + 1 bands of a 64-bit value; two values within k bits agree in one of them."""
     n = k + 1
     cuts = [BITS * i // n for i in range(n + 1)]
+    masks = [(1 << (b - a)) - 1 for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    masks = [m if m < 1 << 63 else -1 for m in masks]  # a single band is the whole value
     return F.array(
         *[
             F.struct(
                 F.lit(i).alias("band"),
-                F.shiftrightunsigned(value, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)).alias("bits"),
+                F.shiftrightunsigned(value, cuts[i]).bitwiseAND(F.lit(masks[i])).alias("bits"),
             )
             for i in range(n)
         ]

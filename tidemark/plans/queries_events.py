@@ -45,7 +45,7 @@ def a13_rigidity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = profile.rigidity(rows, "l_orderkey")
     # in millionths, so that both engines round alike
-    return found.select("l_orderkey", *[F.round(F.col(c) * 1e6).cast("bigint").alias(c) for c in ("area_cv", "aspect_std", "growth", "span")])
+    return found.select("l_orderkey", *[F.round(F.col(c) * 1e6).cast("bigint").alias(c) for c in ("area_cv", "aspect_std", "span")])
 
 
 def a15_clip_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +216,6 @@ ORACLE_SQL = {
     "a13_rigidity": """WITH r AS (SELECT *, l_linenumber + l_partkey / 1e9 AS t FROM lineitem)
         SELECT l_orderkey, CAST(round(stddev_pop(l_extendedprice) / avg(l_extendedprice) * 1e6) AS BIGINT) AS area_cv,
           CAST(round(stddev_pop(l_quantity / 10) * 1e6) AS BIGINT) AS aspect_std,
-          CAST(round(arg_max(l_extendedprice, t) / arg_min(l_extendedprice, t) * 1e6) AS BIGINT) AS growth,
           CAST(round((max(t) - min(t)) * 1e6) AS BIGINT) AS span FROM r GROUP BY l_orderkey""",
     "a15_clip_summary": f"""{_CLIPS}, g AS (SELECT variant, count(*) FILTER (label AND detected) AS tp, count(*) FILTER (label AND NOT detected) AS fn,
           count(*) FILTER (NOT label AND detected) AS fp, count(*) FILTER (NOT label AND NOT detected) AS tn, avg(ttd_sec) FILTER (label) AS mean_ttd,
