@@ -5,7 +5,8 @@ the next point clockwise.  Loads are bounded at their tightest: capacities diffe
 to the number of rows, so all shards end full.  A shard that fills up passes its arcs' remaining keys
 clockwise to the next points with room.  Because a row's place depends only on its arc, its rank within
 the arc and the arcs' counts, the ring is settled on those counts (shards x vnodes of them, whatever
-the number of rows) and the rows follow with one window over arcs and one join with the settled table.
+the number of rows) and the rows follow with one window over arcs; the settled ring is a constant of the
+plan, since a join on a computed key made Catalyst infer a wrong filter.
 
 Nulls: a null key has one fixed position; a null text has size 16 and checksum 0.  Repeated rows are
 separate rows with adjacent ranks.  Extra columns don't matter; an empty table gives an empty result.
@@ -14,6 +15,7 @@ separate rows with adjacent ranks.  Extra columns don't matter; an empty table g
 from __future__ import annotations
 
 import hashlib
+import json
 from collections import deque
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +24,7 @@ from pyspark.sql.window import Window
 
 SHARDS = 40
 VNODES = 64
-SEGMENTS = "arc int, low long, high long, shard int, slot_start long"
+SEGMENTS = "array<array<struct<low:long,high:long,shard:int,slot:long>>>"
 
 
 def ring(shards: int = SHARDS, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -81,7 +83,10 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     nodes = ring(shards, vnodes)
     arc = arc_of(F.xxhash64(F.col(key)), [p for p, _ in nodes])
     counts = {r[0]: r[1] for r in df.select(arc.alias("arc")).groupBy("arc").count().collect()}
-    settled = df.sparkSession.createDataFrame(settle(counts, [s for _, s in nodes], shards), SEGMENTS)
+    by_arc: list[list[dict]] = [[] for _ in nodes]
+    for at, low, high, owner, slot in settle(counts, [s for _, s in nodes], shards):
+        by_arc[at].append({"low": low, "high": high, "shard": owner, "slot": slot})
+    settled = F.from_json(F.lit(json.dumps(by_arc)), SEGMENTS)  # a constant: shards x vnodes short lists
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
         F.col(key),
@@ -91,13 +96,10 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     )
     order = Window.partitionBy("arc").orderBy(F.xxhash64(F.col(key)), key, "text_crc32", "size")
     ranked = rows.withColumn("rank", F.row_number().over(order).cast("long") - 1)
-    placed = ranked.alias("r").join(
-        F.broadcast(settled.alias("s")),  # shards x vnodes rows and the overflows among them
-        (F.col("r.arc") == F.col("s.arc")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")),
-    )
-    return placed.select(
-        f"r.{key}", "size", "text_crc32", "shard", (F.col("slot_start") + F.col("rank") - F.col("low")).alias("slot")
-    )
+    own = F.filter(F.get(settled, F.col("arc")), lambda x: (F.col("rank") >= x["low"]) & (F.col("rank") < x["high"]))
+    placed = ranked.withColumn("own", F.get(own, F.lit(0)))
+    slot = F.col("own.slot") + F.col("rank") - F.col("own.low")
+    return placed.select(key, "size", "text_crc32", F.col("own.shard").alias("shard"), slot.alias("slot"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
