@@ -55,17 +55,19 @@ def share(sizes: list[int], weights: list[float], repeats: int = REPEATS) -> lis
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their lengths add up to near the budget.
 
-    lengths: distinct and positive.  The proportional part leaves less than one document a length;
-    the longest lengths bring that down to a few times the longest; the programme does the rest.
+    lengths: distinct and positive.  A proportional part of all lengths, then the longest ones, bring
+    the budget down to a few times the longest; the programme does the rest, exactly where the
+    counts that are left allow it.
     """
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
         return np.zeros_like(counts)
     if budget >= total:
         return counts.copy()
-    taken = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
-    left = budget - int((lengths * taken).sum())
     reach = 4 * int(lengths.max())
+    bulk = max(0, budget - reach)
+    taken = np.array([int(c) * bulk // total for c in counts], dtype=np.int64)
+    left = budget - int((lengths * taken).sum())
     for i in np.argsort(-lengths):
         if left <= reach:
             break
