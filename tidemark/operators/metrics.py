@@ -161,3 +161,21 @@ def compared(rows: DataFrame, reference: DataFrame, keys: list[str]) -> DataFram
     close = F.abs(a - b) <= F.greatest(1e-12 * F.greatest(F.abs(a), F.abs(b)), F.lit(1e-10))
     ok = F.coalesce(close, F.col("a").eqNullSafe(F.col("b")))
     return both.select(*keys, "field", ok.alias("ok"))
+
+
+#: Models of the comparison table in order.
+MODELS = ("plain", "adaptive", "dense")
+
+
+def comparison_rows(summaries: DataFrame) -> DataFrame:
+    """One row a run, fractions as percentages, models in their order and then by seed.
+
+    summaries: model, seed, struct normal.overall and the bins' AP columns.
+    """
+    points = [
+        F.round(100 * F.col(c), 6).alias(c) for c in ("tiny_fire_AP", "small_fire_AP", "small_smoke_AP")
+    ]
+    overall = [F.round(100 * F.col(f"normal.overall.{c}"), 6).alias(f"overall_{c}") for c in ("AP", "AP50")]
+    rest = [c for c in ("training_hours", "parameters") if c in summaries.columns]
+    order = F.array_position(F.array(*[F.lit(m) for m in MODELS]), F.col("model"))
+    return summaries.select("model", "seed", *points, *overall, *rest).orderBy(order, "seed")

@@ -212,3 +212,22 @@ def keyframes(frames: DataFrame, by: list[str], stride: int, around: float = 3.0
     wanted = (F.col("frame_index") % stride == 0) | F.coalesce(t.between(first, first + around), F.lit(False))
     marked = frames.withColumn("_k", wanted | F.coalesce(near, F.lit(False)))
     return marked.where("_k").drop("_k")
+
+
+def folder_partition(path: Column, subset: Column) -> Column:
+    """(class, sign) from the two folders above a file of the firesense subset, else null."""
+    parts = F.split(text.posix(path), "/")
+    kind, sign = F.lower(F.try_element_at(parts, F.lit(-3))), F.lower(F.try_element_at(parts, F.lit(-2)))
+    known = (subset == "firesense") & kind.isin("fire", "smoke") & sign.isin("pos", "neg")
+    return F.when(known, F.struct(kind.alias("kind"), sign.alias("sign")))
+
+
+def above(boxes: Column, least: float) -> Column:
+    """boxes at or above a raw confidence threshold."""
+    return F.filter(boxes, lambda b: b["conf"] >= least)
+
+
+def development_only(rows: DataFrame, split: str = "split") -> DataFrame:
+    """the rows, or an error where one belongs to another split."""
+    wrong = F.raise_error(F.concat(F.lit("not a development row: "), F.coalesce(F.col(split), F.lit("null"))))
+    return rows.withColumn(split, F.when(F.col(split) == "development", F.col(split)).otherwise(wrong.cast("string")))

@@ -45,13 +45,24 @@ def layout(paths: DataFrame) -> str:
     return "split" if found["split"] else "flat" if found["images"] else "recursive"
 
 
-def files(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    """Every file below a root: path, relative, length and, unless it is not wanted, content."""
+def files(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below a root: path, relative, length, content.
+
+    Spark's file source leaves empty files out, so those are taken from its own listing.
+    """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    inside = F.regexp_replace(F.regexp_extract("path", r"^[A-Za-z0-9+.-]+:/*(/.*)$", 1), "%20", " ")
     base = root.split(":", 1)[-1].replace("//", "/").rstrip("/")
-    relative = F.substring(inside, F.length(F.lit(base)) + 2, F.length(inside))
-    return read.select("path", relative.alias("relative"), "length", *(["content"] if content else []))
+
+    def named(rows: DataFrame) -> DataFrame:
+        inside = F.regexp_replace(F.regexp_extract("path", r"^[A-Za-z0-9+.-]+:/*(/.*)$", 1), "%20", " ")
+        return rows.withColumn("relative", F.substring(inside, F.length(F.lit(base)) + 2, F.length(inside)))
+
+    filled = named(read.select("path", "length", "content"))
+    listed = named(spark.createDataFrame([(p,) for p in read.inputFiles()], "path string"))
+    empty = listed.join(filled.select("relative"), "relative", "left_anti").select(
+        "path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content"), "relative"
+    )
+    return filled.unionByName(empty)
 
 
 def dimensions_of(data: bytes | None) -> tuple[int, int]:
