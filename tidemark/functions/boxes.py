@@ -179,14 +179,23 @@ def validated_line(line: Column, rule: LineRule) -> Column:
     Not-a-number and infinite values are always rejected; a blank line is null.
     """
     tokens = F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
-    kind = text.number(tokens[0]) if rule.whole_floats else text.integer(tokens[0]).cast("double")
-    x, y, w, h = (text.number(F.get(tokens, F.lit(i))) for i in range(1, 5))
-    eps = rule.tolerance
-    low, high = -eps, 1 + eps
+
+    def parsed(t: Column) -> Column:
+        kind = text.number(F.get(t, F.lit(0))) if rule.whole_floats else text.integer(F.get(t, F.lit(0)))
+        numbers = [text.number(F.get(t, F.lit(i))).alias(n) for i, n in enumerate("xywh", 1)]
+        return F.struct(F.size(t).alias("n"), kind.cast("double").alias("kind"), *numbers)
+
+    # lambdas over one-element arrays name what would otherwise be repeated in every rule
+    judged = F.transform(F.transform(F.array(tokens), parsed), lambda v: _judged(v, rule))
+    return F.when(F.trim(line) != "", F.get(judged, F.lit(0)))
+
+
+def _judged(v: Column, rule: LineRule) -> Column:
+    kind, x, y, w, h = v["kind"], v["x"], v["y"], v["w"], v["h"]
+    low, high = -rule.tolerance, 1 + rule.tolerance
     broken = [
-        (F.size(tokens) != 5, "tokens"),
-        (kind.isNull() | (kind != F.floor(kind)), "class"),
-        (~kind.between(0, rule.classes - 1), "class"),
+        (v["n"] != 5, "tokens"),
+        (kind.isNull() | (kind != F.floor(kind)) | ~kind.between(0, rule.classes - 1), "class"),
         (x.isNull() | y.isNull() | w.isNull() | h.isNull(), "number"),
         ((w <= 0) | (h <= 0), "degenerate"),
         ((w > high) | (h > high), "size"),
@@ -195,21 +204,14 @@ def validated_line(line: Column, rule: LineRule) -> Column:
     if rule.extents:
         outside = (x - w / 2 < low) | (x + w / 2 > high) | (y - h / 2 < low) | (y + h / 2 > high)
         broken.append((outside, "extents"))
-    error = F.lit(None).cast("string")
-    for test, name in reversed(broken):
-        error = F.when(F.coalesce(test, F.lit(False)), F.lit(name)).otherwise(error)
-
-    def kept(v: Column) -> Column:
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) if rule.clamp else v
-
-    return F.when(
-        F.trim(line) != "",
-        F.struct(
-            error.alias("error"),
-            F.when(error.isNull(), kind.cast("int")).alias("class_id"),
-            *[
-                F.when(error.isNull(), kept(v)).alias(n)
-                for v, n in ((x, "x_center"), (y, "y_center"), (w, "width"), (h, "height"))
-            ],
-        ),
-    )
+    first = F.coalesce(*[F.when(test, F.lit(name)) for test, name in broken])
+    fine = F.coalesce(*[F.when(test, F.lit(False)) for test, _ in broken], F.lit(True))
+
+    def kept(value: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)) if rule.clamp else value
+
+    named = ((x, "x_center"), (y, "y_center"), (w, "width"), (h, "height"))
+    return F.struct(
+        first.alias("error"), F.when(fine, kind.cast("int")).alias("class_id"),
+        *[F.when(fine, kept(value)).alias(name) for value, name in named],
+    )
