@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,6 +343,39 @@ def test_bm25_neighbours_against_a_plain_ranking():
     assert values == sorted(values, reverse=True) and max(score(query, d) for d in range(1, 40)) == pytest.approx(values[0])
 
 
+def topics(n=360):
+    rng = random.Random(8)
+    own = [[f"t{k}w{i}" for i in range(60)] for k in range(6)]
+    common = [f"c{i}" for i in range(60)]
+    return [(i, " ".join(rng.choice(own[i % 6]) if rng.random() < 0.6 else rng.choice(common) for _ in range(80))) for i in range(n)]
+
+
+def test_packing_brings_related_documents_together_from_all_files(spark):
+    rows = spark.createDataFrame(topics(), "doc_id long, text string")
+    found = []
+    for layout in (rows.coalesce(1), rows.repartition(40)):
+        packed = packing.pack(layout, tokenizer(), window=512, shard_tokens=8000).toPandas()
+        assert set(packed.doc_id) == set(range(360)) and (packed.sequence_id // 2**32).nunique() > 3
+        found.append(set(packed[["doc_id", "start", "length", "sequence_id", "offset"]].itertuples(index=False, name=None)))
+        topic = [set(p.doc_id % 6) for _, p in packed.groupby("sequence_id") if p.length.sum() == 512]
+        assert sum(len(x) == 1 for x in topic) > 0.7 * len(topic)
+    assert found[0] == found[1]
+
+
+def test_packing_counts_words_over_all_documents():
+    texts = [["a b c", "a b d"], ["a c", "a e e"], ["f"]]
+    tables = [packing._distinct(2)((pa.scalar(i),), pa.table({"text": pa.array(t)})) for i, t in enumerate(texts)]
+    every = pa.concat_tables(tables)
+    keys = {w: int(wordhash.split_words(pa.array([w])).hashes()[0]) for w in "abcdef"}
+    got = {}
+    for part in range(2):
+        table = packing._everywhere(every.filter(pc.equal(every["part"], part)))
+        assert set(table["documents"].to_pylist()) == {5} and set(table["words"].to_pylist()) == {12}
+        for leaf, hashes, df in zip(*(table[c].to_pylist() for c in ("leaf", "hashes", "df")), strict=True):
+            got |= {(leaf, k): n for k, n in zip(np.frombuffer(hashes, np.uint64).tolist(), np.frombuffer(df, np.int64).tolist(), strict=True)}
+    assert got == {(0, keys["a"]): 4, (0, keys["b"]): 2, (1, keys["a"]): 4}
+
+
 def test_pii():
     text = "é a.b@c-d.org, 1.2.3.4 999.1.1.1 +49 (151) 2345-6789; 4111 1111 1111 1111 / 4111 1111 1111 1112"
     base, every = pii.find(text)

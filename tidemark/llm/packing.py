@@ -1,10 +1,12 @@
 """Lexical retrieval packing: windows of related documents with next to no padding.
 
-Each task cuts its rows into shards of a bounded number of tokens and builds a BM25 inverted index of
-each: postings of a shard's words with their weights.  A seed document's rarest shared words are its
-query; unused neighbours fill its window from the best down.  The document that doesn't fit is cut, and
-its rest seeds the next window with neighbours of its own.  The last window of a shard is cut into
-sequences whose lengths are powers of two, which need no padding.  There is no shuffle.
+Documents are first brought together by their words (placement.py) into shards of some million tokens,
+wherever they lie in the files.  Each shard gets a BM25 inverted index of its words, whose document counts,
+number of documents and average length are those of all documents.  A seed document's rarest shared
+words are its query; unused neighbours fill its window from the best down.  The document that doesn't
+fit is cut, and its rest seeds the next window with neighbours of its own.  The last window of a shard is
+cut into sequences whose lengths are powers of two, which need no padding.  Texts are shuffled once, and
+the distinct words of each shard.  The result doesn't depend on the layout of the files.
 
 Texts are tokenized by distinct word: the tokenizer drops white space and never joins across it, so the
 ids of a text are those of its words in order; each text ends with one end id.
@@ -18,17 +20,20 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import wordhash
+from tidemark.llm import placement, wordhash
 
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 1 << 20
+TOKEN_BYTES = 4  # about, of a text
+PARTS = 64  # of the distinct words, at least
 QUERY_WORDS, NEIGHBOURS = 12, 24
 K1, B = 1.2, 0.75
 CACHED_WORDS = 400_000
@@ -152,23 +157,46 @@ def ranges(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
+@dataclass
+class Corpus:
+    """Of all documents: their number, their words, and how many hold each word that a shard holds twice."""
+
+    documents: int
+    words: int
+    known: np.ndarray  # ascending word hashes
+    df: np.ndarray
+
+    def counts(self, keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Documents that hold each word; words that one document of the shard holds are never asked for."""
+        if not len(self.known):
+            return own
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        return np.where(self.known[at] == keys, self.df[at], own)
+
+
 class Index:
     """BM25 postings of a shard's words."""
 
-    def __init__(self, doc: np.ndarray, hashes: np.ndarray, n: int):
+    def __init__(self, doc: np.ndarray, hashes: np.ndarray, n: int, corpus: Corpus | None = None):
         self.n = n
-        _, code = np.unique(hashes, return_inverse=True)
+        keys = np.unique(hashes)
+        code = np.searchsorted(keys, hashes)  # less memory than the inverse of unique()
         pair, times = np.unique(code * n + doc, return_counts=True) if n else (code, code)
+        del code
         term, self.doc = pair // max(n, 1), pair % max(n, 1)
+        del pair
         size = np.bincount(doc, minlength=n)
         df = np.bincount(term)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        length = K1 * (1 - B + B * size / max(size.mean(), 1) if n else size)
+        total, mean, every = (n, size.mean() if n else 1, df)
+        if corpus is not None:
+            total, mean, every = corpus.documents, corpus.words / max(corpus.documents, 1), corpus.counts(keys, df)
+        idf = np.log1p((total - every + 0.5) / (every + 0.5))
+        length = K1 * (1 - B + B * size / max(mean, 1))
         self.weight = idf[term] * times * (K1 + 1) / (times + length[self.doc])
         self.begin = np.concatenate([[0], np.cumsum(df)])
         # of each document its shared words, rarest first
         shared = np.flatnonzero(df[term] > 1)
-        order = shared[np.lexsort((df[term[shared]], self.doc[shared]))]
+        order = shared[np.lexsort((every[term[shared]], self.doc[shared]))]
         self.words = term[order]
         self.first = np.searchsorted(self.doc[order], np.arange(n + 1))
 
@@ -241,64 +269,141 @@ def binary(sequence: list[tuple[int, int, int]]) -> list[list[tuple[int, int, in
     return out
 
 
-def _pack(path: str, window: int, with_ids: bool) -> Callable:
+def _place(model: placement.Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
-        task = TaskContext.get()
-        sequence = (task.partitionId() if task else 0) << 32
-
-        def shard(ids: pa.Array, texts: list[tuple]) -> Iterator[pa.RecordBatch]:
-            nonlocal sequence
-            tokens = np.concatenate([t[0] for t in texts])
-            sizes = np.concatenate([np.diff(t[1]) for t in texts])
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            counts = np.cumsum([0, *(len(t[1]) - 1 for t in texts)])
-            doc = np.concatenate([t[2] + c for t, c in zip(texts, counts, strict=False)])
-            made = fill(sizes, Index(doc, np.concatenate([t[3] for t in texts]), len(sizes)), window)
-            if made and sum(n for _, _, n in made[-1]) < window:
-                made[-1:] = binary(made[-1])
-            rows = []
-            for pieces in made:
-                at = 0
-                for d, start, n in pieces:
-                    low = int(offsets[d]) + start
-                    rows.append((d, start, n, zlib.crc32(tokens[low : low + n]), int(sizes[d]), sequence, at, low))
-                    at += n
-                sequence += 1
-            columns = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
-            if with_ids:
-                cuts = np.concatenate([[0], np.cumsum(columns[2])]).astype(np.int32)
-                flat = pa.array(tokens[ranges(columns[7], columns[2])].view(np.int32))
-                own = pa.ListArray.from_arrays(pa.array(cuts), flat)
-            else:
-                own = pa.nulls(len(rows), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(columns[0])), *(pa.array(c) for c in columns[1:7]), own],
-                names=[f.split()[0] for f in PIECES.split(", ")],
-            )
-
-        ids, texts, held = [], [], 0
         for batch in batches:
-            for low, high in wordhash.chunks(batch["text"], 1 << 20):
-                own, offsets, words, hashes = tokenizer.encode(batch["text"].slice(low, high - low))
-                ids.append(batch["doc_id"].slice(low, high - low))
-                texts.append((own, offsets, words.doc, hashes))
-                held += len(own)
-                if held >= SHARD_TOKENS:
-                    yield from shard(pa.concat_arrays(ids), texts)
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield from shard(pa.concat_arrays(ids), texts)
+            leaf = model.leaves(batch["text"], batch["rank"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], names=["leaf", *batch.schema.names])
+
+    return run
+
+
+def _distinct(parts: int) -> Callable:
+    """Of a shard, its words and how many of its documents hold each, by ranges of hashes."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        found, counts, words = [], [], 0
+        texts = table["text"].combine_chunks()
+        for low, high in wordhash.chunks(texts, 1 << 20):
+            split = pieces(texts.slice(low, high - low))
+            own, code = np.unique(split.hashes(), return_inverse=True)
+            pair = np.unique(code * (high - low) + split.doc)
+            times = np.bincount(pair // (high - low), minlength=len(own))
+            found.append(own)
+            counts.append(times)
+            words += len(code)
+        keys, df = _summed(np.concatenate(found), np.concatenate(counts))
+        cuts = np.searchsorted(keys >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        return pa.table(
+            {
+                "part": pa.array(range(parts), pa.int64()), "leaf": pa.array([key[0].as_py()] * parts, pa.int64()),
+                "documents": pa.array([len(texts)] * parts, pa.int64()), "words": pa.array([words] * parts, pa.int64()),
+                "hashes": pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
+                "df": pa.array([df[a:b].astype(np.int32).tobytes() for a, b in spans], pa.binary()),
+            }
+        )
+
+    return run
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, code = np.unique(keys, return_inverse=True)
+    return found, np.bincount(code, weights=counts, minlength=len(found)).astype(np.int64)
+
+
+def _everywhere(table: pa.Table) -> pa.Table:
+    """The same range of words of all shards: how many of all documents hold the words that a shard holds twice."""
+    own = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
+    counts = [np.frombuffer(x, np.int32) for x in table["df"].to_pylist()]
+    keys, df = _summed(np.concatenate(own), np.concatenate(counts))
+    twice = [k[c > 1] for k, c in zip(own, counts, strict=True)]
+    n = table.num_rows
+    totals = [pa.array([sum(table[c].to_pylist())] * n, pa.int64()) for c in ("documents", "words")]
+    return pa.table(
+        [
+            table["part"], table["leaf"], *totals, pa.array([k.tobytes() for k in twice], pa.binary()),
+            pa.array([df[np.searchsorted(keys, k)].tobytes() for k in twice], pa.binary()),
+        ],
+        names=["part", "leaf", "documents", "words", "hashes", "df"],
+    )
+
+
+def _pack(path: str, window: int, with_ids: bool) -> Callable:
+    tokenizers = []
+
+    def run(key: tuple, table: pa.Table, counts: pa.Table) -> pa.Table:
+        if not tokenizers:
+            tokenizers.append(WordTokenizer(path))
+        counts = counts.sort_by("part")
+        known, df = (
+            np.frombuffer(b"".join(counts[c].to_pylist()), kind) for c, kind in (("hashes", np.uint64), ("df", np.int64))
+        )
+        corpus = Corpus(counts["documents"][0].as_py(), counts["words"][0].as_py(), known, df)
+        table = table.sort_by([("rank", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+        ids, texts = table["doc_id"].combine_chunks(), table["text"].combine_chunks()
+        found = []
+        for low, high in wordhash.chunks(texts, 1 << 20):
+            own, offsets, words, hashes = tokenizers[0].encode(texts.slice(low, high - low))
+            found.append((own, offsets, words.doc, hashes))
+        tokens = np.concatenate([t[0] for t in found])
+        sizes = np.concatenate([np.diff(t[1]) for t in found])
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        before = np.cumsum([0, *(len(t[1]) - 1 for t in found)])
+        doc = np.concatenate([t[2] + c for t, c in zip(found, before, strict=False)])
+        hashes = np.concatenate([t[3] for t in found])
+        del found, texts, table, own, words
+        made = fill(sizes, Index(doc, hashes, len(sizes), corpus), window)
+        if made and sum(n for _, _, n in made[-1]) < window:
+            made[-1:] = binary(made[-1])
+        rows, sequence = [], key[0].as_py() << 32
+        for pieces in made:
+            at = 0
+            for d, start, n in pieces:
+                low = int(offsets[d]) + start
+                rows.append((d, start, n, zlib.crc32(tokens[low : low + n]), int(sizes[d]), sequence, at, low))
+                at += n
+            sequence += 1
+        columns = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
+        if with_ids:
+            cuts = np.concatenate([[0], np.cumsum(columns[2])]).astype(np.int32)
+            flat = pa.array(tokens[ranges(columns[7], columns[2])].view(np.int32))
+            own = pa.ListArray.from_arrays(pa.array(cuts), flat)
+        else:
+            own = pa.nulls(len(rows), pa.list_(pa.int32()))
+        return pa.table(
+            [ids.take(pa.array(columns[0])), *(pa.array(c) for c in columns[1:7]), own],
+            names=[f.split()[0] for f in PIECES.split(", ")],
+        )
 
     return run
 
 
+def place(df: DataFrame, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, int]:
+    """(leaf, doc_id, text, rank) of doc_id and text; about how many leaves there are."""
+    rows = df.withColumn("rank", F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)))
+    length = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    count, total = df.agg(F.count("*"), F.sum(length.cast("long"))).first()
+    leaves = min(placement.LEAVES, -(-(total or 0) // (TOKEN_BYTES * shard_tokens)))
+    sample = []
+    if leaves > 1:
+        few = rows.where(F.col("rank") <= min((1 << 62) - 1, (1 << 62) * 2 * placement.SAMPLE_ROWS // count))
+        few = few.select("rank", "doc_id", F.substring("text", 1, placement.SAMPLE_CHARS).alias("text"), length.alias("size"))
+        sample = few.orderBy("rank", "doc_id").limit(placement.SAMPLE_ROWS).collect()
+    model = placement.fit([r["text"] for r in sample], [r["size"] for r in sample], leaves)
+    return rows.mapInArrow(_place(model), "leaf long, doc_id long, text string, rank long"), max(1, leaves)
+
+
 def pack(
-    df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = True
-) -> DataFrame:
+    df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = True,
+    shard_tokens: int = SHARD_TOKENS,
+) -> DataFrame:
     """The pieces of all sequences; tokenizer: path of a tokenizer file that every machine has."""
-    rows = df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"`{text}` AS text")
-    return rows.mapInArrow(_pack(tokenizer, window, with_ids), PIECES)
+    placed, leaves = place(df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"`{text}` AS text"), shard_tokens)
+    counts = "part long, leaf long, documents long, words long, hashes binary, df binary"
+    found = placed.groupBy("leaf").applyInArrow(_distinct(max(PARTS, leaves // 4)), counts)
+    found = found.groupBy("part").applyInArrow(_everywhere, counts)
+    return placed.groupBy("leaf").cogroup(found.groupBy("leaf")).applyInArrow(_pack(tokenizer, window, with_ids), PIECES)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
