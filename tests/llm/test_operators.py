@@ -376,6 +376,28 @@ def test_packing_counts_words_over_all_documents():
     assert got == {(0, keys["a"]): 4, (0, keys["b"]): 2, (1, keys["a"]): 4}
 
 
+def test_windows_hold_related_documents_by_all_words_past_the_first_neighbours():
+    # document 0 shares rare words with 1 to 20 (two each), and commoner ones with the others from 21 on
+    rare = [[10 * d, 10 * d + 1] for d in range(1, 21)]
+    docs = [[w for r in rare for w in r] + [9001, 9002]] + rare + [[20000 + d] for d in range(30)] + [[9001, 9002]] * 40
+    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    index = packing.Index(doc, np.array([w for d in docs for w in d], np.uint64), len(docs))
+    unused = np.ones(len(docs), dtype=bool)
+    unused[0] = False
+    sets = [Counter(d) for d in docs]
+    df = Counter(w for s in sets for w in s)
+    n, mean = len(docs), np.mean([len(d) for d in docs])
+
+    def score(d):
+        length = 1.2 * (0.25 + 0.75 * len(docs[d]) / mean)
+        return sum(math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * sets[d][w] * 2.2 / (sets[d][w] + length) for w in sets[0] if w in sets[d])
+
+    ranking = sorted((d for d in range(1, n) if score(d) > 0), key=lambda d: (-round(score(d), 9), d))
+    assert index.neighbours(0, unused, None, None) == ranking and len(ranking) == 60
+    made = packing.fill(np.full(n, 1), index, window=61)
+    assert {d for d, _, _ in made[0]} == {0, *ranking}
+
+
 def test_pii():
     text = "é a.b@c-d.org, 1.2.3.4 999.1.1.1 +49 (151) 2345-6789; 4111 1111 1111 1111 / 4111 1111 1111 1112"
     base, every = pii.find(text)

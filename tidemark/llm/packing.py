@@ -2,10 +2,10 @@
 
 Documents are first brought together by their words (placement.py) into shards of some million tokens,
 wherever they lie in the files.  Each shard gets a BM25 inverted index of its words, whose document counts,
-number of documents and average length are those of all documents.  A seed document's rarest shared
-words are its query; unused neighbours fill its window from the best down.  The document that doesn't
-fit is cut, and its rest seeds the next window with neighbours of its own.  The last window of a shard is
-cut into sequences whose lengths are powers of two, which need no padding.  Texts are shuffled once, and
+number of documents and average length are those of all documents.  A seed document's shared words,
+all of them, are its query; every unused document that holds one of them is ranked, and they fill its window
+from the best down.  The document that doesn't fit is cut, and its rest seeds the next window with
+neighbours of its own.  The last window of a shard is cut into sequences whose lengths are powers of two, which need no padding.  Texts are shuffled once, and
 the distinct words of each shard.  The result doesn't depend on the layout of the files.
 
 Texts are tokenized by distinct word: the tokenizer drops white space and never joins across it, so the
@@ -200,16 +200,20 @@ class Index:
         self.words = term[order]
         self.first = np.searchsorted(self.doc[order], np.arange(n + 1))
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """Unused documents that share query words with the seed, best first."""
-        words = self.words[self.first[seed] : self.first[seed + 1]][:QUERY_WORDS]
-        if not len(words):
+    def neighbours(
+        self, seed: int, unused: np.ndarray, words: int | None = QUERY_WORDS, most: int | None = NEIGHBOURS
+    ) -> list[int]:
+        """Unused documents that share query words with the seed, best first; None: all words, all documents."""
+        asked = self.words[self.first[seed] : self.first[seed + 1]][:words]
+        if not len(asked):
             return []
-        at = ranges(self.begin[words], self.begin[words + 1] - self.begin[words])
-        at = at[unused[self.doc[at]]]
-        docs, code = np.unique(self.doc[at], return_inverse=True)
-        score = np.bincount(code, weights=self.weight[at])
-        return docs[np.lexsort((docs, -score))[:NEIGHBOURS]].tolist()
+        at = ranges(self.begin[asked], self.begin[asked + 1] - self.begin[asked])
+        own = self.doc[at]
+        score = np.bincount(own, weights=self.weight[at], minlength=self.n)
+        held = np.zeros(self.n, dtype=bool)
+        held[own] = True
+        docs = np.flatnonzero(held & unused)
+        return docs[np.argsort(-score[docs], kind="stable")[:most]].tolist()
 
 
 def fill(sizes: np.ndarray, index: Index, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -228,7 +232,7 @@ def fill(sizes: np.ndarray, index: Index, window: int = WINDOW) -> list[list[tup
                     if unused[d := queue.pop()]:
                         return d
                 if not again:
-                    queue = index.neighbours(last, unused)[::-1]
+                    queue = index.neighbours(last, unused, None, None)[::-1]
         while follow < len(sizes) and not unused[follow]:
             follow += 1
         return follow if follow < len(sizes) else None
