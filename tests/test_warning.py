@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -170,3 +171,19 @@ def test_average_precision(spark):
 def test_operating_point_without_any(spark):
     empty = spark.createDataFrame([], "conf double, tiny long, small long, fp long")
     assert tuple(metrics.operating_points(empty, 1, 1).first()) == (1.000001, 0, 0, 0, None)
+
+
+def test_tracks_hold_every_shown_order_line(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import tables
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    shown = lines.where("l_quantity > 2 and floor(l_orderkey / 20) % 300 > 20")
+    got = tables.tracks(spark, sf)
+    assert got.where("track_id is not null").count() == shown.count()
+    assert got.agg(F.max("track_id")).first()[0] > 2
+    assert got.groupBy("stream_id", "frame_index", "track_id").count().where("count > 1").count() == 0

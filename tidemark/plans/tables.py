@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: documents as images; boxes are added below
 IMAGES = """
@@ -98,8 +99,13 @@ def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as frames of 20 streams at 30 per second: track rows in slow growth, some frames empty."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    """Order lines as frames of 20 streams at 30 per second: track rows in slow growth, some frames empty.
+
+    Every shown line is a track row: its number is the track's, plus seven for each line of that number before it.
+    Lines that aren't shown make one row of their frame, without a track.
+    """
+    again = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").withColumn("_again", F.row_number().over(again) - 1)
     at = F.col("l_orderkey")
     stream, frame = (at % 20), F.floor(at / 20)
     side = 14 + (frame % 300) / 20 + F.col("l_linenumber")
@@ -109,7 +115,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (frame / 30).alias("ts_sec"), F.lit(640).alias("image_w"), F.lit(640).alias("image_h"),
         (100 + 10 * F.col("l_linenumber")).cast("double").alias("x1"), F.lit(100.0).alias("y1"),
         (100 + 10 * F.col("l_linenumber") + side).alias("x2"), (100 + side).alias("y2"),
-        F.when(shown, F.col("l_linenumber")).cast("int").alias("track_id"),
+        F.when(shown, F.col("l_linenumber") + 7 * F.col("_again")).cast("int").alias("track_id"),
         (0.3 + F.col("l_discount") * 4).alias("conf"), (F.col("l_linenumber") % 2).cast("int").alias("cls"),
     ).dropDuplicates(["stream_id", "frame_index", "track_id"])
 
