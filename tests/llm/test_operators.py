@@ -398,6 +398,12 @@ def test_windows_hold_related_documents_by_all_words_past_the_first_neighbours()
     assert {d for d, _, _ in made[0]} == {0, *ranking}
 
 
+def test_pii_finds_addresses_of_single_spelled_digits():
+    for text, span in (("call eight dot eight dot eight dot eight now", (5, 40)), ("one dot one dot one dot one", (0, 27))):
+        base, every = pii.find(text)
+        assert base["ip"] == [] and every["ip"] == [span]
+
+
 def test_pii():
     text = "é a.b@c-d.org, 1.2.3.4 999.1.1.1 +49 (151) 2345-6789; 4111 1111 1111 1111 / 4111 1111 1111 1112"
     base, every = pii.find(text)

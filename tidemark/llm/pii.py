@@ -66,7 +66,7 @@ _SPOKEN = {w: str(d) for words in DIGIT_WORDS.values() for d, w in enumerate(wor
 _ONE = "|".join(sorted(_SPOKEN, key=lambda w: (-len(w), w)))
 _DIGIT = "|".join(sorted((w for w in _SPOKEN if _SPOKEN[w].isdigit()), key=lambda w: (-len(w), w)))
 _TOKEN = re.compile(rf"(?i:{_ONE})")
-_HINT = re.compile(rf"\b(?i:{_DIGIT})[\s,-]{{1,3}}(?i:{_DIGIT})\b")
+_HINT = re.compile(rf"\b(?i:{_DIGIT})[\s,-]{{1,3}}(?i:{_ONE})\b")
 _SPELLED = re.compile(rf"\b(?:(?i:plus|más)[\s,-]{{1,3}})?(?i:{_DIGIT})(?:[\s,-]{{1,3}}(?i:{_ONE}))+\b")
 _AT_BRACKET = r"\s?[\[({<]\s?(?i:at|arroba|chez)\s?[\])}>]\s?"
 _DOT_BRACKET = r"\s?[\[({<]\s?(?i:dot|point|punkt|punto)\s?[\])}>]\s?"
