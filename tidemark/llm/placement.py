@@ -16,7 +16,7 @@ import pyarrow as pa
 from tidemark.llm import wordhash
 
 SIZE, TABLE = 1024, 1 << 18
-SAMPLE_ROWS, SAMPLE_CHARS = 8192, 8192
+SAMPLE_ROWS, SAMPLE_CHARS = 4096, 1 << 17
 LEAVES = 2048
 ROUNDS, SPLITS, LARGE, SEED = 8, 3, 2, 7
 
