@@ -109,7 +109,7 @@ def plain_groups(rows, k, similar):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("block", [2048, 5])
+@pytest.mark.parametrize("block", [8192, 5])
 def test_near_dedup(docs, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)  # also across blocks of a bucket
     for k in (4, 5):

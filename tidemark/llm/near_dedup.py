@@ -5,11 +5,16 @@
    negatively correlated and the estimate varies less) with values that rise by rank; once every
    position holds a value of the current rank or less, later ranks can't change it and the pass stops.
 2. Texts with equal sets are one class; classes with an equal band share a bucket.  Buckets of the same
-   members are one.  A bucket of more than `BLOCK` members or `BLOCK_ELEMENTS` shingles is cut into blocks, and every pair of blocks
-   is a task's group, so no group grows with the data and no pair is given up.
-3. Within a group the full sets are compared, breadth first from linked to not yet reached members:
-   exact components of the group with at most (members - 1) links out of it, never all pairs.
-4. Links of all groups are joined into components by distributed union-find.
+   members are one.  Classes that are connected through buckets are a family (union-find over ids).
+3. The full set of each class in a family travels once to the family's task.  There sets are compared,
+   breadth first from linked to not yet reached members: exact components of the group with at most
+   (members - 1) links out of it, never all pairs.
+4. A family of more than `BLOCK` members or `BLOCK_ELEMENTS` shingles goes through rounds of pivots instead:
+   every member of a bucket that still holds two components is compared with one pivot and the up to `BLOCK`
+   members beside it.  What then lies outside the largest component of its bucket is compared with the
+   whole bucket, in pairs of blocks.  So no group grows with the data, a tight family of n moves some n sets
+   a round, and no pair of one bucket in two components is given up.
+5. Links of all groups are joined into components by distributed union-find.
 
 Sets are sets of 64-bit shingle hashes.  With bands of 6 rows and 48 bands a pair at similarity 0.8
 shares no bucket with probability 5e-7.
@@ -26,16 +31,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordhash
 from tidemark.llm.components import components
-from tidemark.llm.staging import staged
+from tidemark.llm.staging import Tables, small
 
 BANDS, ROWS = 48, 6
 POSITIONS = 293  # the least prime from BANDS * ROWS on, so that strides generate whole permutations
-BLOCK, BLOCK_ELEMENTS = 2048, 1 << 21
+BLOCK, BLOCK_ELEMENTS = 8192, 1 << 21  # a task compares its members in some BLOCK ** 2 steps at most
+STARS = 2  # rounds of pivots in families above those bounds
 SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
 
@@ -136,12 +142,11 @@ def _sets(k: int) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(low, high - low),
-                        batch["buckets"].slice(low, high - low),
                         pa.array(
                             [elements[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()
                         ),
                     ],
-                    names=["doc_id", "buckets", "elements"],
+                    names=["doc_id", "elements"],
                 )
 
     return run
@@ -211,74 +216,155 @@ def classes(df: DataFrame, k: int) -> DataFrame:
     return df.select("doc_id", "text").where("text is not null").mapInArrow(_sign(k), SIGNED)
 
 
-def group(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, similar: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of df.
-
-    similar: least percentage of intersection to union.
-    """
-    df = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = staged(classes(df, k), "signatures")
-    named = signed.where("doc_id is not null")
-    # one class of equal sets, under its smallest doc_id
-    reps = named.groupBy("n_shingles", "set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    reps = staged(reps, "classes")
-    banded = reps.select("rep", "n_shingles", F.explode("bands").alias("band"))
+def _members(reps: DataFrame, tables: Tables) -> DataFrame:
+    """(rep, n_shingles, bucket, center) of the classes that share a bucket; center: its smallest rep."""
+    banded = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = (
-        banded.groupBy("band")
+        banded.groupBy("bucket")
         .agg(
             F.count("*").alias("n"),
             F.sum("n_shingles").alias("elements"),
             F.bit_xor(F.xxhash64("rep")).alias("members"),
+            F.min("rep").alias("center"),
         )
         .where("n > 1")
         .groupBy("n", "elements", "members")
-        .agg(F.min("band").alias("band"))
+        .agg(F.min("bucket").alias("bucket"), F.min("center").alias("center"))
     )
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
-    members = (
-        banded.join(buckets.select("band", blocks.alias("blocks")), "band")
-        .groupBy("rep")
-        .agg(F.collect_list(F.struct("band", "blocks")).alias("buckets"))  # BANDS at most
+    buckets = tables.add(buckets.select("bucket", "center"), "buckets")
+    return tables.add(banded.join(small(buckets), "bucket"), "members")
+
+
+def _verified(placed: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Links within the groups (bucket, i, j) of placed doc_ids."""
+    grouped = sets.join(placed, "doc_id").select("bucket", "i", "j", "doc_id", "elements")
+    return (
+        grouped.repartition("bucket", "i", "j")
+        .sortWithinPartitions("bucket", "i", "j", "doc_id")
+        .mapInArrow(_verify(similar), "a long, b long")
     )
-    # of the rows under a rep's id, those of the class: a repeated id may have other sets too
-    texts = df.where("doc_id is not null and text is not null")
-    sets = (
-        texts.join(members, texts["doc_id"] == members["rep"])
-        .select("doc_id", "text", "buckets")
-        .mapInArrow(
-            _sets(k), "doc_id long, buckets array<struct<band:long,blocks:int>>, elements binary"
-        )
+
+
+def _cut(n: str, elements: str) -> Column:
+    """Number of blocks for so many members and shingles."""
+    return F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(elements) / BLOCK_ELEMENTS), F.lit(1)).cast("int")
+
+
+def _block(blocks: str, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(blocks)).cast("int")
+
+
+def _open(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Members of the buckets that still hold two components, with `component` and the bucket's lowest, `low`."""
+    if found is None:
+        now = members.withColumn("component", F.col("rep"))
+    else:
+        now = members.join(found, F.col("rep") == F.col("node"), "left")
+        now = now.withColumn("component", F.coalesce("component", "rep"))
+    ends = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return now.join(ends.where("low < high").select("bucket", "low"), "bucket")
+
+
+def _starred(left: DataFrame, later: bool) -> DataFrame:
+    """Each open member beside one pivot: placed in (pivot, salt, 0), the pivot in all salts.
+
+    A bucket's pivot is its smallest member, later the smallest outside the lowest component.
+    """
+    aim = F.col("component") != F.col("low") if later else F.col("component") == F.col("low")
+    pivots = left.where(aim).groupBy("bucket").agg(
+        F.min("rep").alias("pivot"), F.min_by("component", "rep").alias("of")
     )
-    placed = sets.select("doc_id", "elements", F.explode("buckets").alias("x")).select(
-        "doc_id",
-        "elements",
-        F.col("x.band").alias("bucket"),
-        F.col("x.blocks").alias("blocks"),
-        F.pmod(F.xxhash64("doc_id"), F.col("x.blocks")).cast("int").alias("own"),
+    pairs = left.join(pivots, "bucket").where("component <> of").groupBy("rep").agg(
+        F.min("pivot").alias("pivot"), F.first("n_shingles").alias("n_shingles")
     )
-    pairs = placed.select(
-        "bucket",
-        "doc_id",
-        "elements",
-        "own",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
+    counts = pairs.groupBy("pivot").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("elements"))
+    counts = counts.select("pivot", _cut("n", "elements").alias("salts"))
+    own = pairs.join(counts, "pivot").select("pivot", _block("salts", 1).alias("i"), F.col("rep").alias("doc_id"))
+    copied = counts.select(
+        "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("i"), F.col("pivot").alias("doc_id")
     )
-    grouped = pairs.select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "elements"
+    return own.unionAll(copied).select(F.col("pivot").alias("bucket"), "i", F.lit(0).alias("j"), "doc_id")
+
+
+def _crossed(left: DataFrame) -> DataFrame:
+    """Blocks of the members outside each bucket's largest component, each beside every block of all members."""
+    by = left.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("elements"))
+    sizes = by.groupBy("bucket").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"),
+        (F.sum("n") - F.max("n")).alias("rest"),
+        F.sum("n").alias("every"),
+        F.sum("elements").alias("elements"),
+        (F.sum("elements") - F.max_by("elements", F.struct("n", "component"))).alias("rest_elements"),
     )
-    links = (
-        grouped.repartition("bucket", "i", "j")
-        .sortWithinPartitions("bucket", "i", "j", "doc_id")
-        .mapInArrow(_verify(similar), "a long, b long")
+    sizes = sizes.select(
+        "bucket", "main", _cut("rest", "rest_elements").alias("rows"), _cut("every", "elements").alias("columns")
     )
-    # a repeated doc_id ties its classes together
+    cut = left.join(sizes, "bucket")
+    every = F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i")
+    rest = F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j")
+    across = cut.select("bucket", every, _block("columns", 3).alias("j"), F.col("rep").alias("doc_id"))
+    down = cut.where("component <> main").select(
+        "bucket", _block("rows", 2).alias("i"), rest, F.col("rep").alias("doc_id")
+    )
+    return across.unionAll(down).distinct()
+
+
+def _links(texts: DataFrame, members: DataFrame, k: int, similar: int, tables: Tables) -> DataFrame:
+    """(a, b) links that connect all classes of similar sets."""
+    families = components(members.select(F.col("rep").alias("a"), F.col("center").alias("b")))
+    reps = members.select("rep", "n_shingles").distinct().join(families, F.col("rep") == F.col("node"))
+    reps = tables.add(reps.select("rep", "n_shingles", F.col("component").alias("family")), "candidates")
+    sizes = reps.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("elements"))
+    large = tables.add(sizes.where((F.col("n") > BLOCK) | (F.col("elements") > BLOCK_ELEMENTS)).select("family"), "large")
+    asked = small(reps.select(F.col("rep").alias("doc_id")))
+    sets = tables.add(
+        texts.join(asked, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, elements binary"), "sets"
+    )
+    placed = reps.join(small(large), "family", "left_anti").select(
+        F.col("family").alias("bucket"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("rep").alias("doc_id")
+    )
+    placed = small(tables.add(placed, "placed"))
+    links = tables.add(_verified(placed, sets, similar), "links")
+    if large.isEmpty():
+        return links
+    members = members.join(reps.select("rep", "family"), "rep").join(small(large), "family", "left_semi")
+    members = tables.add(members.select("rep", "n_shingles", "bucket"), "members-of-large")
+    found = None
+    for later in range(STARS):
+        left = tables.add(_open(members, found), f"open-{later}")
+        if left.isEmpty():
+            return links
+        placed = tables.add(_starred(left, later > 0), f"starred-{later}")
+        links = links.unionAll(tables.add(_verified(placed, sets, similar), f"links-{later}"))
+        found = components(links)
+    left = tables.add(_open(members, found), "open")
+    return links.unionAll(tables.add(_verified(tables.add(_crossed(left), "crossed"), sets, similar), "links-crossed"))
+
+
+def group(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, similar: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of df.
+
+    similar: least percentage of intersection to union.
+    """
+    tables = Tables(df.sparkSession)
+    df = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    named = tables.add(classes(df.where("doc_id is not null"), k), "signatures")
+    # one class of equal sets, under its smallest doc_id
+    reps = named.groupBy("n_shingles", "set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    reps = tables.add(reps, "classes")
     owned = named.join(reps.select("n_shingles", "set_key", "rep"), ["n_shingles", "set_key"])
-    owned = owned.select("doc_id", "n_shingles", "rep")
+    owned = tables.add(owned.select("doc_id", "n_shingles", "rep"), "owners")
+    tables.drop("signatures")
+    members = _members(reps, tables)
+    tables.drop("classes")
+    links = _links(df.where("doc_id is not null and text is not null"), members, k, similar, tables)
+    # a repeated doc_id ties its classes together
     by_id = owned.groupBy("doc_id").agg(
         F.min("rep").alias("first"), F.max("rep").alias("last"), F.max("n_shingles").alias("n_shingles")
     )
     ties = owned.join(by_id.where("first < last").select("doc_id", "first"), "doc_id").where("rep <> first")
     found = components(links.unionAll(ties.select(F.col("rep").alias("a"), F.col("first").alias("b"))))
+    tables.drop(but="owners")
     settled = by_id.join(found, F.col("first") == F.col("node"), "left").select(
         F.col("doc_id").alias("id"), "n_shingles", F.coalesce("component", "first").alias("component_id")
     )
