@@ -337,10 +337,24 @@ def test_bm25_neighbours_against_a_plain_ranking():
 
     unused = np.ones(40, dtype=bool)
     unused[0] = False
-    query = sorted((t for t in sets[0] if df[t] > 1), key=lambda t: (df[t], t))[: packing.QUERY_WORDS]
-    got = index.neighbours(0, unused)
-    values = [score(query, d) for d in got]
-    assert values == sorted(values, reverse=True) and max(score(query, d) for d in range(1, 40)) == pytest.approx(values[0])
+    query = [t for t in sets[0] if df[t] > 1]  # all shared words
+    ranking = sorted((d for d in range(1, 40) if score(query, d) > 0), key=lambda d: (-round(score(query, d), 9), d))
+    assert index.neighbours(0, unused) == ranking
+    few = index.neighbours(0, unused, 5)
+    assert few[:5] == ranking[:5] and few == ranking[: len(few)]
+    unused[ranking[:20]] = False
+    index.forget(unused)
+    assert index.neighbours(0, unused) == ranking[20:]
+
+
+def test_tokens_of_words_with_signs_accents_and_digits():
+    tool = pytest.importorskip("tokenizers").Tokenizer.from_file(tokenizer())
+    rng = random.Random(12)
+    parts = ["ab", "Été", "é", "×", "3", "12", "&&", "$", ".", "'s", "'", "'t", "…", "e\u0301", "\u0338", "<", "<|", "|>", "ß", "日本", " ", "\n", "\u00a0", "😀", "-", "Ñ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(4000)]
+    found = packing.WordTokenizer(tokenizer()).encode(pa.array(texts))
+    for text, a, b in zip(texts, found.offsets[:-1], found.offsets[1:], strict=True):
+        assert found.ids[a:b].tolist() == tool.encode(text, add_special_tokens=False).ids + [1], text
 
 
 def topics(n=360):
@@ -393,7 +407,7 @@ def test_windows_hold_related_documents_by_all_words_past_the_first_neighbours()
         return sum(math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * sets[d][w] * 2.2 / (sets[d][w] + length) for w in sets[0] if w in sets[d])
 
     ranking = sorted((d for d in range(1, n) if score(d) > 0), key=lambda d: (-round(score(d), 9), d))
-    assert index.neighbours(0, unused, None, None) == ranking and len(ranking) == 60
+    assert index.neighbours(0, unused) == ranking and len(ranking) == 60
     made = packing.fill(np.full(n, 1), index, window=61)
     assert {d for d, _, _ in made[0]} == {0, *ranking}
 

@@ -34,18 +34,19 @@ END_ID = 1
 SHARD_TOKENS = 1 << 20
 TOKEN_BYTES = 4  # about, of a text
 PARTS = 64  # of the distinct words, at least
-QUERY_WORDS, NEIGHBOURS = 12, 24
+ASKED = 256  # documents of a ranking that are sorted at once; the next ones follow when they are used up
+COMMON, FREQUENT = 512, 16  # at most so many words have a row of weights; each is held by a 16th of the shard or more
 K1, B = 1.2, 0.75
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_500_000
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "ids array<int>"
 )
 
 
-_STOP, _PLAIN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
-_STOP[[ord(c) for c in ".,;:!?"]] = True
-_PLAIN[[*range(48, 58), *range(97, 123)]] = True
+_SIGN, _PLAIN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_SIGN[33:127] = ~_PLAIN[33:127]
 
 
 class WordTokenizer:
@@ -63,17 +64,37 @@ class WordTokenizer:
 
     def clear(self) -> None:
         self.known = np.empty(0, np.uint64)
-        self.offsets = np.zeros(1, np.int64)
-        self.ids = np.empty(0, np.uint32)
+        self.offsets = np.zeros(1, np.int32)
+        self.ids = np.empty(0, np.uint16 if len(self.is_end) <= 1 << 16 else np.uint32)
 
     def add(self, keys: np.ndarray, words: list[str]) -> None:
         lengths, flat = self.tokens(words)
         keys = np.concatenate([self.known, keys])
-        lengths = np.concatenate([np.diff(self.offsets), lengths])
+        lengths = np.concatenate([np.diff(self.offsets), lengths.astype(np.int32)])
         begin = np.cumsum(lengths) - lengths
         order = np.argsort(keys, kind="stable")
-        self.ids = np.concatenate([self.ids, flat])[ranges(begin[order], lengths[order])]
-        self.known, self.offsets = keys[order], np.concatenate([[0], np.cumsum(lengths[order])])
+        self.ids = np.concatenate([self.ids, flat.astype(self.ids.dtype)])[ranges(begin[order], lengths[order])]
+        self.known, self.offsets = keys[order], np.concatenate([[0], np.cumsum(lengths[order])]).astype(np.int32)
+
+    def find(self, keys: np.ndarray, spell: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, ...]:
+        """(ids, begin, length) of distinct words; spell gives those at some places of keys."""
+        if len(self.known) + len(keys) > CACHED_WORDS:
+            self.clear()
+        at = np.searchsorted(self.known, keys)
+        new = np.ones(len(keys), dtype=bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != keys[inside]
+        if new.sum() * 64 > len(self.known):  # too few to be worth a new store
+            self.add(keys[new], spell(np.flatnonzero(new)))
+            at, new = np.searchsorted(self.known, keys), np.zeros(len(keys), dtype=bool)
+        begin, lengths, ids = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), self.ids
+        begin[~new] = self.offsets[at[~new]]
+        lengths[~new] = self.offsets[at[~new] + 1] - self.offsets[at[~new]]
+        if new.any():
+            lengths[new], flat = self.tokens(spell(np.flatnonzero(new)))
+            begin[new] = len(ids) + np.cumsum(lengths[new]) - lengths[new]
+            ids = np.concatenate([ids, flat.astype(ids.dtype)])
+        return ids, begin, lengths
 
     def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each word, all ids end to end).
@@ -106,50 +127,83 @@ class WordTokenizer:
         begin[order] = np.cumsum(lengths[order]) - lengths[order]
         return lengths, flat[ranges(begin, lengths)]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, wordhash.Words, np.ndarray]:
-        """(ids, n + 1 offsets, words, word hashes) of some texts, each with its end id."""
-        words = pieces(texts)
-        hashes = words.hashes()
-        keys, first, code = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > CACHED_WORDS:
-            self.clear()
-        at = np.searchsorted(self.known, keys)
-        new = np.ones(len(keys), dtype=bool)
-        inside = at < len(self.known)
-        new[inside] = self.known[at[inside]] != keys[inside]
-        if new.any():
-            data = words.data.tobytes()
-            spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)
-            self.add(keys[new], [data[a:b].decode("utf-8", "replace") for a, b in spans])
-        place = np.searchsorted(self.known, keys)[code] if len(keys) else code
-        begin, lengths = self.offsets[place], self.offsets[place + 1] - self.offsets[place]
-        sums = np.concatenate([[0], np.cumsum(lengths)])
-        offsets = sums[words.first] + np.arange(len(words.first))
+    def encode(self, texts: pa.Array) -> Encoded:
+        """Some texts, each with its end id."""
+        parts = [pieces(texts.slice(low, high - low)) for low, high in wordhash.chunks(texts, 1 << 20)]
+        keys, code = coded([p.hashes() for p in parts])
+        spans = [(p.data.tobytes(), p.starts.astype(np.int32), p.ends.astype(np.int32)) for p in parts]
+        words = np.concatenate([np.empty(0, np.int64), *(p.counts for p in parts)])
+        before = np.cumsum([0, *(len(p.starts) for p in parts)])
+        del parts
+        first = np.empty(len(keys), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+
+        def spell(places: np.ndarray) -> list[str]:
+            out = [""] * len(places)
+            part = np.searchsorted(before, first[places], side="right") - 1
+            for k in np.unique(part).tolist():
+                (data, starts, ends), rows = spans[k], np.flatnonzero(part == k)
+                at = first[places[rows]] - before[k]
+                for row, low, high in zip(rows.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True):
+                    out[row] = data[low:high].decode("utf-8", "replace")
+            return out
+
+        ids, begin, lengths = self.find(keys, spell)
+        del spans, first
+        sums = np.concatenate([[0], np.cumsum(lengths[code])])
+        offsets = sums[np.concatenate([[0], np.cumsum(words)])] + np.arange(len(words) + 1)
         out = np.full(int(offsets[-1]), END_ID, np.uint32)
-        out[ranges(sums[:-1] + words.doc, lengths)] = self.ids[ranges(begin, lengths)]
-        return out, offsets, words, hashes
+        doc = np.repeat(np.arange(len(words), dtype=np.int32), words)
+        for low in range(0, len(code), 1 << 18):  # index arrays take many bytes an id
+            own = slice(low, min(low + (1 << 18), len(code)))
+            n = lengths[code[own]]
+            out[ranges(sums[own] + doc[own], n)] = ids[ranges(begin[code[own]], n)]
+        return Encoded(out, offsets, doc, keys, code)
+
+
+@dataclass
+class Encoded:
+    """Texts as ids, and their words as places among the distinct word hashes."""
+
+    ids: np.ndarray
+    offsets: np.ndarray
+    doc: np.ndarray  # of each word
+    keys: np.ndarray
+    code: np.ndarray  # of each word
 
 
 def pieces(texts: pa.Array) -> wordhash.Words:
     """Words for the tokenizer, fewer distinct ones than the texts have, with the same ids in a row.
 
     It maps capitals to small letters, so A-Z do so here, unless a special token might be spelled out.  And
-    it always cuts between a letter or digit and a full stop or the like, so a last one is a word of its own.
+    it always cuts between a letter or digit and a sign, so the signs at a word's end are a word of their own.
     """
     words = wordhash.split_words(texts)
-    if b"<|" in words.data.tobytes():
+    if b"<|" in words.data.tobytes() or not len(words.starts):
         return words
     data = wordhash.ASCII_LOWER[words.data]
-    last = words.ends - 1
-    cut = (last > words.starts) & _STOP[data[last]] & _PLAIN[data[last - 1]]
+    place = np.where(_SIGN[data], 0, np.arange(len(data), dtype=np.int32))
+    last = np.maximum.accumulate(place)[words.ends - 1]  # the last byte that is no sign
+    letter = _PLAIN[data[last]]
+    accented = (data[last] >= 0x80) & (data[last] != 0x97) & (data[last] != 0xB7) & (data[last - 1] == 0xC3)
+    cut = (last >= words.starts) & (last < words.ends - 1) & (letter | accented & (last > words.starts))
     times = 1 + cut.astype(np.int64)
     starts, ends = np.repeat(words.starts, times), np.repeat(words.ends, times)
     tail = np.cumsum(times)[cut] - 1
-    starts[tail] = last[cut]
-    ends[tail - 1] = last[cut]
+    starts[tail] = last[cut] + 1
+    ends[tail - 1] = last[cut] + 1
     return wordhash.Words(data, starts, ends, np.concatenate([[0], np.cumsum(times)])[words.first])
 
 
+def coded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of some arrays, and the place of every value among them, end to end."""
+    each = [np.unique(p, return_inverse=True) for p in parts]
+    keys, place = np.unique(np.concatenate([np.empty(0, np.uint64), *(k for k, _ in each)]), return_inverse=True)
+    place = place.astype(np.int32)
+    before = np.cumsum([0, *(len(k) for k, _ in each)])
+    return keys, np.concatenate([np.empty(0, np.int32), *(place[c + b] for (_, c), b in zip(each, before, strict=False))])
+
+
 def ranges(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, ... for each of the lengths, end to end."""
     if not len(begin):
@@ -178,42 +232,70 @@ class Index:
     """BM25 postings of a shard's words."""
 
     def __init__(self, doc: np.ndarray, hashes: np.ndarray, n: int, corpus: Corpus | None = None):
+        keys, code = np.unique(hashes, return_inverse=True)
+        self.build(doc, keys, code, n, corpus)
+
+    @classmethod
+    def of(cls, found: Encoded, corpus: Corpus) -> Index:
+        out = cls.__new__(cls)
+        out.build(found.doc, found.keys, found.code, len(found.offsets) - 1, corpus)
+        return out
+
+    def build(self, doc: np.ndarray, keys: np.ndarray, code: np.ndarray, n: int, corpus: Corpus | None) -> None:
         self.n = n
-        keys = np.unique(hashes)
-        code = np.searchsorted(keys, hashes)  # less memory than the inverse of unique()
-        pair, times = np.unique(code * n + doc, return_counts=True) if n else (code, code)
-        del code
-        term, self.doc = pair // max(n, 1), pair % max(n, 1)
-        del pair
+        pair, times = np.unique(code.astype(np.int64) * max(n, 1) + doc, return_counts=True)
         size = np.bincount(doc, minlength=n)
-        df = np.bincount(term)
+        term = pair // max(n, 1)
+        df = np.bincount(term, minlength=len(keys))
+        # words of one document alone are never asked for
+        twice = df > 1
+        own = twice[term]
+        term, self.doc, times = (np.cumsum(twice) - 1)[term[own]], pair[own] % max(n, 1), times[own]
+        del pair
+        keys, df = keys[twice], df[twice]
         total, mean, every = (n, size.mean() if n else 1, df)
         if corpus is not None:
             total, mean, every = corpus.documents, corpus.words / max(corpus.documents, 1), corpus.counts(keys, df)
         idf = np.log1p((total - every + 0.5) / (every + 0.5))
         length = K1 * (1 - B + B * size / max(mean, 1))
         self.weight = idf[term] * times * (K1 + 1) / (times + length[self.doc])
-        self.begin = np.concatenate([[0], np.cumsum(df)])
-        # of each document its shared words, rarest first
-        shared = np.flatnonzero(df[term] > 1)
-        order = shared[np.lexsort((every[term[shared]], self.doc[shared]))]
-        self.words = term[order]
+        order = np.argsort(self.doc, kind="stable")
+        self.words = term[order]  # of each document its shared words
         self.first = np.searchsorted(self.doc[order], np.arange(n + 1))
-
-    def neighbours(
-        self, seed: int, unused: np.ndarray, words: int | None = QUERY_WORDS, most: int | None = NEIGHBOURS
-    ) -> list[int]:
-        """Unused documents that share query words with the seed, best first; None: all words, all documents."""
-        asked = self.words[self.first[seed] : self.first[seed + 1]][:words]
+        # a word that many documents hold has a row of weights, the others have postings
+        common = np.argsort(-df, kind="stable")[:COMMON]
+        common = common[df[common] * FREQUENT > n]
+        self.row = np.full(len(df), len(common))
+        self.row[common] = np.arange(len(common))
+        dense = self.row[term] < len(common)
+        self.rows = np.zeros((len(common) + 1, n))
+        self.rows[self.row[term[dense]], self.doc[dense]] = self.weight[dense]
+        rare = np.bincount(term[~dense], minlength=len(df))
+        self.doc, self.weight = self.doc[~dense], self.weight[~dense]
+        self.begin = np.concatenate([[0], np.cumsum(rare)])
+
+    def forget(self, unused: np.ndarray) -> None:
+        """Leaves used documents out of the postings; their words can still be asked for."""
+        kept = unused[self.doc]
+        self.begin = np.concatenate([[0], np.cumsum(kept)])[self.begin]
+        self.doc, self.weight = self.doc[kept], self.weight[kept]
+
+    def neighbours(self, seed: int, unused: np.ndarray, most: int | None = None) -> list[int]:
+        """Unused documents that share words with the seed, best first; all of them without `most`."""
+        asked = self.words[self.first[seed] : self.first[seed + 1]]
         if not len(asked):
             return []
         at = ranges(self.begin[asked], self.begin[asked + 1] - self.begin[asked])
-        own = self.doc[at]
-        score = np.bincount(own, weights=self.weight[at], minlength=self.n)
-        held = np.zeros(self.n, dtype=bool)
-        held[own] = True
-        docs = np.flatnonzero(held & unused)
-        return docs[np.argsort(-score[docs], kind="stable")[:most]].tolist()
+        held = np.zeros(len(self.rows))
+        held[self.row[asked]] = 1
+        score = held @ self.rows + np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+        score[~unused] = 0  # every weight is positive
+        score = np.ceil(score * 1e9)  # sums in another order are still ties
+        docs = np.flatnonzero(score)
+        if most is not None and len(docs) > most:
+            least = np.partition(score[docs], len(docs) - most)[len(docs) - most]
+            docs = docs[score[docs] >= least]  # with its ties
+        return docs[np.argsort(-score[docs], kind="stable")].tolist()
 
 
 def fill(sizes: np.ndarray, index: Index, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -222,23 +304,28 @@ def fill(sizes: np.ndarray, index: Index, window: int = WINDOW) -> list[list[tup
     sequences: list[list[tuple[int, int, int]]] = []
     now: list[tuple[int, int, int]] = []
     room, queue, follow = window, [], 0
-    last = None
+    seed = last = None
+    left = held = len(sizes)
 
     def next_document() -> int | None:
-        nonlocal queue, follow
-        if last is not None:
-            for again in (False, True):
-                while queue:
-                    if unused[d := queue.pop()]:
-                        return d
-                if not again:
-                    queue = index.neighbours(last, unused, None, None)[::-1]
+        nonlocal queue, follow, seed
+        while seed is not None:
+            while queue:
+                if unused[d := queue.pop()]:
+                    return d
+            queue = index.neighbours(seed, unused, ASKED)[::-1]
+            if not queue:  # nothing left that shares a word with the seed: the last document asks
+                seed = last if seed != last else None
         while follow < len(sizes) and not unused[follow]:
             follow += 1
         return follow if follow < len(sizes) else None
 
     while (doc := next_document()) is not None:
         unused[doc] = False
+        left -= 1
+        if left < 0.7 * held:
+            held = left
+            index.forget(unused)
         start, size = 0, int(sizes[doc])
         while start < size:
             n = min(room, size - start)
@@ -247,8 +334,8 @@ def fill(sizes: np.ndarray, index: Index, window: int = WINDOW) -> list[list[tup
             if not room:
                 sequences.append(now)
                 now, room = [], window
-                queue = []  # what is left of this document seeds the next window
-        last = doc
+                queue, seed = [], doc  # what is left of this document seeds the next window
+        seed, last = doc if seed is None else seed, doc
     if now:
         sequences.append(now)
     return sequences
@@ -286,17 +373,18 @@ def _distinct(parts: int) -> Callable:
     """Of a shard, its words and how many of its documents hold each, by ranges of hashes."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        found, counts, words = [], [], 0
         texts = table["text"].combine_chunks()
+        found, counts, words = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
         for low, high in wordhash.chunks(texts, 1 << 20):
             split = pieces(texts.slice(low, high - low))
             own, code = np.unique(split.hashes(), return_inverse=True)
-            pair = np.unique(code * (high - low) + split.doc)
-            times = np.bincount(pair // (high - low), minlength=len(own))
+            held = np.sort(code * (high - low) + split.doc)
+            held = held[np.append(True, held[1:] != held[:-1])[: len(held)]] // (high - low)
             found.append(own)
-            counts.append(times)
+            counts.append(np.bincount(held, minlength=len(own)))
             words += len(code)
-        keys, df = _summed(np.concatenate(found), np.concatenate(counts))
+        keys, code = np.unique(np.concatenate(found), return_inverse=True)
+        df = np.bincount(code, weights=np.concatenate(counts), minlength=len(keys))
         cuts = np.searchsorted(keys >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
         spans = list(zip(cuts[:-1], cuts[1:], strict=True))
         return pa.table(
@@ -344,20 +432,17 @@ def _pack(path: str, window: int, with_ids: bool) -> Callable:
             np.frombuffer(b"".join(counts[c].to_pylist()), kind) for c, kind in (("hashes", np.uint64), ("df", np.int64))
         )
         corpus = Corpus(counts["documents"][0].as_py(), counts["words"][0].as_py(), known, df)
+        del counts
         table = table.sort_by([("rank", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
         ids, texts = table["doc_id"].combine_chunks(), table["text"].combine_chunks()
-        found = []
-        for low, high in wordhash.chunks(texts, 1 << 20):
-            own, offsets, words, hashes = tokenizers[0].encode(texts.slice(low, high - low))
-            found.append((own, offsets, words.doc, hashes))
-        tokens = np.concatenate([t[0] for t in found])
-        sizes = np.concatenate([np.diff(t[1]) for t in found])
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        before = np.cumsum([0, *(len(t[1]) - 1 for t in found)])
-        doc = np.concatenate([t[2] + c for t, c in zip(found, before, strict=False)])
-        hashes = np.concatenate([t[3] for t in found])
-        del found, texts, table, own, words
-        made = fill(sizes, Index(doc, hashes, len(sizes), corpus), window)
+        found = tokenizers[0].encode(texts)
+        del texts, table
+        tokens, offsets = found.ids, found.offsets
+        sizes = np.diff(offsets)
+        index = Index.of(found, corpus)
+        del found
+        made = fill(sizes, index, window)
+        del index
         if made and sum(n for _, _, n in made[-1]) < window:
             made[-1:] = binary(made[-1])
         rows, sequence = [], key[0].as_py() << 32
