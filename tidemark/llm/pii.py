@@ -6,6 +6,9 @@ rewritten character knows the span of the source it stands for, so what the same
 rewritten text is reported by offsets of the source.  Such spans are added where they hold a rewritten
 character and overlap no base span of their kind.
 
+Most texts hold nothing of the kind; whole batches are first searched for traces of any format or disguise by
+linear-time expressions, and only texts with a trace are looked at one by one.
+
 Offsets are code points, ends exclusive.  Null and empty texts have no spans; repeated rows get equal
 spans; spans are ordered by kind and start; extra columns don't matter; an empty table gives an empty
 result.
@@ -15,10 +18,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +34,7 @@ RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 #: The base formats.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # a run of digits is tried from its start alone
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -63,6 +69,8 @@ def _homoglyphs() -> dict[int, str]:
 HOMOGLYPHS = _homoglyphs()
 _HOMOGLYPH = re.compile("[" + re.escape("".join(map(chr, HOMOGLYPHS))) + "]")
 _SPOKEN = {w: str(d) for words in DIGIT_WORDS.values() for d, w in enumerate(words.split())} | SIGN_WORDS
+#: Letters that (?i) takes for ASCII ones and lower() doesn't turn into them.
+_FOLDED = str.maketrans("\u017f\u0131\u0130\u212a", "siik")
 _ONE = "|".join(sorted(_SPOKEN, key=lambda w: (-len(w), w)))
 _DIGIT = "|".join(sorted((w for w in _SPOKEN if _SPOKEN[w].isdigit()), key=lambda w: (-len(w), w)))
 _TOKEN = re.compile(rf"(?i:{_ONE})")
@@ -108,7 +116,7 @@ def detect(text: str) -> dict[str, list[tuple[int, int]]]:
     """The base spans of each kind."""
     out = {"email": list(emails(text)), "ip": [], "card": [], "phone": []}
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m.group().split(".")):
+        if all(len(p) < 4 and int(p or "0") < 256 for p in (x.lstrip("0") for x in m.group().split("."))):
             out["ip"].append(m.span())
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
@@ -127,27 +135,29 @@ class Aligned:
     """A rewritten text; character i stands for source characters low[i] to high[i]."""
 
     text: str
-    low: list[int]
-    high: list[int]
-    changed: list[bool]
+    low: array
+    high: array
+    changed: bytearray
 
     @classmethod
     def of(cls, text: str) -> Aligned:
-        return cls(text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text))
+        n = len(text)
+        return cls(text, array("q", range(n)), array("q", range(1, n + 1)), bytearray(n))
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Aligned:
         """Replaces spans (ascending, apart from each other) of this text."""
         if not edits:
             return self
-        text, low, high, changed, at = [], [], [], [], 0
+        text, low, high, changed, at = [], array("q"), array("q"), bytearray(), 0
         for start, end, new in edits:
-            for piece, own in ((text, self.text[at:start]), (low, self.low[at:start]),
-                               (high, self.high[at:start]), (changed, self.changed[at:start])):
-                piece.extend(own)
+            text.append(self.text[at:start])
+            low.extend(self.low[at:start])
+            high.extend(self.high[at:start])
+            changed.extend(self.changed[at:start])
             text.extend(new)
-            low.extend([self.low[start]] * len(new))
-            high.extend([self.high[end - 1]] * len(new))
-            changed.extend([True] * len(new))
+            low.extend(array("q", [self.low[start]]) * len(new))
+            high.extend(array("q", [self.high[end - 1]]) * len(new))
+            changed.extend(b"\1" * len(new))
             at = end
         text.extend(self.text[at:])
         return Aligned(
@@ -163,7 +173,7 @@ def spelled_digits(a: Aligned) -> Aligned:
     """Runs of digit words: each word becomes its sign, and what stands between them goes."""
     edits = []
     for run in _SPELLED.finditer(a.text):
-        words = [(m.start() + run.start(), m.end() + run.start(), _SPOKEN[m.group().lower()]) for m in _TOKEN.finditer(run.group())]
+        words = [(m.start() + run.start(), m.end() + run.start(), _SPOKEN[m.group().translate(_FOLDED).lower()]) for m in _TOKEN.finditer(run.group())]
         if sum(sign.isdigit() for _, _, sign in words) < LEAST_DIGITS:
             continue
         for k, (start, end, sign) in enumerate(words):
@@ -205,7 +215,8 @@ def added(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[t
         for low, high in spans:
             if any(a.changed[low:high]):
                 start, end = a.low[low], a.high[high - 1]
-                if all(end <= s or e <= start for s, e in base[kind]):
+                after = bisect_left(base[kind], (end,))  # base spans are ascending and apart from each other
+                if not after or base[kind][after - 1][1] <= start:
                     out[kind].append((start, end))
     return out
 
@@ -221,23 +232,54 @@ def written(spans: dict[str, list[tuple[int, int]]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in spans[k])
 
 
+def _traces() -> list[str]:
+    """RE2 expressions, one of which each text matches that has any span."""
+    space = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"  # as Python's \s
+    gap = space[:-1] + ",-]{1,3}"
+    points = sorted(HOMOGLYPHS)
+    return [
+        "@",
+        r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]",
+        r"[0-9](?:[\x20-]?[0-9]){12}",
+        r"\+[0-9]",
+        "[" + "".join(f"\\x{{{c:x}}}" for c in points) + "]",
+        rf"(?i)(?:{_DIGIT}){gap}(?:{_ONE})",
+        "[\u0131\u0130]",  # (?i) doesn't fold these here
+        rf"(?i)(?:[\[({{<]|{space})(?:dot|point|punkt|punto)(?:[\])}}>]|{space})",
+        rf"(?i)[\[({{<]{space}?(?:at|arroba|chez){space}?[\])}}>]",
+    ]
+
+
+TRACES = _traces()
+
+
+def suspects(texts: pa.Array) -> list[int]:
+    """Rows whose text may have a span."""
+    found = None
+    for trace in TRACES:
+        own = pc.match_substring_regex(texts, trace)
+        found = own if found is None else pc.or_(found, own)
+    return pc.indices_nonzero(pc.fill_null(found, False)).to_pylist()
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, digests, spans = [], [], []
-        for text in batch["text"]:
+        n = batch.num_rows
+        counts = {k: [0] * n for k in KINDS}
+        digests, spans = [_NOTHING] * n, [""] * n
+        rows = suspects(batch["text"])
+        for row, text in zip(rows, batch["text"].take(pa.array(rows, pa.int64())), strict=True):
             base, every = find(text.as_py())
-            counts.append([len(base[k]) for k in KINDS])
-            digests.append(hashlib.sha256(written(base).encode()).hexdigest())
-            spans.append(written(every))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch["doc_id"],
-                *(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))),
-                pa.array(digests, pa.string()),
-                pa.array(spans, pa.string()),
-            ],
-            names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
-        )
+            for kind in KINDS:
+                counts[kind][row] = len(base[kind])
+            digests[row] = hashlib.sha256(written(base).encode()).hexdigest()
+            spans[row] = written(every)
+        columns = [*(pa.array(c, pa.int64()) for c in counts.values()), pa.array(digests, pa.string()), pa.array(spans, pa.string())]
+        names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=names)
+
+
+_NOTHING = hashlib.sha256(b"").hexdigest()
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
