@@ -6,14 +6,15 @@ A boundary depends on the bytes near it alone, so an insertion shifts boundaries
 most chunks.  The fingerprint is the set of chunk digests with their lengths; the likeness of one text
 to another is the share of its set's length that the other's set contains.
 
-For the edited texts, documents are dealt into ranges of ascending key.  Range bounds are keys that
-occur, so the first document of a range is known and is also sent to the range before it; each
-document's text crosses the network once.
+For the edited texts, documents are dealt into ranges of ascending (doc_id, hash of the text), a task each, of
+about equal bytes by a bounded sample (`SAMPLE_ROWS`).  The first document of each range is also needed by the range
+before it: every scan task sends its own first document of a range there, so each document's text crosses the
+network once, and a text a range and scan task once more.
 
 Null texts count as empty; an empty text has the empty fingerprint, which is fully contained in an
 empty one and not at all in others.  A null key comes before all others; rows that repeat a key follow
-by text.  A single row is its own successor.  Extra columns don't matter; an empty table gives an empty
-result.
+by a hash of their texts, so that no key's rows are one range (rows that repeat the text too are).  A single row is its own successor.  Extra columns
+don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from tidemark.llm import wordhash
 
 LEAST, NORMAL, MOST = 32, 64, 255
 STRICT, LOOSE = np.uint32(0xFF << 24), np.uint32(0xF << 28)
-RANGE_BYTES = 16 << 20
-NULL_ID = np.iinfo(np.int64).min
+RANGE_BYTES = 64 << 20  # of text a range, about
+LEAST_RANGES = 24  # of a text table of some size, so that small clusters are busy
+SAMPLE_ROWS = 1 << 20  # at most, from which range bounds come
+LEAST_ID = np.iinfo(np.int64).min
 RESULT = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
@@ -108,42 +111,56 @@ def likeness(own: np.ndarray, other: np.ndarray) -> float:
     return float((shared & np.uint64(255)).sum()) / float((own & np.uint64(255)).sum())
 
 
-def _deal(bounds: np.ndarray, least: int) -> Callable:
-    """Rows by range; the first row of each range goes to the range before it too, the very first to the last."""
+def _order(ids: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two integers a row by which rows are in order; null ids come before the least one."""
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    tie = (hashes >> 1) & np.int64((1 << 62) - 1)
+    return ids.fill_null(LEAST_ID).to_numpy(), np.where(null, tie - np.int64(1 << 62), tie)
+
+
+def _range_of(bounds: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Number of bounds at or before each row; bounds: (n, 2), ascending."""
+    low = np.searchsorted(bounds[:, 0], ids, side="left")
+    high = np.searchsorted(bounds[:, 0], ids, side="right")
+    for i in np.unique(ids[high > low]):  # ids that are bounds: their ties decide
+        rows = np.flatnonzero(ids == i)
+        a, b = low[rows[0]], high[rows[0]]
+        low[rows] = a + np.searchsorted(bounds[a:b, 1], ties[rows], side="right")
+    return low
+
+
+def _deal(bounds: np.ndarray) -> Callable:
+    """Rows by range; a task's first row of each range goes to the range before it too, and that of the first to the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: dict[int, tuple] = {}
         for batch in batches:
-            ids = batch["doc_id"].to_numpy()
-            part = np.searchsorted(bounds, ids, side="right")
-            rows = np.arange(len(ids))
-            heads = rows[np.isin(ids, bounds)]
-            first = rows[ids == least]
-            if len(heads) or len(first):
-                order = np.array(batch["text"].take(pa.array(np.concatenate([heads, first]))).to_pylist(), dtype=object)
-                heads = _lowest(ids, heads, order[: len(heads)])
-                first = _lowest(ids, first, order[len(order) - len(first) :]) if len(first) else first
-            take = np.concatenate([rows, heads, first])
+            ids, ties = _order(batch["doc_id"], batch["tie"].to_numpy())
+            part = _range_of(bounds, ids, ties)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([part, part[heads] - 1, np.full(len(first), len(bounds))]), pa.int32()),
-                    pa.array(np.repeat([0, 1, 1], [len(rows), len(heads), len(first)]), pa.int32()),
-                    batch["doc_id"].take(pa.array(take)),
-                    batch["text"].take(pa.array(take)),
-                ],
-                names=["part", "extra", "doc_id", "text"],
+                [pa.array(part, pa.int32()), pa.array(np.zeros(len(part), np.int32)), batch["doc_id"], pa.array(ties), batch["text"]],
+                names=_DEALT,
             )
+            order = np.lexsort((ties, ids, part))
+            for row in order[np.append(True, part[order][1:] != part[order][:-1])[: len(order)]].tolist():
+                text = batch["text"][row]
+                key = (int(ids[row]), int(ties[row]), text.as_py().encode())
+                if (k := int(part[row])) not in heads or key < heads[k][0]:
+                    heads[k] = (key, batch["doc_id"][row].as_py())
+        found = [((k - 1) % (len(bounds) + 1), doc, key) for k, (key, doc) in heads.items()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([f[0] for f in found], pa.int32()), pa.array([1] * len(found), pa.int32()),
+                pa.array([f[1] for f in found], pa.int64()), pa.array([f[2][1] for f in found], pa.int64()),
+                pa.array([f[2][2].decode() for f in found], pa.string()),
+            ],
+            names=_DEALT,
+        )
 
     return run
 
 
-def _lowest(ids: np.ndarray, rows: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Of rows with one id the one with the lowest text."""
-    best: dict[int, tuple] = {}
-    for row, text in zip(rows.tolist(), texts.tolist(), strict=True):
-        key = int(ids[row])
-        if key not in best or text.encode() < best[key][0]:
-            best[key] = (text.encode(), row)
-    return np.array([row for _, row in best.values()], dtype=np.int64)
+_DEALT = ["part", "extra", "doc_id", "tie", "text"]
 
 
 def _edited(text: str, following: str) -> str:
@@ -152,32 +169,25 @@ def _edited(text: str, following: str) -> str:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of range, own rows before the added one; each own row meets the next row."""
-    pending: list[tuple] = []
-    size = 0
-
-    def flush(rows: list[tuple]) -> pa.RecordBatch | None:
-        pairs = [
-            (i, rows[i][2], rows[i][3], rows[i + 1][3])
-            for i in range(len(rows) - 1)
-            if not rows[i][1] and rows[i][0] == rows[i + 1][0]
-        ]
-        if not pairs:
-            return None
-        edited = [_edited(text, following).encode() for _, _, text, following in pairs]
-        prints = fingerprints([r[3].encode() for r in rows] + edited)
+    """Rows of one range in order, then the lowest of the added ones; each own row meets the next row."""
+    pending: list[tuple] = []  # (doc_id, text)
+    size, ended = 0, False
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        edited = [_edited(a[1], b[1]).encode() for a, b in zip(rows, rows[1:])]
+        prints = fingerprints([r[1].encode() for r in rows] + edited)
         out = []
-        for k, (i, doc, text, _) in enumerate(pairs):
-            own, changed = prints[i], prints[len(rows) + k]
+        for k, (doc, text) in enumerate(rows[:-1]):
+            own, changed = prints[k], prints[len(rows) + k]
             out.append(
                 (
-                    None if doc == NULL_ID else doc,
+                    doc,
                     len(text),
                     hashlib.sha256(edited[k]).hexdigest(),
                     written(own),
                     written(changed),
                     likeness(own, changed),
-                    likeness(own, prints[i + 1]),
+                    likeness(own, prints[k + 1]),
                 )
             )
         return pa.RecordBatch.from_arrays(
@@ -185,15 +195,19 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        for row in zip(*(batch[c].to_pylist() for c in ("part", "extra", "doc_id", "text")), strict=True):
-            pending.append(row)
-            size += len(row[3])
+        if ended:
+            continue
+        for extra, doc, text in zip(*(batch[c].to_pylist() for c in ("extra", "doc_id", "text")), strict=True):
+            pending.append((doc, text))
+            size += len(text)
+            if extra:
+                ended = True
+                break
             if size > 1 << 19 and len(pending) > 1:
-                if (made := flush(pending)) is not None:
-                    yield made
-                pending, size = pending[-1:], len(row[3])
-    if pending and (made := flush(pending)) is not None:
-        yield made
+                yield flush(pending)
+                pending, size = pending[-1:], len(text)
+    if len(pending) > 1:
+        yield flush(pending)
 
 
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -202,22 +216,32 @@ _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.floa
 
 def compare(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and its edited text, and likenesses to that and to the next text."""
-    rows = df.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-    )
-    size, least = rows.agg(F.sum(F.octet_length("text")), F.min("doc_id")).first()
-    ranges = (size or 0) // RANGE_BYTES + 1
-    bounds: list[int] = []
-    if ranges > 1:
-        at = [i / ranges for i in range(1, ranges)]
-        bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", at, 20 * ranges)).first()[0]))
-    dealt = rows.mapInArrow(
-        _deal(np.array(bounds, dtype=np.int64), NULL_ID if least is None else least),
-        "part int, extra int, doc_id long, text string",
-    )
-    ordered = dealt.repartition("part").sortWithinPartitions("part", "extra", "doc_id", "text")
-    return ordered.mapInArrow(_compare, RESULT)
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    count, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    bounds = _bounds(rows, count, size or 0)
+    schema = "part int, extra int, doc_id long, tie long, text string"
+    dealt = rows.mapInArrow(_deal(bounds), schema).repartitionById(len(bounds) + 1, "part")
+    return dealt.sortWithinPartitions("extra", F.col("doc_id").asc_nulls_first(), "tie", "text").mapInArrow(_compare, RESULT)
+
+
+def _bounds(rows: DataFrame, count: int, size: int) -> np.ndarray:
+    """Up to one bound for each range but the first: (doc_id, tie) of sampled rows; each starts a range."""
+    ranges = min(max(-(-size // RANGE_BYTES), min(LEAST_RANGES, size >> 20)), SAMPLE_ROWS // 64)
+    if ranges < 2:
+        return np.empty((0, 2), np.int64)
+    # rows of the smallest hashes of key and text; equal rows come as one
+    wanted = min(count, SAMPLE_ROWS // 2, 256 * ranges)
+    sample = F.pmod(F.xxhash64(F.lit(4), "doc_id", "tie"), F.lit(1 << 40)) <= int((1 << 40) * wanted / count)
+    found = rows.where(sample).groupBy("doc_id", "tie").agg(F.sum(F.octet_length("text") + 64).alias("size")).limit(SAMPLE_ROWS).toArrow()
+    ids, ties = _order(found["doc_id"].combine_chunks(), found["tie"].combine_chunks().to_numpy())
+    order = np.lexsort((ties, ids))
+    filled = np.cumsum(found["size"].to_numpy()[order])
+    if not len(filled):
+        return np.empty((0, 2), np.int64)
+    at = np.unique(np.searchsorted(filled, filled[-1] / ranges * np.arange(1, ranges)))
+    at = at[at > 0]  # rows before the first bound are a range too
+    return np.stack([ids[order][at], ties[order][at]], axis=1)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
