@@ -61,3 +61,11 @@ class Tables:
 def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A staged table, marked for broadcast if it has few rows; otherwise Spark joins it by shuffling."""
     return F.broadcast(table) if table.count() <= rows else table
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or the first of its lengthened forms that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
