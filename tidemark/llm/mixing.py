@@ -6,14 +6,15 @@ documents.  Documents are counted by exact length; most of the budget is taken p
 lengths, and a bounded-knapsack dynamic programme over the remaining counts settles the rest exactly
 (or as near as sums of lengths come).  Which documents of a length are taken follows a seeded hash.
 
-Lengths are also dealt into `SALTS` hash classes, so that neither a hot source nor a hot length puts
-more than a small share of the rows into one window; the programme of a source sees at most
-(distinct lengths x SALTS) counts however many rows it has.  Per-source totals come to the driver: one
-row a source.
+A length of a source with more than `SALT_ROWS` rows is dealt into hash classes of about that many, so that
+neither a hot source nor a hot length puts more rows into one window; the programme of a source sees one
+count a distinct length however many rows it has.  Sources are ordered by range, and their targets settle
+in rounds that bring two numbers to the driver; tables of one row a source are broadcast only if small.
 
 Nulls: a null text has no words and is never taken; a null source is a source of its own, last in
 order; a null doc_id hashes as a value of its own.  Repeated rows are separate documents.  Extra
-columns don't matter; an empty table gives an empty result.
+columns stay, but for those that have the name of a new one, which are replaced; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -24,32 +25,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.staging import staged
+from tidemark.llm.staging import Tables, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 REPEATS = 3
-SALTS = 16
+SALT_ROWS = 1 << 20
+STRIDE = 32  # steps of the programme between the sums that are kept
 SEED = 42
+NAMES = {c: c for c in ("size", "source_size", "target", "copies")}
 
 
-def share(sizes: list[int], weights: list[float], repeats: int = REPEATS) -> list[float]:
-    """Targets by weight that add up to the sum of sizes, none above repeats x its size."""
-    targets = [0.0] * len(sizes)
-    active = [i for i, size in enumerate(sizes) if size > 0]
-    left = float(sum(sizes))
-    while active:
-        total = sum(weights[i] for i in active)
-        full = [i for i in active if left * weights[i] / total > repeats * sizes[i]]
-        if not full:
-            for i in active:
-                targets[i] = left * weights[i] / total
+def shared(sources: DataFrame, repeats: int) -> DataFrame:
+    """sources (_weight, _total and more) with _target: by weight, adding up to all totals, none above repeats x its own.
+
+    The targets are the least of the bound and level x weight; a round finds the level that the sources below
+    their bounds share, until no further source reaches its bound.
+    """
+    level = None
+    while True:
+        full = F.lit(False) if level is None else F.col("_weight") * level > F.col("_total") * repeats
+        row = sources.where("_total > 0").agg(
+            F.sum("_total").alias("all"),
+            F.sum(F.when(full, F.col("_total") * repeats)).alias("held"),
+            F.sum(F.when(~full, F.col("_weight"))).alias("weight"),
+        ).first()  # three numbers, whatever the number of sources
+        new = ((row["all"] or 0) - (row["held"] or 0)) / row["weight"] if row["weight"] else level or 0.0
+        if level is not None and new <= level:
             break
-        for i in full:
-            targets[i] = float(repeats * sizes[i])
-        left -= sum(targets[i] for i in full)
-        active = [i for i in active if i not in full]
-    return targets
+        level = float(new)
+    target = F.least(F.col("_total") * float(repeats), F.col("_weight") * level)
+    return sources.withColumn("_target", F.when(F.col("_total") > 0, target).otherwise(0.0))
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -76,12 +82,15 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         left -= n * int(lengths[i])
     sums, steps = 1, []
     limit = (1 << (left + int(lengths.max()) + 1)) - 1  # sums past the budget by one document at most
+    kept = {0: sums}  # what the sums were before every STRIDE-th step; those between are made again
     for i in np.argsort(lengths):
         spare, block = int(counts[i] - taken[i]), 1
         while spare > 0 and not sums >> left & 1:
             n = min(block, spare)
-            steps.append((i, n, sums))
+            steps.append((i, n))
             sums |= sums << n * int(lengths[i]) & limit
+            if len(steps) % STRIDE == 0:
+                kept[len(steps)] = sums
             spare -= n
             block *= 2
         if sums >> left & 1:
@@ -90,24 +99,36 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     above = sums >> left + 1
     above = left + (above & -above).bit_length() if above else None
     at = below if above is None or left - below <= above - left else above
-    for i, n, before in reversed(steps):
-        if not before >> at & 1:
-            taken[i] += n
-            at -= n * int(lengths[i])
+    for low in reversed(range(0, len(steps), STRIDE)):
+        part, before = steps[low : low + STRIDE], [kept[low]]
+        for i, n in part[:-1]:
+            before.append(before[-1] | before[-1] << n * int(lengths[i]) & limit)
+        for (i, n), sums in zip(reversed(part), reversed(before), strict=True):
+            if not sums >> at & 1:
+                taken[i] += n
+                at -= n * int(lengths[i])
     return taken
 
 
 def _quotas(pdf: pd.DataFrame) -> pd.DataFrame:
-    """_quota of each (size, salt) of one source; salts of a length are filled in order."""
-    pdf = pdf.sort_values(["_size", "_salt"], kind="stable")
-    lengths, first = np.unique(pdf["_size"].to_numpy(), return_index=True)
-    n = pdf["n"].to_numpy(dtype=np.int64)
-    counts = np.add.reduceat(n, first)
-    taken = fit(lengths, counts, int(pdf["budget"].iloc[0]))
-    before = np.cumsum(n) - n
-    before -= np.repeat(before[first], np.diff(np.append(first, len(n))))
-    quota = np.clip(np.repeat(taken, np.diff(np.append(first, len(n)))) - before, 0, n)
-    return pdf.assign(_quota=quota)[["_source", "_size", "_salt", "_quota"]]
+    """_quota of each length of one source."""
+    taken = fit(pdf["_size"].to_numpy(), pdf["n"].to_numpy(dtype=np.int64), int(pdf["_budget"].iloc[0]))
+    return pdf.assign(_quota=taken)[["_source", "_size", "_quota"]]
+
+
+def _weighted(sources: DataFrame, weights: tuple[float, ...], tables: Tables) -> DataFrame:
+    """sources with _weight by rank: sorted by range, ranks follow from the number of rows of each range."""
+    ordered = sources.repartitionByRange(F.col("_source") == "", "_source").sortWithinPartitions(F.col("_source") == "", "_source")
+    ordered = ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % F.lit(1 << 33)})
+    ordered = tables.add(ordered, "mixing-sources")
+    before, total = {}, 0
+    for part, n in sorted(map(tuple, ordered.groupBy("_part").count().collect())):  # one row a range
+        before[part], total = total, total + n
+    if not before:
+        return ordered.withColumn("_weight", F.lit(0.0))
+    first = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_part"))
+    place = F.pmod(first + F.col("_at"), F.lit(len(weights)))
+    return ordered.withColumn("_weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), place.cast("int")))
 
 
 def mix(
@@ -118,49 +139,73 @@ def mix(
     weights: tuple[float, ...] = WEIGHTS,
     repeats: int = REPEATS,
     seed: int = SEED,
+    names: dict[str, str] = NAMES,
 ) -> DataFrame:
-    """The given columns and size, source_size, target, copies: how often the mix takes each document."""
-    order = F.xxhash64(F.lit(seed), F.col(key), F.col("_size"))
+    """The given columns and size, source_size, target, copies (how often the mix takes each document).
+
+    names: other names for the new columns.
+    """
+    tables = Tables(df.sparkSession)
+    new = {n.lower() for n in names.values()}
+    own = [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(df.columns) if c.lower() not in new]
+    back = [F.col(f"_own_{i}").alias(c) for i, c in enumerate(df.columns) if c.lower() not in new]
     # a null source gets a key of its own, so that one exchange serves the ranks and the join with quotas
-    sized = df.withColumns(
-        {
-            "_source": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")),
-            "_size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"),
-        }
-    ).withColumn("_salt", F.pmod(order, F.lit(SALTS)).cast("int"))
-    keys = ["_source", "_size", "_salt"]
-    histogram = sized.groupBy(*keys).agg(F.count("*").alias("n"))
-    histogram = staged(histogram, "mixing-lengths")  # read twice: for totals and for quotas
-    totals = histogram.groupBy("_source").agg(F.sum(F.col("_size") * F.col("n")).alias("total")).collect()
-    totals.sort(key=lambda r: (not r["_source"], r["_source"]))
-    sizes = [r["total"] for r in totals]
-    plan = []
-    for row, size, target in zip(
-        totals, sizes, share(sizes, [weights[i % len(weights)] for i in range(len(sizes))], repeats), strict=True
-    ):
-        full = min(repeats, int(target // size)) if size else 0
-        plan.append((row["_source"], size, target, full, round(target - full * size)))
-    plans = df.sparkSession.createDataFrame(
-        plan, "_source string, _total long, _target double, _full long, budget long"
-    )  # one row a source
-    quotas = (
+    sized = df.select(
+        *own,
+        F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("_source"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+        F.col(key).alias("_id"),
+        F.xxhash64(text).alias("_hash"),
+    ).withColumn("_order", F.xxhash64(F.lit(seed), "_id", "_size"))
+    histogram = tables.add(sized.groupBy("_source", "_size").agg(F.count("*").alias("n")), "mixing-lengths")
+    totals = histogram.groupBy("_source").agg(F.sum(F.col("_size") * F.col("n")).alias("_total"))
+    plans = shared(_weighted(totals, weights, tables), repeats)
+    full = F.least(F.lit(repeats), F.floor(F.col("_target") / F.col("_total")))
+    plans = plans.withColumn("_full", F.when(F.col("_total") > 0, full).otherwise(0).cast("long"))
+    plans = plans.withColumn("_budget", F.round(F.col("_target") - F.col("_full") * F.col("_total")).cast("long"))
+    plans = tables.add(plans.select("_source", "_total", "_target", "_full", "_budget"), "mixing-plans")
+    quotas = tables.add(
         histogram.where("_size > 0")
-        .join(F.broadcast(plans.where("budget > 0").select("_source", "budget")), "_source")
+        .join(small(plans.where("_budget > 0").select("_source", "_budget")), "_source")
         .groupBy("_source")
-        .applyInPandas(_quotas, "_source string, _size long, _salt int, _quota long")
-        .where("_quota > 0")
+        .applyInPandas(_quotas, "_source string, _size long, _quota long")
+        .where("_quota > 0"),
+        "mixing-quotas",
     )
-    ranked = sized.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order, F.col(key))))
+    # hash classes of hot lengths; their quotas are filled in order of the classes
+    hot = histogram.where(F.col("n") > SALT_ROWS).select("_source", "_size", F.ceil(F.col("n") / SALT_ROWS).alias("_salts"))
+    hot = tables.add(hot, "mixing-hot")
+    salted = sized.withColumn("_salt", F.lit(0).cast("long"))
+    if not hot.isEmpty():
+        salted = sized.join(small(hot), ["_source", "_size"], "left").withColumn(
+            "_salt", F.coalesce(F.pmod(F.xxhash64(F.lit("salt"), "_order", "_hash"), F.col("_salts")), F.lit(0))
+        )
+        classes = salted.where("_salts is not null").groupBy("_source", "_size", "_salt").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("_source", "_size").orderBy("_salt")) - F.col("n")
+        parts = tables.add(classes.withColumn("_before", before), "mixing-classes")
+        quotas = quotas.join(parts, ["_source", "_size"], "left").select(
+            "_source",
+            "_size",
+            F.coalesce("_salt", F.lit(0).cast("long")).alias("_salt"),
+            F.when(F.col("_salt").isNull(), F.col("_quota"))
+            .otherwise(F.greatest(F.lit(0), F.least("n", F.col("_quota") - F.col("_before"))))
+            .alias("_quota"),
+        )
+    else:
+        quotas = quotas.withColumn("_salt", F.lit(0).cast("long"))
+    keys = ["_source", "_size", "_salt"]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_order", "_id", "_hash"))
     copies = F.col("_full") + (F.col("_rank") <= F.coalesce(F.col("_quota"), F.lit(0))).cast("long")
     return (
-        ranked.join(quotas, keys, "left")
-        .join(F.broadcast(plans.drop("budget")), "_source")
+        salted.withColumn("_rank", rank)
+        .join(quotas, keys, "left")
+        .join(small(plans), "_source")
         .select(
-            *[F.col(c) for c in df.columns if c not in ("size", "source_size", "target", "copies")],
-            F.col("_size").alias("size"),
-            F.col("_total").alias("source_size"),
-            F.col("_target").alias("target"),
-            F.when(F.col("_size") == 0, 0).otherwise(copies).cast("long").alias("copies"),
+            *back,
+            F.col("_size").alias(names["size"]),
+            F.col("_total").alias(names["source_size"]),
+            F.col("_target").alias(names["target"]),
+            F.when(F.col("_size") == 0, 0).otherwise(copies).cast("long").alias(names["copies"]),
         )
     )
 
