@@ -57,4 +57,49 @@ def test_stages(spark, folder):
 
 def test_run_is_the_stages_in_a_row(spark, folder):
     path, _ = folder
-    assert corpus_pipeline.run(spark, path).count() > 0
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, path)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    ran = corpus_pipeline.run(spark, path)
+    key = ["doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert sorted(map(str, ran.select(key).collect())) == sorted(map(str, docs.select(key).collect()))
+    assert ran.count() == docs.count() > 0
+
+
+TAKEN = "score double, base string, spans string, kept int, size long, source_size int, target string, copies string, _key int, _again int, _n int, _toxicity int, _size int"
+
+
+def test_stages_keep_extra_columns_of_any_name(spark, folder):
+    path, _ = folder
+    plain = spark.read.parquet(f"{path}/documents.parquet").where("doc_id >= 300 and doc_id < 320 or doc_id > 1990")
+    extra = [(0.5, "b", "s", 4, 5, 6, "t", "c", 7, 8, 9, 10, 11)]
+    wide = plain.crossJoin(spark.createDataFrame(extra, TAKEN))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made, lean = stage(spark, wide, path), stage(spark, plain, path)
+        assert made.columns == wide.columns
+        rows = made.collect()
+        assert all(tuple(r)[5:] == extra[0] for r in rows)
+        assert sorted(map(str, (tuple(r)[:5] for r in rows))) == sorted(map(str, map(tuple, lean.collect()))), name
+
+
+def test_stages_pass_empty_tables(spark, folder):
+    path, _ = folder
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, path)
+        assert docs.count() == 0, name
+        docs = spark.createDataFrame([], docs.schema)
+
+
+def test_repeated_ids_lose_copies_alone(spark, folder):
+    rng = random.Random(3)
+    text = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(50)) for _ in range(5)]
+    rows = [(7, text[0]), (7, text[1]), (7, text[1]), (7, None), (8, text[0] + " tail"), (9, text[2]), (9, text[2] + " end"), (9, text[3]), (None, text[4]), (None, text[4]), (1, text[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder[0]).collect()]
+    assert sorted(k for k in kept if k[0] is None) == [(None, text[4])] * 2 and (1, text[4]) in kept
+    assert kept.count((7, text[1])) == 1 and (7, None) in kept and (9, text[3]) in kept
+    assert sum(t is not None and t.startswith(text[0]) for _, t in kept) == 1
+    assert sum(t is not None and t.startswith(text[2]) for _, t in kept) == 1
+    assert len(kept) == 8
