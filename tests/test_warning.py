@@ -124,15 +124,75 @@ def test_centroids():
     assert kept["alarm"] and kept["n_observed_confirmed"] == 0
 
 
-def test_evaluation_of_a_clip():
-    frames = [(i, i / 30, (640.0, 640.0), [row()], False) for i in range(210)]
-    got = warning.evaluate_clip("c", frames, 1.0, -1.0, True, 30.0).set_index("variant")
-    assert got.detected.all() and (got.ttd_sec == 0).all() and got.loc["full_on", "preconfirmed"]
-    quiet = [(i, i / 30, (640.0, 640.0), [row(conf=0.2)], False) for i in range(210)]
-    got = warning.evaluate_clip("c", quiet, -1.0, None, False, 30.0).set_index("variant")
-    assert got.loc["full_off", "incidents"] == 1 and got.loc["full_on", "incidents"] == 0
-    assert got.loc["full_off", "false_frames"] == got.loc["full_on", "false_frames"]
-    assert warning.evaluate_clip("c", quiet, None, None, None, 30.0).detected.isna().all()
+CLIPS = "clip string, label boolean, ignition double, aftermath double"
+
+
+def clip_rows(clip, n, conf, boxes=(), truth=(), extra=()):
+    """n frames of one track; boxes and truth are (frame, conf) and frame numbers."""
+    base = [(clip, i, i / 30, 640, 640, *row(conf=conf)[:4], 1, conf, 0, "track", True) for i in range(n)]
+    base += [(clip, i, i / 30, 640, 640, *row()[:4], None, c, 0, "box", True) for i, c in boxes]
+    return base + [(clip, i, i / 30, 640, 640, *row()[:4], None, 1.0, 0, "truth", True) for i in truth] + list(extra)
+
+
+def evaluated(spark, rows, clips, **settings):
+    kind = schemas.TRACKS + ", kind string, exact_time boolean"
+    found = warning.evaluate(spark.createDataFrame(rows, kind).repartition(3), spark.createDataFrame(clips, CLIPS), **settings)
+    return {(r.clip, r.variant): r for r in found.collect()}
+
+
+def test_evaluation_of_clips(spark):
+    hot = clip_rows("hot", 210, 0.7, [(i, 0.2 if i < 60 else 0.6) for i in range(20, 210)], [60, 61])
+    quiet = clip_rows("quiet", 210, 0.2, [(10, 0.3), (20, 0.3), (51, 0.3)])
+    late = clip_rows("late", 30, 0.7)
+    bad = clip_rows("bad", 60, 0.7, extra=[("bad", 30, 1.0, 640, 640, *row()[:4], 2, 9.0, 0, "track", False)])
+    clips = [("hot", True, 1.0, 3.0), ("quiet", False, -1.0, None), ("late", True, 5.0, None), ("bad", None, None, None)]
+    got = evaluated(spark, hot + quiet + late + bad, clips)
+    assert len(got) == 20
+    for v in ("persistence", "full_off", "full_on"):
+        r = got["hot", v]
+        assert r.observable and r.detected and r.ttd_sec == pytest.approx(0) and r.preconfirmed and r.size_tag == "TINY"
+        assert (r.reviewed_frames, r.box_tp, r.box_fp, r.box_fn) == (2, 2, 0, 0) and r.confirmations == 1
+    assert got["hot", "raw_014"].ttd_sec == pytest.approx(0) and got["hot", "raw_025"].ttd_sec == pytest.approx(1.0)
+    assert got["hot", "raw_025"].negative_frames == 30 and got["hot", "raw_014"].false_frames == 10
+    assert got["hot", "raw_014"].incidents == 1  # frames 20 to 29 are one
+    assert got["hot", "raw_025"].negative_sec == pytest.approx(1.0)
+    assert got["quiet", "raw_025"].incidents == 2 and got["quiet", "raw_025"].detected is None
+    assert got["quiet", "full_off"].incidents == 1 and got["quiet", "full_on"].incidents == 0
+    assert got["quiet", "full_off"].false_frames == got["quiet", "full_on"].false_frames
+    assert got["late", "full_off"].detected is None and got["late", "full_off"].reason == "onset_outside_observed_window"
+    r = got["bad", "full_off"]
+    assert r.refused_frames == 1 and r.frames == 60 and r.detected is None
+    assert r.reason == "event_timestamp_missing;exact_timing_unavailable"
+    assert got["bad", "raw_014"].refused_frames == 0
+    assert got["hot", "full_off"].progression_delay_sec is None
+    assert evaluated(spark, late, clips[2:3], partial=True)["late", "raw_014"].reason.startswith("partial_run")
+
+
+def test_parts_of_the_machine():
+    s = Settings()
+    assert s.needed == 8 and warning.hazard(5, 2, True, 1.0) == 100 and warning.hazard(2.5, 1.0, False, 0.5) == 25
+    assert warning.near((0, 0, 10, 10), (25, 0, 35, 10)) and not warning.near((0, 0, 10, 10), (25.1, 0, 35.1, 10))
+    x = warning.Sighting(1, (0.0, 0.0, 10.0, 10.0), 0.5, 0, True)
+    first = warning.sighted(None, x, 0.0, s)
+    again = warning.sighted(dict(first, recent=list(first["recent"])), x._replace(conf=1.0), 0.2, s)
+    assert again["ema"] == pytest.approx(0.5 + 0.5 * (1 - math.exp(-1))) and again["recent"] == [0.0, 0.2]
+    assert warning.sighted(dict(again), x, 0.8, s)["since"] == 0.8  # a new life after the gap
+    state = warning.fresh()
+    assert warning.stage_of(state, [], 1.0, s) == (1, "MONITORING")
+    assert warning.stage_of(state | {"seen": 0.7}, [], 1.0, s) == (2, "EVIDENCE_LOST_MONITORING")
+    assert warning.stage_of(state | {"seen": 0.4}, [], 1.0, s) == (4, "EVIDENCE_LOST_MONITORING")
+    assert warning.stage_of(state | {"alarm": {}}, [], 1.0, s)[0] == 1 and warning.stage_of(state | {"alarm": {"at": 0}}, [], 1.0, s)[0] == 4
+
+
+def test_a_long_stream_passes_in_batches(spark):
+    rows = [("s", i, i / 30, 640, 640, *row(conf=0.2)) for i in range(400)]
+    table = spark.createDataFrame(rows, schemas.TRACKS)
+    want = [r.stage for r in warning.replay(table).orderBy("frame_index").collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert [r.stage for r in warning.replay(table).orderBy("frame_index").collect()] == want and want[-1] == 4
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def boxes_of(rows):

@@ -174,20 +174,33 @@ def t3_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warning.candidate_boxes(rows, 0.1).select("image", "ord", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    streams = t.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 20).alias("n")).distinct()
+    return streams.select(
+        F.concat(F.lit("cam"), F.col("n").cast("string")).alias("clip"), (F.col("n") % 10 != 1).alias("label"),
+        F.when(F.col("n") % 10 == 1, -1.0).when(F.col("n") == 7, 1e9).when(F.col("n") != 5, 2.0).alias("ignition"),
+        F.when(F.col("n") % 2 == 0, 4.0).alias("aftermath"),
+    )
+
+
 def a14_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five variants of every stream."""
-    tracks = t.tracks(spark, sf_dir)
-    clips = tracks.select(F.col("stream_id").alias("clip")).distinct().select(
-        "clip", F.when(F.col("clip").endswith("1"), -1.0).otherwise(2.0).alias("ignition"), F.lit(-1.0).alias("aftermath"),
-        (~F.col("clip").endswith("1")).alias("label"),
+    """Five variants of every stream."""
+    return warning.evaluate(t.recorded(spark, sf_dir), _clips(spark, sf_dir)).drop("specificity")
+
+
+def f9_raw_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two thresholds over detector boxes of every stream."""
+    found = warning.evaluate(t.recorded(spark, sf_dir), _clips(spark, sf_dir)).where("variant LIKE 'raw%'")
+    return found.select(
+        "clip", "variant", "label", "frames", "positive_frames", "negative_frames", "false_frames", "incidents", "observable", "detected",
+        *[F.round(c, 6).alias(c) for c in ("negative_sec", "first_alarm", "ttd_sec", "false_percent", "alarms_per_hour")], "reviewed_frames", "reason",
     )
-    return warning.evaluate(tracks, clips)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        a9_occurrence, a12_statistics, a13_rigidity, a14_evaluation, a15_clip_summary, a18_complete_mean, a19_gaps,
+        a9_occurrence, a12_statistics, a13_rigidity, a14_evaluation, f9_raw_arms, a15_clip_summary, a18_complete_mean, a19_gaps,
         a20_pair_counts, a25_confirmation, w1_runs, w2_contiguous, w4_transitions, w5_coherence, w6_segments, w9_first_event,
         w10_incidents, w11_exposure, w13_operating_curve, w14_windows, w15_smoothed, f8_keyframes, o7_sample, x8_clock,
         t1_warning, t2_centroids, t3_candidates,
@@ -217,6 +230,23 @@ ORACLE_SQL = {
         SELECT l_orderkey, CAST(round(stddev_pop(l_extendedprice) / avg(l_extendedprice) * 1e6) AS BIGINT) AS area_cv,
           CAST(round(stddev_pop(l_quantity / 10) * 1e6) AS BIGINT) AS aspect_std,
           CAST(round((max(t) - min(t)) * 1e6) AS BIGINT) AS span FROM r GROUP BY l_orderkey""",
+    "f9_raw_arms": """WITH f AS (SELECT l_orderkey % 20 AS n, l_orderkey // 20 AS frame, (l_orderkey // 20) / 30 AS ts, max(l_discount * 3 + 0.012) AS conf,
+          bool_or((l_orderkey // 20) % 5 = 0 AND l_linenumber = 1) AS reviewed FROM lineitem GROUP BY l_orderkey),
+        g AS (SELECT *, CASE WHEN n % 10 = 1 THEN -1.0 WHEN n = 7 THEN 1e9 WHEN n <> 5 THEN 2.0 END AS start, conf >= least AS alarm
+          FROM f, (VALUES ('raw_025', 0.25), ('raw_014', 0.14)) v(variant, least)),
+        h AS (SELECT *, coalesce(start = -1 OR ts < start, false) AS neg, coalesce(ts - lag(ts) OVER w, 1 / 30) AS dt,
+          max(CASE WHEN alarm AND coalesce(start = -1 OR ts < start, false) THEN ts END) OVER (PARTITION BY n, variant ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+          FROM g WINDOW w AS (PARTITION BY n, variant ORDER BY ts)),
+        m AS (SELECT n, variant, any_value(start) AS start, count(*) AS frames, count(*) FILTER (alarm) AS positive_frames, count(*) FILTER (neg) AS negative_frames,
+          count(*) FILTER (neg AND alarm) AS false_frames, count(*) FILTER (neg AND alarm AND (prev IS NULL OR ts - prev >= 1.0)) AS incidents,
+          coalesce(sum(CASE WHEN start = -1 THEN dt ELSE greatest(0, least(ts + 1 / 30, start) - ts) END) FILTER (neg), 0) AS negative_sec,
+          min(ts) FILTER (alarm) AS first_alarm, min(ts) FILTER (alarm AND start >= 0 AND ts >= start) AS caught, max(ts) AS fin, count(*) FILTER (reviewed) AS reviewed_frames
+          FROM h GROUP BY n, variant)
+        SELECT concat('cam', n) AS clip, variant, n % 10 <> 1 AS label, frames, positive_frames, negative_frames, false_frames, incidents,
+          coalesce(start >= 0 AND fin >= start, false) AS observable, CASE WHEN start >= 0 AND fin >= start THEN caught IS NOT NULL END AS detected,
+          round(negative_sec, 6) AS negative_sec, round(first_alarm, 6) AS first_alarm, round(caught - start, 6) AS ttd_sec,
+          round(100 * false_frames / nullif(negative_frames, 0), 6) AS false_percent, round(3600 * incidents / nullif(negative_sec, 0), 6) AS alarms_per_hour, reviewed_frames,
+          CASE WHEN start IS NULL THEN 'event_timestamp_missing' WHEN start >= 0 AND fin < start THEN 'onset_outside_observed_window' ELSE '' END AS reason FROM m""",
     "a15_clip_summary": f"""{_CLIPS}, g AS (SELECT variant, count(*) FILTER (label AND detected) AS tp, count(*) FILTER (label AND NOT detected) AS fn,
           count(*) FILTER (NOT label AND detected) AS fp, count(*) FILTER (NOT label AND NOT detected) AS tn, avg(ttd_sec) FILTER (label) AS mean_ttd,
           quantile_cont(ttd_sec, 0.5) FILTER (label) AS median_ttd, count(*) FILTER (label AND ttd_sec <= 1) AS within_1s,

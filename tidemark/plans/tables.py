@@ -120,6 +120,23 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).dropDuplicates(["stream_id", "frame_index", "track_id"])
 
 
+def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tracks with each order line as a detector's box too, and each fifth frame's first line as a reviewed box."""
+    lines = table(spark, sf_dir, "lineitem")
+    frame, side = F.floor(F.col("l_orderkey") / 20), 10 + F.col("l_quantity")
+    left = (100 + 10 * F.col("l_linenumber")).cast("double")
+    boxes = lines.select(
+        F.concat(F.lit("cam"), (F.col("l_orderkey") % 20).cast("string")).alias("stream_id"), frame.alias("frame_index"),
+        (frame / 30).alias("ts_sec"), F.lit(640).alias("image_w"), F.lit(640).alias("image_h"), left.alias("x1"), F.lit(100.0).alias("y1"),
+        (left + side).cast("double").alias("x2"), (100 + side).cast("double").alias("y2"), F.lit(None).cast("int").alias("track_id"),
+        (F.col("l_discount") * 3 + 0.012).alias("conf"), (F.col("l_linenumber") % 2).cast("int").alias("cls"), F.lit("box").alias("kind"),
+        F.col("l_linenumber").alias("_line"),
+    )
+    truth = boxes.where("frame_index % 5 = 0 AND _line = 1").withColumn("kind", F.lit("truth"))
+    own = tracks(spark, sf_dir).withColumn("kind", F.when(F.col("track_id").isNotNull(), "track"))
+    return own.unionByName(boxes.drop("_line")).unionByName(truth.drop("_line"))
+
+
 IMAGE_BOXES = f"""
 img AS ({IMAGES.replace("AS STRING", "AS VARCHAR")}),
 box AS (SELECT dataset, split, path, width, height, is_corrupt, n, i, (n + i) % 2 AS class_id,

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql import types as T
 
 from tidemark import schemas
@@ -248,18 +249,35 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded frames, one JSON value a line, gzip or plain: TRACKS rows, times rising by clip."""
+    """Recorded frames, one JSON value a line, gzip or plain.
+
+    TRACKS rows and more: kind ('track', 'box', or null for a frame without either), exact_time (false where a
+    presentation time was estimated), in_order (whether the frame's time is later than the one before it).
+    """
     kind = (
         "stream_id string, frame_index bigint, timestamp_sec double, image_size array<int>, timestamp_quality string, "
         "boxes array<array<double>>, tracks array<array<double>>"
     )
-    f = spark.read.schema(kind).json(path).withColumn("t", F.explode_outer("tracks"))
-    cells = [F.col("t")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]
+    f = spark.read.schema(kind).json(path)
+    name = F.coalesce("stream_id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.jsonl?)?(\.gz)?$", 1))
+    order = Window.partitionBy("stream_id").orderBy("frame_index")
+    f = f.withColumn("stream_id", name).withColumn("_before", F.lag("timestamp_sec").over(order))
+
+    def of(column: str, kind: str):
+        rows = F.coalesce(F.col(column), F.array().cast("array<array<double>>"))
+        return F.transform(rows, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
+
+    f = f.withColumn("t", F.explode_outer(F.concat(of("tracks", "track"), of("boxes", "box"))))
+    v, track = F.col("t.v"), F.col("t.kind") == "track"
+    quality = F.coalesce("timestamp_quality", F.lit("presentation_timestamp"))
     return f.select(
-        F.coalesce("stream_id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.jsonl?)?(\.gz)?$", 1)).alias("stream_id"),
-        "frame_index", F.col("timestamp_sec").alias("ts_sec"), F.col("image_size")[0].alias("image_w"),
-        F.col("image_size")[1].alias("image_h"), *cells, F.col("t")[4].cast("int").alias("track_id"),
-        F.col("t")[5].alias("conf"), F.col("t")[6].cast("int").alias("cls"),
+        "stream_id", "frame_index", F.col("timestamp_sec").alias("ts_sec"), F.col("image_size")[0].alias("image_w"),
+        F.col("image_size")[1].alias("image_h"), *[F.get(v, F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))],
+        F.when(track, F.get(v, F.lit(4))).cast("int").alias("track_id"),
+        F.when(track, F.get(v, F.lit(5))).otherwise(F.get(v, F.lit(4))).alias("conf"),
+        F.when(track, F.get(v, F.lit(6))).otherwise(F.get(v, F.lit(5))).cast("int").alias("cls"), F.col("t.kind").alias("kind"),
+        (quality == "presentation_timestamp").alias("exact_time"),
+        F.coalesce(F.col("timestamp_sec") > F.col("_before"), F.lit(True)).alias("in_order"),
     )
 
 

@@ -1,7 +1,9 @@
 """The warning machines in Structured Streaming (T1, T2, T12), and their sinks.
 
 State is one JSON value a stream.  Inside a micro-batch a stream's frames are sorted; a frame that is
-not later than the last one gets a row with an error and changes nothing.
+not later than the last one gets a row with an error and changes nothing.  With `idle_ms` a stream without
+frames for so long a processing time is forgotten (T7), so that the state holds live streams only; that is for
+queries that run on, since such a timer keeps a query of trigger(availableNow=True) from ending.
 """
 
 from __future__ import annotations
@@ -21,36 +23,40 @@ def read_tracks(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
     return spark.readStream.schema(schemas.TRACKS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _stateful(tracks: DataFrame, run: Callable, schema: str) -> DataFrame:
+def _stateful(tracks: DataFrame, run: Callable, schema: str, idle_ms: int | None) -> DataFrame:
     def one(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         before = state.get[0] if state.exists else None
-        after, rows = run(before, key[0], pd.concat(list(parts)))
+        after, rows = run(before, pd.concat(list(parts)))
         state.update((after,))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield rows
 
-    return tracks.groupBy("stream_id").applyInPandasWithState(
-        one, schema, "state string", "append", GroupStateTimeout.NoTimeout
-    )
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return tracks.groupBy("stream_id").applyInPandasWithState(one, schema, "state string", "append", timeout)
 
 
-def warn(tracks: DataFrame, settings: warning.Settings = warning.Settings()) -> DataFrame:
+def warn(tracks: DataFrame, settings: warning.Settings = warning.Settings(), idle_ms: int | None = None) -> DataFrame:
     """One row a frame."""
 
-    def run(before: str | None, stream: str, pdf: pd.DataFrame) -> tuple[str, pd.DataFrame]:
-        state, rows = warning.run_frames(warning.unpacked(before, warning.fresh), stream, pdf, settings)
+    def run(before: str | None, pdf: pd.DataFrame) -> tuple[str, pd.DataFrame]:
+        state, rows = warning.run_frames(warning.unpacked(before, warning.fresh), pdf, settings)
         return warning.packed(state), rows
 
-    return _stateful(tracks, run, schemas.ALARMS)
+    return _stateful(tracks, run, schemas.ALARMS, idle_ms)
 
 
-def confirm(boxes: DataFrame) -> DataFrame:
+def confirm(boxes: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """One row a frame."""
 
-    def run(before: str | None, stream: str, pdf: pd.DataFrame) -> tuple[str, pd.DataFrame]:
-        state, rows = warning.run_centroids(warning.unpacked(before, warning.fresh_centroids), stream, pdf)
+    def run(before: str | None, pdf: pd.DataFrame) -> tuple[str, pd.DataFrame]:
+        state, rows = warning.run_centroids(warning.unpacked(before, warning.fresh_centroids), pdf)
         return warning.packed(state), rows
 
-    return _stateful(boxes, run, warning.CENTROIDS)
+    return _stateful(boxes, run, warning.CENTROIDS, idle_ms)
 
 
 def raised(alarms: DataFrame) -> DataFrame:
