@@ -18,6 +18,7 @@ doc_id stays null.  Extra columns don't matter; an empty table gives an empty re
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -44,6 +45,7 @@ PIECES = (
 )
 
 
+_SMALL = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 _SIGN, _PLAIN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _SIGN[33:127] = ~_PLAIN[33:127]
@@ -54,9 +56,14 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # plain words pass its normalisation unchanged and are one pre-token each, so it may be left out
+        self.lean = Tokenizer.from_file(path)
+        self.lean.normalizer = normalizers.Sequence([])
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytewise])
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -99,16 +106,16 @@ class WordTokenizer:
     def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each word, all ids end to end).
 
-        A word of letters is one pre-token, whose last id alone carries the end-of-word mark, so such words
+        A word of small letters is one pre-token, whose last id alone carries the end-of-word mark, so such words
         go through the tokenizer a thousand at a time and are cut at the marks; a line whose marks aren't
         as many as its words is done word by word.
         """
-        letters = [w.isalpha() for w in words]
+        letters = [_SMALL.fullmatch(w) is not None for w in words]
         plain = [i for i, x in enumerate(letters) if x]
         others = [i for i, x in enumerate(letters) if not x]
         lines = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
         lengths, parts, order = np.zeros(len(words), np.int64), [], []
-        encoded = self.tokenizer.encode_batch_fast([" ".join(words[i] for i in line) for line in lines], add_special_tokens=False)
+        encoded = self.lean.encode_batch_fast([" ".join(words[i] for i in line) for line in lines], add_special_tokens=False)
         for line, found in zip(lines, encoded, strict=True):
             ids = np.array(found.ids, np.uint32)
             ends = np.flatnonzero(self.is_end[ids]) + 1
