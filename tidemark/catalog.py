@@ -9,15 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans import queries_events, queries_images, queries_joins
+from tidemark.plans import queries_events, queries_files, queries_images, queries_joins
 
 
 def event_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, users, span and exact value statistics of positive events by type."""
+    """Rows, users, span and exact value statistics of events by type."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return (
-        events.where(F.col("value") > 0)
-        .withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+        events.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
         .groupBy("event_type")
         .agg(
             F.count("*").alias("n"),
@@ -36,6 +35,7 @@ QUERIES = {
     **queries_images.QUERIES,
     **queries_events.QUERIES,
     **queries_joins.QUERIES,
+    **queries_files.QUERIES,
 }
 
 ORACLE_SQL = {
@@ -43,9 +43,10 @@ ORACLE_SQL = {
 SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users, round(avg(value), 6) AS mean_value,
        round(quantile_cont(value, 0.5), 6) AS median_value, round(quantile_cont(value, 0.95), 6) AS p95_value,
        max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS max_k
-FROM events WHERE value > 0 GROUP BY event_type
+FROM events GROUP BY event_type
 """,
     **queries_images.ORACLE_SQL,
     **queries_events.ORACLE_SQL,
     **queries_joins.ORACLE_SQL,
+    **queries_files.ORACLE_SQL,
 }

@@ -69,9 +69,10 @@ def scored_detections(predictions: DataFrame, truth: DataFrame, keys: list[str],
             side, owner = np.concatenate(sizes), np.concatenate(own)
             classes = np.unique(np.concatenate([owner, np.concatenate(kind)]))
             parts.append(pd.DataFrame(
-                [(int(c), n, None, None, 0, 0, int(((side >= BINS[n][0]) & (side < BINS[n][1]) & (owner == c)).sum())) for c in classes for n in names],
+                [(int(c), n, np.nan, np.nan, 0, 0, int(((side >= BINS[n][0]) & (side < BINS[n][1]) & (owner == c)).sum())) for c in classes for n in names],
                 columns=["cls", "bin", "iou", "conf", "tp", "n", "n_truth"],
             ))
+        parts = [p for p in parts if len(p)]
         return pd.concat(parts) if parts else pd.DataFrame(columns=["cls", "bin", "iou", "conf", "tp", "n", "n_truth"])
 
     schema = "cls int, bin string, iou double, conf double, tp long, n long, n_truth long"
@@ -84,6 +85,7 @@ def average_precision(scored: DataFrame) -> DataFrame:
     Precision at 101 recalls: the best precision at that recall or a higher one.  Counts of equal
     confidence are added up first; the windows see one row a confidence.
     """
+    scored = scored.withColumn("conf", F.nanvl("conf", F.lit(None)))
     truth = scored.groupBy("cls", "bin").agg(F.sum("n_truth").alias("n_truth"))
     levels = (
         scored.where("conf is not null")

@@ -226,3 +226,24 @@ def clip_summary(clips: DataFrame) -> DataFrame:
         F.try_divide(100 * c("false_frames"), c("negative_frames")).alias("false_percent"),
         F.try_divide(3600 * c("incidents"), c("negative_sec")).alias("alarms_per_hour"),
     )
+
+
+def best_per_frame(rows: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:
+    """The row of each frame with the greatest value; the first in order on ties."""
+    first = F.min_by(F.struct(*rows.columns), F.struct((-F.col(value)).alias("v"), *order))
+    return rows.groupBy(*by).agg(first.alias("_x")).select("_x.*")
+
+
+def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in order, where that is asked for."""
+    return rows.orderBy(*order).limit(n)
+
+
+def iou_rows(metrics: DataFrame) -> DataFrame:
+    """P5: box counts of the clips and variants that have reviewed frames, with precision and recall."""
+    tp = F.col("box_tp")
+    return metrics.where("reviewed_frames > 0").select(
+        "clip", "variant", "reviewed_frames", "box_tp", "box_fp", "box_fn",
+        (tp / F.nullif(tp + F.col("box_fp"), F.lit(0))).alias("precision"), (tp / F.nullif(tp + F.col("box_fn"), F.lit(0))).alias("recall"),
+    )
+

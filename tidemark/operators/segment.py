@@ -82,7 +82,6 @@ def coherence(flagged: DataFrame, by: list[str], order: list[str]) -> DataFrame:
         F.count_if("smooth").alias("_streak"),
         F.count("*").alias("_n"),
         F.count("smooth").alias("_t"),
-        F.collect_list("distance").alias("_d"),
     )
     rows = lengths.groupBy(*by).agg(
         F.sum("_n").alias("n"),
@@ -114,15 +113,15 @@ def coherent_segments(runs: DataFrame) -> DataFrame:
     cut = cut.withColumn("piece", F.when(F.col("whole"), 0).otherwise(F.col("piece"))).drop("smooth", "distance", "_r")
     piece = [*run, "piece"]
     judged = coherence(smooth_flags(cut, piece, order), piece, order).where("coherent").select(*piece, "n")
-    rows = cut.join(judged, piece)
-    number = F.dense_rank().over(Window.partitionBy("_clean").orderBy("prefix", "run_id", "piece"))
-    rows = rows.withColumn("_clean", text.clean_prefix(F.col("prefix")))
-    return rows.select(
+    # segments are numbered before they meet their frames again
+    judged = judged.withColumn("_clean", text.clean_prefix(F.col("prefix")))
+    judged = judged.withColumn("_number", F.row_number().over(Window.partitionBy("_clean").orderBy(*piece)))
+    return cut.join(judged, piece).select(
         *runs.columns,
         "piece",
         (F.row_number().over(Window.partitionBy(*piece).orderBy(*order)) - 1).alias("frame_index"),
         F.col("n").alias("sequence_length"),
-        F.concat(F.col("_clean"), F.lit("_video_"), F.format_string("%04d", number)).alias("video_id"),
+        F.concat(F.col("_clean"), F.lit("_video_"), F.format_string("%04d", "_number")).alias("video_id"),
     )
 
 

@@ -183,3 +183,68 @@ def detection_verification(images: DataFrame, labels: DataFrame) -> DataFrame:
     base = images.groupBy("split").agg(F.count("*").alias("images"))
     rows = base.join(no_label, "split", "left").join(orphans, "split", "left").na.fill(0)
     return rows.withColumn("status", F.when(F.col("missing_labels") > 0, "FAIL").otherwise("PASS"))
+
+
+def verification_summary(frames: DataFrame, labels: DataFrame, criteria: DataFrame) -> DataFrame:
+    """One row of counts over a verified dataset.
+
+    frames: path, category, video_id; labels: path, checked (a validated line, null: blank; files without lines
+    have no row); criteria: id, status.
+    """
+    c, framed = F.col("checked"), F.col("category") == "video_frame"
+    images = frames.agg(
+        F.count("*").alias("total_images"), F.count_if(framed).alias("video_frames"), F.count_if(~framed).alias("static_images"),
+        F.count_distinct(F.when(framed, F.col("video_id"))).alias("video_sequences"),
+    )
+    filled = labels.where(c.isNotNull()).select("path").distinct()
+    negative = _count(frames.join(filled, "path", "left_anti"), "negative_frames")
+    boxes = labels.agg(
+        F.count_if(c["class_id"] == 0).alias("fire_boxes"), F.count_if(c["class_id"] == 1).alias("smoke_boxes"),
+        F.count_if(c["error"].isNotNull()).alias("invalid_boxes"),
+        F.count_if(c["error"] == "class").alias("invalid_classes"),
+    )
+    judged = criteria.agg(
+        *[F.count_if(F.col("status") == s).alias(n) for s, n in (("PASS", "passed"), ("FAIL", "failed"), ("SKIPPED", "skipped"))]
+    )
+    review = _count(review_items(labels), "manual_review_items")
+    return _together(images, negative, boxes, judged, review)
+
+
+def review_items(labels: DataFrame) -> DataFrame:
+    """K9: what a person should look at: path, reason, severity and how many lines; labels: path, checked."""
+    error = F.col("checked.error")
+    reason = F.when(error == "class", "invalid_class_id").otherwise("out_of_bounds_bbox")
+    rows = labels.where(error.isNotNull()).groupBy("path", reason.alias("reason")).agg(F.count("*").alias("lines"))
+    return rows.withColumn("severity", F.when(F.col("reason") == "invalid_class_id", "high").otherwise("medium"))
+
+
+def merged_review(items: DataFrame, before: DataFrame) -> DataFrame:
+    """K9, M3: earlier items and new ones; a new one replaces that of its path and reason."""
+    rows = before.withColumn("_o", F.lit(0)).unionByName(items.withColumn("_o", F.lit(1)))
+    return dedup.keep_last(rows, ["path", "reason"], "_o").drop("_o")
+
+
+def annotation_totals(videos: DataFrame) -> DataFrame:
+    """By subset and over all, videos, frames, keyframes and label files, and whether all are complete.
+
+    videos: subset, frames, keyframes, images, label_files.
+    """
+    whole = (F.col("keyframes") == F.col("images")) & (F.col("keyframes") == F.col("label_files"))
+    return videos.rollup("subset").agg(
+        F.count("*").alias("videos"), *[F.sum(c).alias(c) for c in ("frames", "keyframes", "label_files")],
+        F.count_if(~whole).alias("incomplete"),
+    )
+
+
+def flag_report(clips: DataFrame) -> DataFrame:
+    """One row: negative clips, those with predictions, frames and boxes predicted, new flags.
+
+    clips: clip, is_negative, prediction_frames, predicted_boxes, new_flags.
+    """
+    negative = F.col("is_negative")
+    sums = [F.coalesce(F.sum(F.when(negative, F.col(c))), F.lit(0)).alias(c) for c in ("prediction_frames", "predicted_boxes", "new_flags")]
+    return clips.agg(
+        F.count_if(negative).alias("negative_clips"),
+        F.count_if(negative & (F.col("predicted_boxes") > 0)).alias("negative_clips_with_predictions"), *sums,
+        F.count_if(~negative).alias("remaining_positive_clips"),
+    )

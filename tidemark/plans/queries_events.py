@@ -101,8 +101,15 @@ def w5_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences among hashed frames."""
-    return segment.coherent_segments(_hashed(spark, sf_dir)).drop("dhash")
+    """Clips of 25 frames by turns smooth throughout, smooth for seven frames, and rough; by accepted video."""
+    kind, near = F.floor(F.col("name").cast("bigint") / 25) % 3, F.shiftleft(F.lit(1).cast("bigint"), 1)
+    smooth = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(idx AS INT))").bitwiseOR(near)
+    rows = _hashed(spark, sf_dir)
+    rows = rows.withColumn("dhash", F.when((kind == 0) | ((kind == 1) & (F.col("idx") < 7)), smooth).otherwise(F.col("dhash")))
+    found = segment.coherent_segments(rows)
+    return found.groupBy("prefix", "video_id").agg(
+        F.count("*").alias("n"), F.min("frame_index").alias("first"), F.max("frame_index").alias("last"), F.max("sequence_length").alias("length")
+    )
 
 
 def w9_first_event(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,6 +288,8 @@ ORACLE_SQL = {
         a AS (SELECT prefix, count(*) AS n, count(*) FILTER (smooth) / nullif(count(smooth), 0) AS r, quantile_cont(CAST(distance AS DOUBLE), 0.5) AS d FROM f GROUP BY prefix)
         SELECT prefix, CAST(n AS BIGINT) AS n, longest, round(r, 6) AS smooth_ratio, d AS median_distance,
           coalesce(n >= 5 AND (d <= 18 OR r >= 0.6) AND longest >= least(4, n - 1), false) AS coherent FROM a JOIN m USING (prefix)""",
+    "w6_segments": """WITH c AS (SELECT DISTINCT vec_id // 25 AS k FROM embeddings WHERE vec_id % 25 >= 6), n AS (SELECT k, CASE WHEN k % 3 = 0 THEN 25 ELSE 7 END AS n FROM c WHERE k % 3 < 2)
+        SELECT concat('clip', k, '_') AS prefix, concat('clip', k, '_video_0001') AS video_id, n, 0 AS first, n - 1 AS last, n AS length FROM n""",
     "w9_first_event": f"""{_S} SELECT user_id, min(ts_sec) FILTER (ts_sec >= 100 AND event_type = 'error') AS first_sec,
         arg_min(value, ts_sec) FILTER (ts_sec >= 100 AND event_type = 'error') AS value FROM s GROUP BY user_id""",
     "w10_incidents": f"""{_S}, a AS (SELECT user_id, ts_sec, coalesce(CAST(ts_sec - lag(ts_sec) OVER (PARTITION BY user_id ORDER BY ts_sec) >= 30 AS INT), 1) AS c FROM s WHERE event_type = 'error'),

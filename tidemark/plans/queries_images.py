@@ -108,12 +108,10 @@ def x10_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each preset says of each line."""
     lines = t.mapped(spark, sf_dir, t.LINES)
     rules = {"v1": bx.V1, "v2": bx.V2, "v3": bx.V3, "v4": bx.V4, "v5": bx.V5}
-    return lines.select(
-        "l_orderkey", "l_linenumber", *[bx.validated_line(F.col("line"), r)["error"].alias(k) for k, r in rules.items()]
-    )
+    return bx.line_errors(lines, "line", rules).select("l_orderkey", "l_linenumber", *rules)
 
 
-def _errors(tolerance: str, extents: bool, floats: bool) -> str:
+def line_errors(tolerance: str, extents: bool, floats: bool) -> str:
     whole = "" if floats else "WHEN NOT regexp_matches(k, '^[+-]?[0-9]+$') THEN 'class'"
     wide = f"""WHEN x - w / 2 < -{tolerance} OR x + w / 2 > 1 + {tolerance} OR y - h / 2 < -{tolerance}
          OR y + h / 2 > 1 + {tolerance} THEN 'extents'""" if extents else ""
@@ -268,8 +266,8 @@ ORACLE_SQL = {
     "x10_validators": f"""WITH l AS ({t.duck(t.LINES)}), s AS (SELECT *, string_split(line, ' ') AS p FROM l),
         v AS (SELECT l_orderkey, l_linenumber, len(p) AS n, p[1] AS k, CASE WHEN p[2] <> 'nan' THEN CAST(p[2] AS DOUBLE) END AS x,
           CAST(p[3] AS DOUBLE) AS y, CAST(p[4] AS DOUBLE) AS w, CAST(p[5] AS DOUBLE) AS h FROM s)
-        SELECT l_orderkey, l_linenumber, {_errors("1e-4", True, False)} AS v1, {_errors("1e-4", False, False)} AS v2,
-          {_errors("0.0", False, True)} AS v3, {_errors("0.0", False, False)} AS v4, {_errors("1e-7", True, False)} AS v5 FROM v""",
+        SELECT l_orderkey, l_linenumber, {line_errors("1e-4", True, False)} AS v1, {line_errors("1e-4", False, False)} AS v2,
+          {line_errors("0.0", False, True)} AS v3, {line_errors("0.0", False, False)} AS v4, {line_errors("1e-7", True, False)} AS v5 FROM v""",
     "x1_names": f"""{_IMG}, s AS (SELECT *, regexp_replace(filename, '\\.[^.]*$', '') AS stem FROM img),
         p AS (SELECT *, regexp_replace(stem, '[0-9]+$', '') AS prefix, CAST(regexp_extract(stem, '([0-9]+)$', 1) AS BIGINT) AS number FROM s),
         c AS (SELECT *, regexp_replace(regexp_replace(prefix, '_CV$', ''), '[_-]+$', '') AS clean FROM p)

@@ -10,6 +10,7 @@ from tidemark.functions import text as tx
 from tidemark.functions.hashing import digest, sign_hash
 from tidemark.operators import dedup, joins, merge, metrics, split, verify
 from tidemark.plans import tables as t
+from tidemark.sources import readers
 
 
 def j1_first_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,13 @@ def r1_banded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_pairs(rows, turned, "vec_id", "h", 4)
 
 
+def j8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same within the limits of 4 and 8 bits."""
+    rows = _vectors(spark, sf_dir)
+    turned = rows.withColumn("h", F.col("h").bitwiseXOR(F.lit((1 << 5) | (1 << 40)) + F.when(F.col("vec_id") % 2 == 0, (1 << 11) | (1 << 23) | (1 << 61)).otherwise(0)))
+    return dedup.near_pairs(rows, turned, "vec_id", "h", 8).withColumn("near", F.col("distance") <= 4)
+
+
 def j9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J9, U3, X27."""
     rows = t.table(spark, sf_dir, "documents").select(digest(F.col("text")).alias("sha256"), "source")
@@ -124,13 +132,13 @@ def m2_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m1_worksheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers up to 900 as the worksheet, those from 600 on as suggestions."""
+    """Customers but each fifth as the worksheet, all but each third as suggestions."""
     rows = t.table(spark, sf_dir, "customer")
-    old = rows.where("c_custkey <= 900").select(
+    old = rows.where("c_custkey % 5 <> 0").select(
         F.col("c_name").alias("video_path"), F.lit("10").alias("fps"), F.lit("human").alias("notes"), F.lit("a").alias("source_sha256"),
         F.lit("ok").alias("review_status"),
     )
-    new = rows.where("c_custkey >= 600").select(
+    new = rows.where("c_custkey % 3 <> 0").select(
         F.col("c_name").alias("video_path"), F.lit("30").alias("fps"), F.lit("machine").alias("notes"),
         F.when(F.col("c_custkey") % 2 == 0, "a").otherwise("b").alias("auto_source_sha256"),
     )
@@ -212,16 +220,22 @@ def qd_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s21_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page paths and what a page's title element holds."""
+    """Page paths, and the JSON value in a script element that each page is given."""
     pages = t.table(spark, sf_dir, "pages")
-    title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
-    return pages.select("page_id", tx.posix(F.col("url")).alias("url"), title.alias("title"))
+    data = F.concat(F.lit('{"id":'), F.col("page_id").cast("string"), F.lit(',"frames":[[1,2],[3]],"name":"p'), (F.col("page_id") % 7).cast("string"), F.lit('"}'))
+    script = F.when(F.col("page_id") % 9 != 0, F.concat(F.lit('<script id="data" type="application/json">'), data, F.lit("</script>"))).otherwise("")
+    given = pages.withColumn("html", F.concat("html", script))
+    found = readers.embedded(given, "data", "id bigint, frames array<array<int>>, name string")
+    return found.select(
+        "page_id", tx.posix(F.col("url")).alias("url"), F.coalesce("data.id", F.lit(-1)).alias("id"), F.coalesce("data.name", F.lit("")).alias("name"),
+        F.coalesce(F.size(F.flatten("data.frames")), F.lit(0)).alias("boxes"),
+    )
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        j1_first_label, j2_defaults, j3_unmatched, j6_groups, j7_adjacent, j8_near_pairs, r1_banded_pairs, j9_exact,
+        j1_first_label, j2_defaults, j3_unmatched, j6_groups, j7_adjacent, j8_near_pairs, j8_limits, r1_banded_pairs, j9_exact,
         j12_authoritative, j14_positional, j15_together, j16_paired, e5_bounds, u1_overlap, u6_difference, u8_subset, w8_repeats,
         m1_worksheet, m2_latest, m4_save, m6_flags, m7_changed, m9_pending, g1_split, g2_stratified, g6_isolated, ac_criteria,
         qa_invariants, qc_evidence, qd_detection, s21_pages,
@@ -230,6 +244,8 @@ QUERIES = {
 
 _IMG = f"WITH {t.IMAGE_BOXES}"
 _SIGNS = "WITH e AS (SELECT vec_id, list_transform(embedding[1:64], lambda v: v > 0) AS b FROM embeddings)"
+_TURNED = f"""{_SIGNS}, t AS (SELECT vec_id, list_transform(range(1, 65), lambda i: b[i] <> (i IN (59, 24) OR (vec_id % 2 = 0 AND i IN (53, 41, 3)))) AS b FROM e),
+p AS (SELECT x.vec_id AS a, y.vec_id AS b, CAST(len(list_filter(list_zip(x.b, y.b), lambda z: z[1] <> z[2])) AS INT) AS distance FROM e x, t y)"""
 
 ORACLE_SQL = {
     "j1_first_label": """SELECT c_custkey, arg_min(o_orderpriority, (o_orderpriority, o_orderkey)) AS o_orderpriority,
@@ -241,6 +257,8 @@ ORACLE_SQL = {
         FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 50 WHERE a.o_orderstatus <> b.o_orderstatus""",
     "j8_near_pairs": f"""{_SIGNS}, p AS (SELECT x.vec_id AS a, y.vec_id AS b, CAST(len(list_filter(list_zip(x.b, y.b), lambda z: z[1] <> z[2])) AS INT) AS distance
         FROM e x JOIN e y ON x.vec_id < y.vec_id) SELECT a, b, distance FROM p WHERE distance <= 18""",
+    "r1_banded_pairs": f"{_TURNED} SELECT a, b, distance FROM p WHERE distance <= 4",
+    "j8_limits": f"{_TURNED} SELECT a, b, distance, distance <= 4 AS near FROM p WHERE distance <= 8",
     "j9_exact": """SELECT sha256(text) AS sha256, count(*) AS copies, string_agg(DISTINCT source, ',' ORDER BY source) AS splits
         FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1""",
     "j12_authoritative": "SELECT l_orderkey, l_linenumber, o_orderdate AS at FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
@@ -257,7 +275,7 @@ ORACLE_SQL = {
         UNION ALL (SELECT c_custkey, 'right' FROM (SELECT o_custkey + 5 AS c_custkey FROM orders EXCEPT SELECT c_custkey FROM customer))""",
     "u8_subset": "SELECT count(*) AS missing, count(*) = 0 AS subset FROM labels ANTI JOIN documents USING (doc_id)",
     "w8_repeats": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n > 1",
-    "m1_worksheet": """WITH o AS (SELECT * FROM customer WHERE c_custkey <= 900), n AS (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS h FROM customer WHERE c_custkey >= 600)
+    "m1_worksheet": """WITH o AS (SELECT * FROM customer WHERE c_custkey % 5 <> 0), n AS (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS h FROM customer WHERE c_custkey % 3 <> 0)
         SELECT coalesce(o.c_name, n.c_name) AS video_path, CASE WHEN n.c_name IS NULL THEN '10' ELSE '30' END AS fps, CASE WHEN o.c_name IS NULL THEN 'machine' ELSE 'human' END AS notes,
           CASE WHEN o.c_name IS NULL THEN n.h ELSE 'a' END AS source_sha256,
           CASE WHEN o.c_name IS NOT NULL AND n.h = 'b' THEN 'source_changed_review_needed' WHEN o.c_name IS NOT NULL THEN 'ok' END AS review_status,
@@ -278,5 +296,6 @@ ORACLE_SQL = {
     "qd_detection": f"""{_IMG} SELECT split, count(*) FILTER (doc_id % 9 <> 0) AS images, count(*) FILTER (doc_id % 9 <> 0 AND doc_id % 4 = 0) AS missing_labels,
         count(*) FILTER (doc_id % 9 = 0 AND doc_id % 4 <> 0) AS orphans, CASE WHEN count(*) FILTER (doc_id % 9 <> 0 AND doc_id % 4 = 0) > 0 THEN 'FAIL' ELSE 'PASS' END AS status
         FROM img GROUP BY split""",
-    "s21_pages": r"SELECT page_id, replace(url, '\', '/') AS url, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title FROM pages",
+    "s21_pages": r"""SELECT page_id, replace(url, '\', '/') AS url, CASE WHEN page_id % 9 <> 0 THEN page_id ELSE -1 END AS id, CASE WHEN page_id % 9 <> 0 THEN concat('p', page_id % 7) ELSE '' END AS name,
+        CASE WHEN page_id % 9 <> 0 THEN 3 ELSE 0 END AS boxes FROM pages""",
 }

@@ -34,7 +34,7 @@ ENTRIES = """
 SELECT concat('clip', CAST(l_orderkey % 500 AS STRING), '_') AS prefix, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS idx,
        concat('clip', CAST(l_orderkey % 500 AS STRING), '_', CAST(l_orderkey * 8 + l_linenumber AS STRING)) AS name,
        CASE WHEN min(l_shipdate) < TIMESTAMP '1995-06-17 00:00:00' THEN 640 ELSE 320 END AS width, 480 AS height
-FROM lineitem WHERE l_quantity > 10 GROUP BY l_orderkey, l_linenumber
+FROM lineitem GROUP BY l_orderkey, l_linenumber
 """
 #: events as a stream of flags, seconds from the first event of all
 STREAM = """

@@ -10,6 +10,7 @@ import json
 import os
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -185,26 +186,61 @@ def split_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(text.posix(line).alias("path")).where((line != "") & ~line.startswith("#"))
 
 
-def read_splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Supplied splits in order of name; a filename in two places is an error."""
+def split_paths(spark: SparkSession, given: str | list[str], base: str = "") -> DataFrame:
+    """Images of a split that is given as a folder, a text list or a literal list of those, below base."""
+    if isinstance(given, list):
+        parts = [split_paths(spark, g, base) for g in given]
+        return reduce(DataFrame.unionAll, parts).distinct() if parts else spark.createDataFrame([], "path string")
+    if given.lower().endswith(AUDIT_ENDINGS):
+        return spark.createDataFrame([(given,)], "path string")
+    where = resolved(given, base)
+    if given.endswith(".txt"):
+        return split_list(spark, where)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(where).select("path")
+    return found.where(is_image(F.col("path"), DETECTION_ENDINGS)).select(text.posix(F.col("path")).alias("path"))
+
+
+def dataset_roots(folders: DataFrame) -> DataFrame:
+    """Dataset folders in order: those with splits, then flat ones, then the rest, each by name.
+
+    folders: root, path of its folders; the first is the hold-out set, the second is partitioned.
+    """
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    above = F.lower(F.try_element_at(F.split("path", "/"), F.lit(-2)))
+    split = (name == "images") & above.isin(*SPLITS)
+    kinds = folders.where(~F.lower(F.element_at(F.split("root", "/"), -1)).isin("manifests", "splits")).groupBy("root").agg(
+        F.min(F.when(split, 0).when(name == "images", 1).otherwise(2)).alias("kind")
+    )
+    return kinds.withColumn("place", F.row_number().over(Window.orderBy("kind", "root"))).select("root", "kind", "place")
+
+
+def read_splits(spark: SparkSession, paths: dict[str, str], present: DataFrame | None = None) -> DataFrame:
+    """Supplied splits in order of name; a filename in two places is an error, and so is one not present.
+
+    present: filename of the images that are there.
+    """
     parts = [split_list(spark, paths[s]).withColumn("split", F.lit(s)) for s in sorted(paths)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionAll(p)
+    rows = reduce(DataFrame.unionAll, parts)
     rows = rows.withColumn("filename", F.element_at(F.split("path", "/"), -1))
     again = rows.groupBy("filename").count().where("count > 1").limit(1).collect()
     if again:
         raise ValueError(f"{again[0]['filename']} occurs more than once")
+    if present is not None:
+        gone = rows.join(present.select("filename"), "filename", "left_anti").limit(1).collect()
+        if gone:
+            raise ValueError(f"{gone[0]['filename']} is missing")
     return rows
 
 
 def read_manifest_json(spark: SparkSession, path: str) -> DataFrame:
-    """Nested frames; nested sizes and counts win over flat ones."""
+    """Frames of a nested value with `frames`, or one frame a line; nested sizes win over flat ones."""
     box = "struct<fire:int,smoke:int>"
-    flat = ", ".join(schemas.FRAMES.split(", ")).replace("boolean", "boolean")
-    kind = f"frames array<struct<{', '.join(f.replace(' ', ':', 1) for f in flat.split(', '))},resolution:{DIMENSIONS},boxes:{box}>>"
-    f = spark.read.schema(kind).option("multiLine", "true").json(path).select(F.explode("frames").alias("f")).select("f.*")
-    return normalised(f)
+    fields = ", ".join(f.replace(" ", ":", 1) for f in schemas.FRAMES.split(", "))
+    frame = f"struct<{fields},resolution:{DIMENSIONS},boxes:{box}>"
+    whole = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r'^\s*\{[^{}\[]*("summary"\s*:\s*\{[^{}]*\}\s*,\s*)?"frames"'))
+    one = whole.select(F.explode(F.from_json("value", f"struct<frames:array<{frame}>>")["frames"]).alias("f"))
+    lines = spark.read.text(path).select(F.from_json("value", frame).alias("f")).where("f.filename IS NOT NULL")
+    return normalised(one.unionAll(lines).select("f.*"))
 
 
 def normalised(frames: DataFrame) -> DataFrame:
@@ -306,6 +342,20 @@ def located(rows: DataFrame, digest: str) -> DataFrame:
     return rows.where(F.col("sha256") == digest).orderBy("is_archive", "path").limit(1)
 
 
+def bundle(manifest: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every file of a bundle with the copy to take and whether one is missing or changed.
+
+    manifest: name, sha256; rows: path, name, is_archive, sha256 of the copies that there are.
+    """
+    fits = rows.select(F.col("name").alias("_name"), F.col("sha256").alias("_digest"), "path", "is_archive")
+    joined = manifest.join(fits, F.col("name") == F.col("_name"), "left")
+    same = F.col("_digest") == F.col("sha256")
+    return joined.groupBy("name", "sha256").agg(
+        F.min(F.when(same, F.struct("is_archive", "path")))["path"].alias("path"),
+        F.when(F.count("_digest") == 0, "missing").when(F.count_if(same) == 0, "changed").alias("problem"),
+    )
+
+
 def complete_epochs(rows: DataFrame, n: int = 60) -> DataFrame:
     """One row: whether epochs are exactly 1 to n."""
     return rows.agg(

@@ -11,7 +11,7 @@ import json
 import os
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schemas
@@ -115,9 +115,26 @@ def nested(frames: DataFrame) -> DataFrame:
     )
 
 
-def write_manifest_json(frames: DataFrame, path: str) -> None:
-    """K7: one JSON value a line; readers take a folder of them."""
-    nested(frames).write.mode("overwrite").json(path)
+def manifest_summary(frames: DataFrame) -> dict:
+    """K7: numbers of images, frames of sequences, single images and sequences."""
+    framed = F.col("category") == "video_frame"
+    row = frames.agg(
+        F.count("*").alias("n"), F.count_if(framed).alias("framed"),
+        F.count_distinct(F.when(framed, F.nullif("video_id", F.lit("")))).alias("sequences"),
+    ).first()
+    summary = {"video_frames": row["framed"], "static_images": row["n"] - row["framed"], "total_video_sequences": row["sequences"]}
+    return {"total_images": row["n"], "summary": summary}
+
+
+def write_manifest_json(frames: DataFrame, path: str, dataset: str = "") -> None:
+    """K7: a folder of JSON lines, the summary first and then one frame a line; read_manifest_json takes it.
+
+    One nested value would be one line of one task, so the frames are values of their own.
+    """
+    head = frames.sparkSession.createDataFrame([(json.dumps({"dataset": dataset, **manifest_summary(frames)}),)], "value string")
+    rows = nested(frames).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    head.write.mode("overwrite").text(path)
+    rows.write.mode("append").text(path)
 
 
 def write_manifest_csv(frames: DataFrame, path: str) -> None:
@@ -153,3 +170,46 @@ def write_absent(rows: DataFrame, path: str, keys: list[str]) -> None:
 def reviewed_frames(frame_map: DataFrame, annotations: DataFrame) -> DataFrame:
     """The reviewed frames of each clip, with their images."""
     return frame_map.join(annotations.where("reviewed"), ["clip", "frame_index"])
+
+
+def script_json(value: Column) -> Column:
+    """JSON text that may stand inside a script element."""
+    for sign, code in (("&", "\\\\u0026"), ("<", "\\\\u003c"), (">", "\\\\u003e")):
+        value = F.replace(value, F.lit(sign), F.lit(code.replace("\\\\", "\\")))
+    return value
+
+
+def html_text(value: Column) -> Column:
+    """Text that may stand in an element or a quoted attribute."""
+    for sign, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        value = F.replace(value, F.lit(sign), F.lit(code))
+    return value
+
+
+def stamped(rows: DataFrame, name: str = "written_utc") -> DataFrame:
+    """The job's time in ISO 8601, for provenance; leave it out of compared columns."""
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return rows.withColumn(name, F.concat(now, F.lit("+00:00")))
+
+
+def detection_index(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of positive frames with the clock, one summary row a clip).
+
+    frames: clip, frame_index, ts_sec, image, n_fire, n_smoke.
+    """
+    positive = frames.where("n_fire > 0 OR n_smoke > 0")
+    index = positive.select("clip", "frame_index", text.clock_time(F.col("ts_sec")).alias("clock"), "image", "n_fire", "n_smoke")
+    return index, profile.occurrence_times(frames)
+
+
+def prediction_lines(predictions: DataFrame) -> DataFrame:
+    """By image, its predictions as lines of class, centre, size and confidence, and their number.
+
+    predictions: image, ord, cls, x_center, y_center, width, height, conf.
+    """
+    cells = [F.format_string("%.6f", F.col(c)) for c in ("x_center", "y_center", "width", "height", "conf")]
+    line = F.concat_ws(" ", F.col("cls").cast("string"), *cells)
+    ordered = F.array_sort(F.collect_list(F.struct("ord", line.alias("line"))))
+    return predictions.groupBy("image").agg(
+        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("lines"), F.count("*").alias("n")
+    )
