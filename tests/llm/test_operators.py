@@ -482,6 +482,18 @@ def test_packing_brings_related_documents_together_from_all_files(spark):
     assert found[0] == found[1]
 
 
+def test_leaves_keep_their_size_beyond_the_centroids(monkeypatch):
+    from tidemark.llm import placement
+
+    monkeypatch.setattr(placement, "LEAVES", 8)
+    texts = [text for _, text in topics()]
+    model = placement.fit(texts, [len(x) for x in texts], 60)
+    assert len(model.centroids) <= 8
+    rank = wordhash.mix(np.arange(1, 361, dtype=np.uint64)).astype(np.int64) & ((1 << 62) - 1)
+    loads = np.bincount(model.leaves(pa.array(texts), rank))
+    assert (loads > 0).sum() >= 25 and loads.max() <= 40
+
+
 def test_packing_counts_words_over_all_documents():
     texts = [["a b c", "a b d"], ["a c", "a e e"], ["f"]]
     tables = [packing._distinct(2)((pa.scalar(i),), pa.table({"text": pa.array(t)})) for i, t in enumerate(texts)]

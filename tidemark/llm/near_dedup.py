@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import wordhash
 from tidemark.llm.components import components
+from tidemark.llm.memory import tidy_batches
 from tidemark.llm.staging import Tables, small
 
 BANDS, ROWS = 48, 6
@@ -103,7 +104,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _sign(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in wordhash.chunks(batch["text"]):
+            for low, high in wordhash.chunks(batch["text"], 2 << 20):
                 texts, ids = batch["text"].slice(low, high - low), batch["doc_id"].slice(low, high - low)
                 elements, owner = shingle_sets(texts, k)
                 n = high - low
@@ -213,7 +214,7 @@ def _verify(similar: int) -> Callable:
 
 def classes(df: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, bands) of every text with a set."""
-    return df.select("doc_id", "text").where("text is not null").mapInArrow(_sign(k), SIGNED)
+    return df.select("doc_id", "text").where("text is not null").mapInArrow(tidy_batches(_sign(k)), SIGNED)
 
 
 def _members(reps: DataFrame, tables: Tables) -> DataFrame:
@@ -241,7 +242,7 @@ def _verified(placed: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return (
         grouped.repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j", "doc_id")
-        .mapInArrow(_verify(similar), "a long, b long")
+        .mapInArrow(tidy_batches(_verify(similar)), "a long, b long")
     )
 
 
@@ -318,7 +319,7 @@ def _links(texts: DataFrame, members: DataFrame, k: int, similar: int, tables: T
     large = tables.add(sizes.where((F.col("n") > BLOCK) | (F.col("elements") > BLOCK_ELEMENTS)).select("family"), "large")
     asked = small(reps.select(F.col("rep").alias("doc_id")))
     sets = tables.add(
-        texts.join(asked, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, elements binary"), "sets"
+        texts.join(asked, "doc_id", "left_semi").mapInArrow(tidy_batches(_sets(k)), "doc_id long, elements binary"), "sets"
     )
     placed = reps.join(small(large), "family", "left_anti").select(
         F.col("family").alias("bucket"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("rep").alias("doc_id")

@@ -1,6 +1,6 @@
 """Lexical retrieval packing: windows of related documents with next to no padding.
 
-Documents are first brought together by their words (placement.py) into shards of some million tokens,
+Documents are first brought together by their words (placement.py) into shards of half a million tokens or some more,
 wherever they lie in the files.  Each shard gets a BM25 inverted index of its words, whose document counts,
 number of documents and average length are those of all documents.  A seed document's shared words,
 all of them, are its query; every unused document that holds one of them is ranked, and they fill its window
@@ -29,16 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import placement, wordhash
+from tidemark.llm.memory import tidy_batches, tidy_group, tidy_pair
 
 WINDOW = 2048
 END_ID = 1
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19
 TOKEN_BYTES = 4  # about, of a text
-PARTS = 64  # of the distinct words, at least
+PARTS, MOST_PARTS = 64, 4096  # of the distinct words
 ASKED = 256  # documents of a ranking that are sorted at once; the next ones follow when they are used up
 COMMON, FREQUENT = 512, 16  # at most so many words have a row of weights; each is held by a 16th of the shard or more
 K1, B = 1.2, 0.75
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 1_000_000
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "ids array<int>"
@@ -480,14 +481,14 @@ def place(df: DataFrame, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, i
     rows = df.withColumn("rank", F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)))
     length = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
     count, total = df.agg(F.count("*"), F.sum(length.cast("long"))).first()
-    leaves = min(placement.LEAVES, -(-(total or 0) // (TOKEN_BYTES * shard_tokens)))
+    leaves = -(-(total or 0) // (TOKEN_BYTES * shard_tokens))
     sample = []
     if leaves > 1:
         few = rows.where(F.col("rank") <= min((1 << 62) - 1, (1 << 62) * 2 * placement.SAMPLE_ROWS // count))
         few = few.select("rank", "doc_id", F.substring("text", 1, placement.SAMPLE_CHARS).alias("text"), length.alias("size"))
         sample = few.orderBy("rank", "doc_id").limit(placement.SAMPLE_ROWS).collect()
     model = placement.fit([r["text"] for r in sample], [r["size"] for r in sample], leaves)
-    return rows.mapInArrow(_place(model), "leaf long, doc_id long, text string, rank long"), max(1, leaves)
+    return rows.mapInArrow(tidy_batches(_place(model)), "leaf long, doc_id long, text string, rank long"), max(1, leaves)
 
 
 def pack(
@@ -497,9 +498,9 @@ def pack(
     """The pieces of all sequences; tokenizer: path of a tokenizer file that every machine has."""
     placed, leaves = place(df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"`{text}` AS text"), shard_tokens)
     counts = "part long, leaf long, documents long, words long, hashes binary, df binary"
-    found = placed.groupBy("leaf").applyInArrow(_distinct(max(PARTS, leaves // 4)), counts)
+    found = placed.groupBy("leaf").applyInArrow(tidy_group(_distinct(min(max(PARTS, leaves // 4), MOST_PARTS))), counts)
     found = found.groupBy("part").applyInArrow(_everywhere, counts)
-    return placed.groupBy("leaf").cogroup(found.groupBy("leaf")).applyInArrow(_pack(tokenizer, window, with_ids), PIECES)
+    return placed.groupBy("leaf").cogroup(found.groupBy("leaf")).applyInArrow(tidy_pair(_pack(tokenizer, window, with_ids)), PIECES)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A vector is the text's words, hashed into `SIZE` slots and weighted by rarity; words that the sample holds
 fewer than twice weigh nothing.  Centroids come from a bounded sample (the rows of the smallest hashes), about one
-for each shard's worth of text.  A leaf that would be too large is split into centroids of its own, and
-where its vectors can't be told apart (copies), its rows are dealt out by their hashes.
+for each shard's worth of text, and `LEAVES` at most.  A leaf that would be too large is split into centroids of
+its own, and where its vectors can't be told apart (copies) or there are centroids enough, its rows are dealt out
+by their hashes, so leaves keep their size however large the table is.
 """
 
 from __future__ import annotations
@@ -78,12 +79,12 @@ def fit(texts: list[str | None], sizes: list[int], leaves: int) -> Model:
     x = np.concatenate([vectors(array.slice(i, 512), weight) for i in range(0, len(texts), 512)])
     share = np.array(sizes, np.float64) + 1
     share *= leaves / share.sum()
-    centroids = _means(x, leaves, rng)
+    centroids = _means(x, min(leaves, LEAVES), rng)
     for _ in range(SPLITS):
         own = (x @ centroids.T).argmax(axis=1)
         load = np.bincount(own, weights=share, minlength=len(centroids))
         large = np.flatnonzero(load > LARGE)
-        if not len(large):
+        if not len(large) or len(centroids) + load[large].sum() > LEAVES:
             break
         parts = [_means(x[own == j], int(np.ceil(load[j])), rng) for j in large]
         centroids = np.concatenate([np.delete(centroids, large, axis=0), *parts])
