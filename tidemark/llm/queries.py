@@ -7,6 +7,7 @@ from tidemark.llm import (
     mixing,
     near_dedup,
     packing,
+    periodic_runs,
     pii,
     quality_rules,
     secret_scan,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 
 ORACLE_SQL = {
