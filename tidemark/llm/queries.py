@@ -10,6 +10,7 @@ from tidemark.llm import (
     periodic_runs,
     pii,
     quality_rules,
+    resampling,
     secret_scan,
     sharding,
     substring_dedup,
@@ -28,9 +29,11 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_resampling": resampling.op12_resampling,
 }
 
 ORACLE_SQL = {
     "op7_quality_rules": quality_rules.oracle(),
     "op10_substring_dedup": substring_dedup.ORACLE,
+    "op12_resampling": resampling.ORACLE,
 }
