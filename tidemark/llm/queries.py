@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm import (
+    bestfit_packing,
     fingerprints,
     mixing,
     near_dedup,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_resampling": resampling.op12_resampling,
+    "op13_bestfit_packing": bestfit_packing.op13_bestfit_packing,
 }
 
 ORACLE_SQL = {
