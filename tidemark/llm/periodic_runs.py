@@ -22,7 +22,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.memory import tidy_batches
@@ -252,14 +252,19 @@ def runs(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LE
 def with_periods(documents: DataFrame) -> DataFrame:
     """(doc_id, text): in the tenth of documents whose checksum of doc_id says so, the words from some place on repeat."""
     h = F.crc32(F.col("doc_id").cast("string"))
-    words = F.filter(F.split("text", SPACE), lambda w: w != "")
-    n = F.size(words).cast("long")
     g = F.floor(h / 10)
-    a = F.pmod(g, n)
-    p = F.lit(1) + F.floor((n - a) / (3 + g % 8))
-    source = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(words, 1, a), F.slice(tail, 1, n - a)), " ")
+
+    words = F.filter(F.split("text", SPACE), lambda w: w != "")
+    made = F.get(F.transform(F.array(words), planted), 0)  # so the words are split once
     chosen = (h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return documents.select("doc_id", F.when(chosen, F.array_join(source, " ")).otherwise(F.col("text")).alias("text"))
+    return documents.select("doc_id", F.when(chosen, made).otherwise(F.col("text")).alias("text"))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
