@@ -8,6 +8,7 @@ import pytest
 from tidemark import schemas
 from tidemark.operators import match, metrics, warning
 from tidemark.operators.warning import Settings, step
+from tidemark.streaming import alarms
 from tidemark.streaming import warning as streaming
 
 
@@ -106,7 +107,7 @@ def test_streaming_equals_replay(spark, tmp_path):
     want = warning.replay(table).drop(*flat).orderBy(*order).toPandas()
     pd.testing.assert_frame_equal(got, want)
     assert got.error.notna().sum() == 1 and got.alarm.any()
-    assert streaming.raised(spark.read.parquet(str(tmp_path / "out"))).count() == 3
+    assert alarms.raised(spark.read.parquet(str(tmp_path / "out"))).count() == 3
 
 
 def test_centroids():

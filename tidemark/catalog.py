@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans import queries_events, queries_files, queries_images, queries_joins
+from tidemark.plans import queries_events, queries_files, queries_images, queries_joins, queries_streams
 
 
 def event_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,7 @@ QUERIES = {
     **queries_events.QUERIES,
     **queries_joins.QUERIES,
     **queries_files.QUERIES,
+    **queries_streams.QUERIES,
 }
 
 ORACLE_SQL = {
@@ -49,4 +50,5 @@ FROM events GROUP BY event_type
     **queries_events.ORACLE_SQL,
     **queries_joins.ORACLE_SQL,
     **queries_files.ORACLE_SQL,
+    **queries_streams.ORACLE_SQL,
 }

@@ -1,4 +1,5 @@
-"""The warning machines in Structured Streaming (T1, T2, T12), and their sinks.
+"""The warning machines in Structured Streaming (T1, T2).  Alarms go to `alarms.AlarmLog` (T12), frames by the
+bounded batch come from `sources.recordings` (T9).
 
 State is one JSON value a stream.  Inside a micro-batch a stream's frames are sorted; a frame that is
 not later than the last one gets a row with an error and changes nothing.  With `idle_ms` a stream without
@@ -19,7 +20,7 @@ from tidemark.operators import warning
 
 
 def read_tracks(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """Track rows from a growing Parquet folder, a bounded number of files a trigger."""
+    """Track rows from a growing Parquet folder, a bounded number of files a trigger."""
     return spark.readStream.schema(schemas.TRACKS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
@@ -59,11 +60,6 @@ def confirm(boxes: DataFrame, idle_ms: int | None = None) -> DataFrame:
     return _stateful(boxes, run, warning.CENTROIDS, idle_ms)
 
 
-def raised(alarms: DataFrame) -> DataFrame:
-    """The frames in which a stream's alarm goes up, for a foreachBatch sink."""
-    return alarms.where("exists(transitions, t -> t.reason IS NOT NULL)")
-
-
 def drain(frames: DataFrame, path: str, checkpoint: str) -> None:
     """Runs a streaming frame to the end of what is there now, into Parquet."""
     frames.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(
