@@ -231,7 +231,8 @@ def test_average_precision(spark):
 
 def test_operating_point_without_any(spark):
     empty = spark.createDataFrame([], "conf double, tiny long, small long, fp long")
-    assert tuple(metrics.operating_points(empty, 1, 1).first()) == (1.000001, 0, 0, 0, None)
+    sizes = spark.createDataFrame([(1, 1)], "images long, n_tiny long")
+    assert tuple(metrics.operating_points(empty, sizes).first()) == (1.000001, 0, 0, 0, None)
 
 
 def test_tracks_hold_every_shown_order_line(spark):

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tidemark.operators import prefix
 from tidemark.operators.match import Boxes, by_bucket, images, ious
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -79,32 +79,29 @@ def scored_detections(predictions: DataFrame, truth: DataFrame, keys: list[str],
     return by_bucket(predictions, truth, [*keys, "cls"], run, schema)
 
 
-def average_precision(scored: DataFrame) -> DataFrame:
+def average_precision(scored: DataFrame, range_rows: int = prefix.RANGE_ROWS) -> DataFrame:
     """By class and bin: ap (mean over thresholds), ap50, ap75, ar; null without boxes to find.
 
-    Precision at 101 recalls: the best precision at that recall or a higher one.  Counts of equal
-    confidence are added up first; the windows see one row a confidence.
+    Precision at 101 recalls: the best precision at that recall or a higher one.  Counts of equal confidence are added up first;
+    running sums and the best precision further down go by ranges of confidences, so no curve is one task.
     """
     scored = scored.withColumn("conf", F.nanvl("conf", F.lit(None)))
     truth = scored.groupBy("cls", "bin").agg(F.sum("n_truth").alias("n_truth"))
-    levels = (
-        scored.where("conf is not null")
-        .groupBy("cls", "bin", "iou", "conf")
-        .agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
-    )
-    w = Window.partitionBy("cls", "bin", "iou").orderBy(F.desc("conf"))
-    down = w.rowsBetween(Window.unboundedPreceding, 0)
-    curve = levels.withColumns({"tp": F.sum("tp").over(down), "n": F.sum("n").over(down)}).join(truth, ["cls", "bin"])
-    curve = curve.withColumn("recall", F.try_divide("tp", "n_truth")).withColumn("precision", F.col("tp") / F.col("n"))
-    best = F.max("precision").over(w.rowsBetween(0, Window.unboundedFollowing))
-    curve = curve.withColumn("best", best)
+    by = ["cls", "bin", "iou"]
+    levels = scored.where("conf is not null").groupBy(*by, "conf").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
+    levels = levels.withColumns({"own_tp": F.col("tp"), "own_n": F.col("n")})
+    sums = prefix.running(prefix.cut(levels, by, "conf", range_rows), by, "conf", ["tp", "n"])
+    curve = prefix.best_below(sums.withColumn("precision", F.col("tp") / F.col("n")), by, "conf", "precision", "best").join(truth, ["cls", "bin"])
+
+    def steps(tp: Column) -> Column:
+        return F.floor(F.try_divide(tp, F.col("n_truth")) * (RECALL_POINTS - 1) + 1e-9)
+
     # a level reaches the recall points above the level before it
-    steps = F.floor(F.col("recall") * (RECALL_POINTS - 1) + 1e-9)
-    points = steps - F.coalesce(F.lag(steps).over(w), F.lit(-1))
+    before = F.when(F.col("n") == F.col("own_n"), F.lit(-1)).otherwise(F.coalesce(steps(F.col("tp") - F.col("own_tp")), F.lit(-1)))
     areas = (
-        curve.withColumn("area", points * F.col("best"))
-        .groupBy("cls", "bin", "iou")
-        .agg((F.sum("area") / RECALL_POINTS).alias("ap"), F.max("recall").alias("ar"))
+        curve.withColumn("area", (steps(F.col("tp")) - before) * F.col("best"))
+        .groupBy(*by)
+        .agg((F.sum("area") / RECALL_POINTS).alias("ap"), F.max(F.try_divide("tp", "n_truth")).alias("ar"))
     )
     every = truth.withColumn("iou", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS]))).join(
         areas, ["cls", "bin", "iou"], "left"
@@ -122,16 +119,16 @@ def average_precision(scored: DataFrame) -> DataFrame:
     )
 
 
-def operating_points(curve: DataFrame, images: int, n_tiny: int, false_rate: float = 0.3, recall: float = 0.9) -> DataFrame:
+def operating_points(curve: DataFrame, sizes: DataFrame, false_rate: float = 0.3, recall: float = 0.9) -> DataFrame:
     """One row: the best threshold under the false-box rate, and the first of the wanted tiny recall.
 
-    curve: conf, tiny, small, fp, cumulative.  Without a threshold under the rate nothing is found at
+    curve: conf, tiny, small, fp, cumulative; sizes: one row of images and n_tiny.  Without a threshold under the rate nothing is found at
     1.000001.
     """
     order = F.struct("tiny", "small", (-F.col("fp")).alias("less"), "conf")
-    found = curve.agg(
-        F.max(F.when(F.col("fp") <= false_rate * images, order)).alias("b"),
-        F.max(F.when(F.col("tiny") >= recall * n_tiny, F.col("conf"))).alias("conf_at_recall"),
+    found = curve.join(F.broadcast(sizes.select("images", "n_tiny"))).agg(
+        F.max(F.when(F.col("fp") <= false_rate * F.col("images"), order)).alias("b"),
+        F.max(F.when(F.col("tiny") >= recall * F.col("n_tiny"), F.col("conf"))).alias("conf_at_recall"),
     )
     return found.select(
         F.coalesce("b.conf", F.lit(1.000001)).alias("conf"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import boxes
+from tidemark.operators import prefix
 
 SCALES = ("small", "medium", "large")
 #: Aspect buckets in order of precedence.
@@ -132,13 +133,8 @@ def label_statistics(images: DataFrame) -> DataFrame:
 
 
 def statistics(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """Count, mean, median and 95th percentile (interpolated), null when empty."""
-    return rows.groupBy(*by).agg(
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean"),
-        F.median(value).alias("median"),
-        F.percentile(value, 0.95).alias("p95"),
-    )
+    """Count, mean, median and 95th percentile (interpolated), null when empty; exact, by refined histograms."""
+    return prefix.quantiles(rows, value, list(by), {"median": 0.5, "p95": 0.95})
 
 
 def rigidity(history: DataFrame, *by: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import text
 from tidemark.functions.hashing import hamming
+from tidemark.operators import prefix
 
 #: Thresholds of the coherence test.
 HASH_THRESHOLD, LOOKAHEAD, LEAST_LENGTH, SMOOTH_RATIO = 18, 2, 5, 0.60
@@ -165,14 +166,14 @@ def negative_exposure(ts: Column, frame_sec: Column, ignition: Column, dt: Colum
     return F.when(ignition == -1, dt).otherwise(before)
 
 
-def operating_curve(rows: DataFrame, confidence: str, counts: list[str], by: list[str]) -> DataFrame:
+def operating_curve(rows: DataFrame, confidence: str, counts: list[str], by: list[str], range_rows: int = prefix.RANGE_ROWS) -> DataFrame:
     """Cumulative counts at each distinct confidence; ties enter together.
 
-    Counts are first added up by confidence, so that what a window sees is one row a threshold.
+    Counts are first added up by confidence; the sums run over ranges of confidences, so a curve of any length is many tasks' work.
     """
     level = rows.groupBy(*by, confidence).agg(*[F.sum(c).alias(c) for c in counts])
-    w = Window.partitionBy(*by).orderBy(F.desc(confidence)).rangeBetween(Window.unboundedPreceding, 0)
-    return level.select(*by, confidence, *[F.sum(c).over(w).alias(c) for c in counts])
+    curve = prefix.running(prefix.cut(level, by, confidence, range_rows), by, confidence, counts)
+    return curve.select(*by, confidence, *counts)
 
 
 def time_windows(rows: DataFrame, by: list[str], micros: str) -> DataFrame:
@@ -183,21 +184,64 @@ def time_windows(rows: DataFrame, by: list[str], micros: str) -> DataFrame:
     )
 
 
-def smoothed(rows: DataFrame, by: list[str], time: str, value: str, tau: float) -> DataFrame:
-    """Exponential smoothing with weight 1 - exp(-dt / tau); one row a group, the last state."""
-    points = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(value).cast("double").alias("v"))))
-    state = F.aggregate(
-        F.col("_p"),
-        F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("s")),
-        lambda a, p: F.struct(
-            p["t"].cast("double").alias("t"),
-            F.when(a["s"].isNull(), p["v"])
-            .otherwise(a["s"] + (1 - F.exp(-(p["t"] - a["t"]) / tau)) * (p["v"] - a["s"]))
-            .alias("s"),
-        ),
-        lambda a: a["s"],
+def _steps(rows: DataFrame, by: list[str], time: str, value: str, tau: float, chunk_sec: float) -> DataFrame:
+    """by, t, v, _chunk, and what the value adds: (1 - exp(-dt / tau)) v, the whole first value; null until `_entered` for a chunk's first row."""
+    points = rows.select(*by, F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("v")).where("t IS NOT NULL AND v IS NOT NULL")
+    points = points.withColumn("_chunk", F.floor(F.col("t") / chunk_sec))
+    gap = F.col("t") - F.lag("t").over(Window.partitionBy(*by, "_chunk").orderBy("t", "v"))
+    return points.withColumn("_adds", (1 - F.exp(-gap / tau)) * F.col("v"))
+
+
+def _chunks(steps: DataFrame, by: list[str], tau: float) -> DataFrame:
+    """A row a chunk: its ends, what its first value adds after the chunk before it, and the chunk's own sum at its end."""
+    ends = Window.partitionBy(*by, "_chunk")
+    last = F.max("t").over(ends)
+    some = steps.withColumn("_rest", F.col("_adds") * F.exp((F.col("t") - last) / tau)).groupBy(*by, "_chunk").agg(
+        F.min("t").alias("_low"), F.max("t").alias("_high"), F.min_by("v", F.struct("t", "v")).alias("_first"), F.coalesce(F.sum("_rest"), F.lit(0.0)).alias("_rest")
     )
-    return rows.groupBy(*by).agg(points.alias("_p")).select(*by, state.alias("smoothed"))
+    before = F.lag("_high").over(Window.partitionBy(*by).orderBy("_chunk"))
+    enters = F.col("_first") * F.when(before.isNull(), 1.0).otherwise(1 - F.exp((before - F.col("_low")) / tau))
+    some = some.withColumn("_enters", enters)
+    return some.withColumn("_sum", F.col("_rest") + F.col("_enters") * F.exp((F.col("_low") - F.col("_high")) / tau))
+
+
+def smoothed(rows: DataFrame, by: list[str], time: str, value: str, tau: float, chunks: float = 500.0) -> DataFrame:
+    """Exponential smoothing with weight 1 - exp(-dt / tau); one row a group, the last state.
+
+    A step is an affine map of the state, and maps compose: a chunk of `chunks` time constants is one map, found by a window within the chunk
+    and a sum; the state is the sum of what the chunks have left of them at the end.  So a group is as many tasks' work as it has
+    chunks.  Equal times go by value, of which the first counts; rows without time or value are left out.
+    """
+    found = _chunks(_steps(rows, by, time, value, tau, chunks * tau), by, tau)
+    end = F.max("_high").over(Window.partitionBy(*by))
+    left = F.col("_sum") * F.exp((F.col("_high") - end) / tau)
+    return found.withColumn("_left", left).groupBy(*by).agg(F.sum("_left").alias("smoothed"))
+
+
+def smoothed_rows(rows: DataFrame, by: list[str], time: str, value: str, tau: float, chunks: float = 100.0) -> DataFrame:
+    """By, t, v and the state after each row.
+
+    The second pass: a chunk starts from the state that the chunks before it leave, and within it a running sum of what the rows add, scaled to
+    the chunk's start, gives every state.  Chunks are of 40 time constants or more: what is older than the two before it is then nothing.
+    """
+    if chunks < 40:
+        raise ValueError("a chunk is 40 time constants or longer")
+    steps = _steps(rows, by, time, value, tau, chunks * tau)
+    some = _chunks(steps, by, tau)
+    order = Window.partitionBy(*by).orderBy("_chunk")
+    state = F.aggregate(
+        F.collect_list(F.struct(F.col("_high").alias("h"), F.col("_sum").alias("s"))).over(order.rowsBetween(-2, -1)),
+        F.lit(0.0), lambda a, x: a + x["s"] * F.exp((x["h"] - F.col("_low")) / tau),
+    )
+    some = some.withColumn("_state", state).select(*[F.col(c).alias(f"_own_{c}") for c in [*by, "_chunk"]], "_low", "_enters", "_state")
+    on = F.lit(True)
+    for c in [*by, "_chunk"]:
+        on = on & F.col(c).eqNullSafe(F.col(f"_own_{c}"))
+    joined = steps.join(some, on)
+    grown = F.coalesce(F.col("_adds"), F.col("_enters")) * F.exp((F.col("t") - F.col("_low")) / tau)
+    upto = Window.partitionBy(*by, "_chunk").orderBy("t", "v").rowsBetween(Window.unboundedPreceding, 0)
+    at = (F.col("_state") + F.sum(grown).over(upto)) * F.exp((F.col("_low") - F.col("t")) / tau)
+    return joined.select(*by, "t", "v", at.alias("smoothed"))
 
 
 def keyframes(frames: DataFrame, by: list[str], stride: int, around: float = 3.0, before: float = 1.0) -> DataFrame:

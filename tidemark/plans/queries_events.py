@@ -148,6 +148,12 @@ def w15_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("smoothed", F.round("smoothed", 6))
 
 
+def w15_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W15, the state after each event."""
+    found = segment.smoothed_rows(_stream(spark, sf_dir), ["user_id"], "ts_sec", "value", 60.0)
+    return found.select("user_id", F.col("t").alias("ts_sec"), F.round("smoothed", 6).alias("smoothed"))
+
+
 def f8_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _stream(spark, sf_dir).select(
         "user_id", F.col("event_id").alias("frame_index"), "ts_sec", (F.col("value") > 20).alias("is_candidate"),
@@ -209,7 +215,7 @@ QUERIES = {
     for f in (
         a9_occurrence, a12_statistics, a13_rigidity, a14_evaluation, f9_raw_arms, a15_clip_summary, a18_complete_mean, a19_gaps,
         a20_pair_counts, a25_confirmation, w1_runs, w2_contiguous, w4_transitions, w5_coherence, w6_segments, w9_first_event,
-        w10_incidents, w11_exposure, w13_operating_curve, w14_windows, w15_smoothed, f8_keyframes, o7_sample, x8_clock,
+        w10_incidents, w11_exposure, w13_operating_curve, w14_windows, w15_smoothed, w15_series, f8_keyframes, o7_sample, x8_clock,
         t1_warning, t2_centroids, t3_candidates,
     )
 }
@@ -303,6 +309,12 @@ ORACLE_SQL = {
     "w14_windows": f"""{_S}, m AS (SELECT event_id, user_id, CAST(ts_sec * 10000 AS BIGINT) AS u FROM s)
         SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY u RANGE BETWEEN 399999 PRECEDING AND CURRENT ROW) AS presence,
           count(*) OVER (PARTITION BY user_id ORDER BY u RANGE BETWEEN 3000000 PRECEDING AND CURRENT ROW) AS history FROM m""",
+    "w15_smoothed": f"""{_S} SELECT user_id, round(list_reduce(list({{'t': ts_sec, 's': value}} ORDER BY ts_sec, value),
+        lambda a, x: {{'t': x.t, 's': a.s + (1 - exp(-(x.t - a.t) / 60)) * (x.s - a.s)}}).s, 6) AS smoothed FROM s WHERE value IS NOT NULL GROUP BY user_id""",
+    "w15_series": f"""WITH RECURSIVE s AS ({t.STREAM}), r AS (SELECT user_id, ts_sec, value, row_number() OVER (PARTITION BY user_id ORDER BY ts_sec, value) AS k FROM s WHERE value IS NOT NULL),
+        f AS (SELECT user_id, k, ts_sec, value AS smoothed FROM r WHERE k = 1 UNION ALL
+          SELECT r.user_id, r.k, r.ts_sec, f.smoothed + (1 - exp(-(r.ts_sec - f.ts_sec) / 60)) * (r.value - f.smoothed) FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k + 1)
+        SELECT user_id, ts_sec, round(smoothed, 6) AS smoothed FROM f""",
     "f8_keyframes": f"""{_S}, f AS (SELECT *, min(ts_sec) FILTER (value > 20) OVER (PARTITION BY user_id) AS a FROM s)
         SELECT user_id, event_id AS frame_index FROM f WHERE event_id % 5 = 0 OR coalesce(ts_sec BETWEEN a AND a + 60, false)
           OR ts_sec BETWEEN user_id * 4 - 1 AND user_id * 4 + 60""",

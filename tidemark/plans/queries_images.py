@@ -176,9 +176,39 @@ def e1_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e2_operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = t.boxes(spark, sf_dir).where("cls = 0").withColumn("side640", _side())
     scored = mb_scored(spark, sf_dir).withColumn("fp", 1 - F.col("tp"))
-    curve = segment.operating_curve(scored.withColumn("all", F.lit(1)), "conf", ["tiny", "small", "fp"], ["all"])
-    size = truth.agg(F.count_distinct("image"), F.count_if(F.col("side640") < 16)).first()
-    return metrics.operating_points(curve, size[0], size[1])
+    curve = segment.operating_curve(scored, "conf", ["tiny", "small", "fp"], [])
+    sizes = truth.agg(F.count_distinct("image").alias("images"), F.count_if(F.col("side640") < 16).alias("n_tiny"))
+    return metrics.operating_points(curve, sizes)
+
+
+def e1_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1, average precision alone: order lines as judged detections of four bins."""
+    rows = t.table(spark, sf_dir, "lineitem")
+    found = rows.select(
+        (F.col("l_linenumber") % 2).cast("int").alias("cls"), F.concat("l_returnflag", "l_linestatus").alias("bin"),
+        F.explode(F.array(*[F.lit(x) for x in metrics.THRESHOLDS])).alias("iou"), "l_extendedprice", "l_discount", "l_quantity",
+    )
+    judged = found.select(
+        "cls", "bin", "iou", F.col("l_extendedprice").alias("conf"), (F.col("l_discount") > F.col("iou") / 10 - 0.0025).cast("long").alias("tp"),
+        F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("n_truth"),
+    )
+    truth = rows.select(
+        (F.col("l_linenumber") % 2).cast("int").alias("cls"), F.concat("l_returnflag", "l_linestatus").alias("bin"),
+        *[F.lit(None).cast("double").alias(c) for c in ("iou", "conf")], *[F.lit(0).cast("long").alias(c) for c in ("tp", "n")], F.lit(1).cast("long").alias("n_truth"),
+    )
+    found = metrics.average_precision(judged.unionByName(truth))
+    return found.select("cls", "bin", "n_truth", *[F.round(c, 6).alias(c) for c in ("ap", "ap50", "ap75", "ar")])
+
+
+def e2_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2, W13 over one global curve: order lines by price."""
+    rows = t.table(spark, sf_dir, "lineitem")
+    scored = rows.select(
+        F.col("l_extendedprice").alias("conf"), (F.col("l_quantity") < 10).cast("long").alias("tiny"), (F.col("l_quantity") < 30).cast("long").alias("small"),
+        (F.col("l_discount") > 0.045).cast("long").alias("fp"),
+    )
+    sizes = rows.agg(F.count_distinct("l_orderkey").alias("images"), F.count_if(F.col("l_quantity") < 10).alias("n_tiny"))
+    return metrics.operating_points(segment.operating_curve(scored, "conf", ["tiny", "small", "fp"], []), sizes)
 
 
 def e8_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +229,7 @@ QUERIES = {
         a1_dataset_profile, a2_resolutions, o2_top_resolutions, a3_aspects, a4_co_occurrence, a5_classes, a6_scales, a7_roll_up,
         a8_split_counts, a10_label_statistics, a22_distinct, a24_detections, a26_prediction_audit, f1_unusable, f4_clipped,
         x14_geometry, x21_wise_iou, x22_hazard, x10_validators, x1_names, x12_accepted, ma_match_counts, mb_scored,
-        mc_match_count, md_parity, e1_average_precision, e2_operating_points, e8_compared, p4_safe_floats,
+        mc_match_count, md_parity, e1_average_precision, e1_curve, e2_operating_points, e2_points, e8_compared, p4_safe_floats,
     )
 }
 
@@ -211,6 +241,22 @@ _PROFILE = """SELECT dataset, count(*) AS total, count(*) FILTER (NOT is_corrupt
 FROM img GROUP BY dataset"""
 
 ORACLE_SQL = {
+    "e1_curve": """WITH r AS (SELECT l_linenumber % 2 AS cls, concat(l_returnflag, l_linestatus) AS bin, l_extendedprice AS conf, l_discount FROM lineitem),
+        tr AS (SELECT cls, bin, count(*) AS n_truth FROM r GROUP BY ALL), th AS (SELECT (50 + 5 * range) / 100 AS iou FROM range(10)),
+        lv AS (SELECT cls, bin, iou, conf, sum(CASE WHEN l_discount > iou / 10 - 0.0025 THEN 1 ELSE 0 END) AS tp, count(*) AS n FROM r, th GROUP BY ALL),
+        cu AS (SELECT cls, bin, iou, conf, sum(tp) OVER w AS tp, sum(n) OVER w AS n FROM lv WINDOW w AS (PARTITION BY cls, bin, iou ORDER BY conf DESC)),
+        be AS (SELECT cls, bin, iou, conf, tp / n_truth AS recall, max(tp / n) OVER (PARTITION BY cls, bin, iou ORDER BY conf) AS best,
+                 floor(tp / n_truth * 100 + 1e-9) AS steps FROM cu JOIN tr USING (cls, bin)),
+        ar AS (SELECT *, steps - coalesce(lag(steps) OVER (PARTITION BY cls, bin, iou ORDER BY conf DESC), -1) AS points FROM be),
+        ap AS (SELECT cls, bin, iou, sum(points * best) / 101 AS ap, max(recall) AS ar FROM ar GROUP BY ALL)
+        SELECT CAST(cls AS INT) AS cls, bin, n_truth, round(avg(ap), 6) AS ap, round(max(ap) FILTER (iou = 0.5), 6) AS ap50, round(max(ap) FILTER (iou = 0.75), 6) AS ap75,
+          round(avg(ar), 6) AS ar FROM ap JOIN tr USING (cls, bin) GROUP BY cls, bin, n_truth""",
+    "e2_points": """WITH c AS (SELECT DISTINCT l_extendedprice AS conf, count(*) FILTER (l_quantity < 10) OVER w AS tiny, count(*) FILTER (l_quantity < 30) OVER w AS small,
+          count(*) FILTER (l_discount > 0.045) OVER w AS fp FROM lineitem WINDOW w AS (ORDER BY l_extendedprice DESC)),
+        z AS (SELECT count(DISTINCT l_orderkey) AS images, count(*) FILTER (l_quantity < 10) AS n_tiny FROM lineitem),
+        b AS (SELECT conf, tiny, small, fp FROM c, z WHERE fp <= 0.3::DOUBLE * images ORDER BY tiny DESC, small DESC, fp, conf DESC LIMIT 1)
+        SELECT coalesce(b.conf, 1.000001) AS conf, coalesce(b.tiny, 0) AS tiny, coalesce(b.small, 0) AS small, coalesce(b.fp, 0) AS fp,
+          (SELECT max(conf) FROM c, z WHERE tiny >= 0.9::DOUBLE * n_tiny) AS conf_at_recall FROM z LEFT JOIN b ON true""",
     "a1_dataset_profile": f"{_IMG} {_PROFILE}",
     "a2_resolutions": f"{_IMG} SELECT dataset, concat(width, 'x', height) AS resolution, count(*) AS n FROM img GROUP BY ALL",
     "o2_top_resolutions": f"""{_IMG} SELECT concat(width, 'x', height) AS resolution, count(*) AS n FROM img
