@@ -109,6 +109,21 @@ def test_near_pairs_against_all_pairs(spark, k):
     got = sorted((r.a, r.b, r.distance) for r in dedup.near_pairs(df, df, "id", "h", k, one_sided=True).collect())
     want = [(i, j, (base[i] ^ base[j]).bit_count()) for i in range(80) for j in range(i + 1, 80)]
     assert got == [w for w in want if w[2] <= k]
+    if k > dedup.BANDED_UP_TO:  # in blocks, and of two tables
+        blocks = dedup.near_pairs(df, df, "id", "h", k, one_sided=True, block_rows=7)
+        assert sorted(map(tuple, blocks.collect())) == got
+        both = sorted(map(tuple, dedup.near_pairs(df, df, "id", "h", k, block_rows=9).collect()))
+        assert both == sorted([*got, *((b, a, d) for a, b, d in got), *((i, i, 0) for i in range(80))])
+
+
+def test_wide_limits_at_many_values(spark):
+    """Rows that leave the comparison are near pairs, not candidates; 4.5 x 10^8 pairs are compared as arrays."""
+    df = spark.range(30_000).select("id", F.xxhash64("id").alias("h"))
+    turned = df.where("id % 300 = 0").select((F.col("id") + 1_000_000).alias("id"), F.col("h").bitwiseXOR(F.lit(0b1011011)).alias("h"))
+    rows = df.unionAll(turned)
+    got = dedup.near_pairs(rows, rows, "id", "h", 9, one_sided=True)
+    planted = got.where("b = a + 1000000 AND distance = 5").count()
+    assert planted == 100 and got.count() < 1000
 
 
 def test_splits_keep_groups_whole_and_counts_exact(spark):

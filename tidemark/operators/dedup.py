@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +14,7 @@ from tidemark.functions.hashing import hamming
 
 BITS = 64
 BANDED_UP_TO = 8  # bits; beyond it bands get so narrow that they hold most pairs
+BLOCK_ROWS, TILE = 1 << 15, 1 << 21  # values of a block, pairs that are compared at once
 
 
 def adjacent_pairs(frames: DataFrame) -> DataFrame:
@@ -48,35 +53,66 @@ def bands(value: Column, k: int) -> Column:
     )
 
 
-def near_pairs(left: DataFrame, right: DataFrame, key: str, value: str, k: int, one_sided: bool = False) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, key: str, value: str, k: int, one_sided: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs within k bits: a, b, distance; exact.
 
     Up to 8 bits an equi-join over bands proposes the pairs.  A pair is taken in the first band that it
-    shares, so no distinct is needed.  For more bits every pair of blocks is compared, by a join over
-    block numbers.  one_sided: both tables are one, and each pair appears once, a < b.
+    shares, so no distinct is needed.  For more bits no index of 64-bit values leaves much out (within 18 bits, bands with all
+    their flips propose every tenth pair of random values), so blocks of values meet as packed arrays, a task for each pair of
+    blocks, and only near pairs become rows.  one_sided: both tables are one, and each pair appears once, a < b.
     """
     a = left.select(F.col(key).alias("a"), F.col(value).alias("va"))
     b = right.select(F.col(key).alias("b"), F.col(value).alias("vb"))
+    if k > BANDED_UP_TO:
+        pairs = _by_blocks(a, b, k, one_sided, block_rows)
+        return pairs.where(F.col("a") < F.col("b")) if one_sided else pairs
     order = (F.col("a") < F.col("b")) if one_sided else F.lit(True)
     near = hamming(F.col("va"), F.col("vb")) <= k
-    if k <= BANDED_UP_TO:
-        x = a.withColumn("x", F.explode(bands(F.col("va"), k))).select("a", "va", "x.band", "x.bits")
-        y = b.withColumn("x", F.explode(bands(F.col("vb"), k))).select("b", "vb", "x.band", "x.bits")
-        both = x.join(y, ["band", "bits"]).where(order & near)
-        shared = F.zip_with(bands(F.col("va"), k), bands(F.col("vb"), k), lambda p, q: p["bits"] == q["bits"])
-        pairs = both.where(F.array_position(shared, True) == F.col("band") + 1)
-    else:
-        blocks = 16
-        x = a.withColumn("i", F.pmod(F.xxhash64("a"), F.lit(blocks))).withColumn(
-            "j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        )
-        y = b.withColumn("j", F.pmod(F.xxhash64("b"), F.lit(blocks))).withColumn(
-            "i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        )
-        pairs = x.join(y, ["i", "j"]).where(order & near)
+    x = a.withColumn("x", F.explode(bands(F.col("va"), k))).select("a", "va", "x.band", "x.bits")
+    y = b.withColumn("x", F.explode(bands(F.col("vb"), k))).select("b", "vb", "x.band", "x.bits")
+    both = x.join(y, ["band", "bits"]).where(order & near)
+    shared = F.zip_with(bands(F.col("va"), k), bands(F.col("vb"), k), lambda p, q: p["bits"] == q["bits"])
+    pairs = both.where(F.array_position(shared, True) == F.col("band") + 1)
     return pairs.select("a", "b", hamming(F.col("va"), F.col("vb")).cast("int").alias("distance"))
 
 
+def _by_blocks(a: DataFrame, b: DataFrame, k: int, one_sided: bool, block_rows: int) -> DataFrame:
+    """Blocks by a hash of the key; each meets the others as one row of two arrays.  one_sided: block i meets j >= i, in both orders."""
+
+    def packed(rows: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
+        rows = rows.where(F.col(f"v{key}").isNotNull())
+        blocks = max(1, -(-rows.count() // block_rows))
+        block = F.pmod(F.xxhash64(key), F.lit(blocks)).alias(name)
+        return rows.groupBy(block).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(f"v{key}").alias("v"))).alias(key)), blocks
+
+    (x, _), (y, others) = packed(a, "a", "i"), packed(b, "b", "j")
+    first = F.col("i") if one_sided else F.lit(0).cast("long")
+    x = x.withColumn("j", F.explode(F.sequence(first, F.lit(others - 1).cast("long"))))
+    kind = a.schema["a"].dataType.simpleString()
+    other = b.schema["b"].dataType.simpleString()
+    swap = F.lit(one_sided) & (F.col("i") != F.col("j"))
+    return x.join(y, "j").select("a", "b", swap.alias("swap")).mapInArrow(_near(k), f"a {kind}, b {other}, distance int")
+
+
+def _near(k: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right, swap in zip(batch["a"], batch["b"], batch["swap"], strict=True):
+                p, q = left.values, right.values
+                u, v = (x.field("v").to_numpy().astype(np.int64).view(np.uint64) for x in (p, q))
+                step = max(1, TILE // max(len(v), 1))
+                for low in range(0, len(u), step):
+                    apart = np.bitwise_count(u[low : low + step, None] ^ v[None])
+                    i, j = np.nonzero(apart <= k)
+                    x, y = p.field("id").take(pa.array(i + low)), q.field("id").take(pa.array(j))
+                    found = pa.array(apart[i, j].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([x, y, found], names=["a", "b", "distance"])
+                    if swap.as_py():
+                        yield pa.RecordBatch.from_arrays([y, x, found], names=["a", "b", "distance"])
+
+    return run
+
+
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys in both tables, once each."""
     return a.select(key).intersect(b.select(key))

@@ -15,7 +15,7 @@ from tidemark.functions import text as tx
 from tidemark.operators import dedup, joins, merge, metrics, profile, split, verify
 from tidemark.plans import tables as t
 from tidemark.plans.queries_images import line_errors
-from tidemark.sources import readers, sinks
+from tidemark.sources import listing, readers, sinks
 from tidemark.sources.folders import scratch
 
 #: documents as frames of a manifest
@@ -33,6 +33,32 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.mapped(spark, sf_dir, FRAMES)
 
 
+#: documents as images of three datasets, one a layout, with label files of all kinds
+TREE = """
+SELECT doc_id, doc_id % 3 AS k, CASE doc_id % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'val' WHEN 2 THEN 'valid' ELSE 'test' END AS part,
+       concat(source, '_', CAST(doc_id AS STRING)) AS stem, CAST(100 + n_chars % 400 AS INT) AS w, CAST(CASE WHEN doc_id % 23 = 0 THEN 0 ELSE 80 + n_chars % 300 END AS INT) AS h,
+       CAST(n_chars % 4 AS INT) AS n, doc_id % 19 = 0 AS broken, doc_id % 17 = 0 AS unlabelled
+FROM documents
+"""
+
+
+def s1_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split, a flat and a nested folder of images and labels, written and scanned."""
+    rows, root = t.mapped(spark, sf_dir, TREE), scratch(spark, "tree")
+    head = F.lit(b"\x89PNG\r\n\x1a\n\x00\x00\x00\x0dIHDR")
+    image = F.concat(head, *[F.unhex(F.lpad(F.hex(c), 8, "0")) for c in ("w", "h")])
+    line = F.when(F.col("broken"), F.lit("7 .5 .5 .1 .1 \u00e9")).otherwise(F.lit("1 0.5 0.5 0.25 0.125"))
+    label = F.encode(F.array_join(F.array_repeat(line, F.col("n")), "\n"), "ISO-8859-1")
+    place = F.when(F.col("k") == 0, F.concat("part", F.lit("/"))).when(F.col("k") == 2, F.lit("a/b/")).otherwise(F.lit(""))
+    folder = F.concat(F.lit("set"), F.col("k").cast("string"), F.lit("/"), place)
+    images = rows.select(F.concat(folder, F.lit("images/"), "stem", F.lit(".PNG")).alias("relative"), image.alias("content"))
+    labels = rows.where("NOT unlabelled").select(F.concat(folder, F.lit("labels/"), "stem", F.lit(".txt")).alias("relative"), label.alias("content"))
+    listing.write_files(images.unionAll(labels), root)
+    found = [readers.scan_dataset(spark, f"{root}/set{k}") for k in range(3)]
+    columns = ["dataset", "layout", "split", "filename", "width", "height", "is_corrupt", "is_negative", F.coalesce(F.size("boxes"), F.lit(0)).alias("boxes"), "sequence_id"]
+    return found[0].unionAll(found[1]).unionAll(found[2]).select(*columns)
+
+
 def s10_manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest as JSON lines."""
     path = scratch(spark, "manifest-json")
@@ -285,7 +311,7 @@ def ac9_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        s10_manifest_json, s11_manifest_csv, s25_splits, s13_recorded, s16_videos, s19_bundle, s23_epochs, s24_roots, s17_runs,
+        s1_scanned, s10_manifest_json, s11_manifest_csv, s25_splits, s13_recorded, s16_videos, s19_bundle, s23_epochs, s24_roots, s17_runs,
         k12_absent, k13_index, k15_reviewed, k21_guarded, k22_lines, a11_summary, k9_review, a16_totals, a17_flags, o5_best, o4_groups,
         x25_hashes, j13_paired, j17_lookup, m5_payload, m10_status, g7_prepared, ac9_config,
     )
@@ -300,6 +326,11 @@ _NUMBERED = f"""WITH f AS ({t.duck(FRAMES)})
 SELECT * REPLACE (coalesce(frame_index, -1) AS frame_index, coalesce(sequence_length, -1) AS sequence_length) FROM f"""
 
 ORACLE_SQL = {
+    "s1_scanned": f"""WITH f AS ({t.duck(TREE)}), g AS (SELECT *, CASE WHEN k <> 0 THEN 'all' WHEN part = 'valid' THEN 'val' ELSE part END AS split,
+          CASE WHEN unlabelled OR broken THEN 0 ELSE n END AS boxes FROM f)
+        SELECT concat('set', k) AS dataset, CASE k WHEN 0 THEN 'split' WHEN 1 THEN 'flat' ELSE 'recursive' END AS layout, split, concat(stem, '.PNG') AS filename,
+          w AS width, h AS height, h = 0 OR (broken AND n > 0 AND NOT unlabelled) AS is_corrupt, boxes = 0 AS is_negative, boxes,
+          concat('set', k, '_', split, '_', split_part(stem, '_', 1)) AS sequence_id FROM g""",
     "s10_manifest_json": _NUMBERED,
     "s11_manifest_csv": _NUMBERED,
     "s25_splits": f"WITH i AS ({t.duck(t.IMAGES)}) SELECT path, split, split_part(path, '/', -1) AS filename FROM i",

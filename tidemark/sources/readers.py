@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from tidemark import schemas
 from tidemark.functions import boxes, text
 from tidemark.operators.dedup import keep_last
+from tidemark.sources import listing
 
 #: File endings of images in the two layouts, label folders in order of precedence.
 AUDIT_ENDINGS = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
@@ -47,11 +48,14 @@ def layout(paths: DataFrame) -> str:
     return "split" if found["split"] else "flat" if found["images"] else "recursive"
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
+def files(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """Every file below a root: path, relative, length, content.
 
-    Spark's file source leaves empty files out, so those are taken from its own listing.
+    Listed and read in tasks where those can open the store.  Elsewhere by Spark's file source, which leaves empty files out, so
+    those are taken from its own listing, on the driver.
     """
+    if listing.readable(root):
+        return listing.files(spark, root, content)
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.split(":", 1)[-1].replace("//", "/").rstrip("/")
 
@@ -135,7 +139,7 @@ def scan_dataset(spark: SparkSession, root: str, name: str | None = None, rule:
     """
     name = name or os.path.basename(root.rstrip("/"))
     listed = files(spark, root)
-    kind = layout(listed.select("relative"))
+    kind = layout(files(spark, root, content=False).select("relative"))
     split = F.regexp_extract("relative", rf"^({'|'.join(SPLITS)})/", 1)
     images = listed.where(is_image(F.col("relative"))).select(
         "path", "relative", F.element_at(F.split("relative", "/"), -1).alias("filename"),

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from tidemark.sources.listing import uri
+
 MOST_FRAMES = 16
 TASKS = 32
 BOX = "struct<x1:double,y1:double,x2:double,y2:double,conf:double,cls:int>"
@@ -89,7 +91,7 @@ class FrameReader(DataSourceStreamReader):
 
     def _found(self) -> dict[str, list[tuple[str, int]]]:
         """(file, rows) of each camera; footers are read once."""
-        fs, root = pafs.FileSystem.from_uri(_uri(self.path))
+        fs, root = pafs.FileSystem.from_uri(uri(self.path))
         out: dict[str, list[tuple[str, int]]] = {}
         for info in sorted(fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)), key=lambda i: i.path):
             folder, name = info.path.split("/")[-2:]
@@ -104,7 +106,7 @@ class FrameReader(DataSourceStreamReader):
     def _planned(self) -> dict[str, int]:
         """Frames of each camera in the batches planned so far."""
         if self.at is None:
-            fs, root = pafs.FileSystem.from_uri(_uri(self.log))
+            fs, root = pafs.FileSystem.from_uri(uri(self.log))
             info = fs.get_file_info(f"{root}/planned.json")
             self.at = {}
             if info.type == pafs.FileType.File:
@@ -137,7 +139,7 @@ class FrameReader(DataSourceStreamReader):
 
     def _plan(self, end: dict) -> None:
         self.at = dict(end)
-        fs, root = pafs.FileSystem.from_uri(_uri(self.log))
+        fs, root = pafs.FileSystem.from_uri(uri(self.log))
         fs.create_dir(root)
         with fs.open_output_stream(f"{root}/planned.tmp") as file:
             file.write(json.dumps(self.at).encode())
@@ -147,7 +149,7 @@ class FrameReader(DataSourceStreamReader):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kind = to_arrow_schema(self.schema)
-        fs, _ = pafs.FileSystem.from_uri(_uri(self.path))
+        fs, _ = pafs.FileSystem.from_uri(uri(self.path))
         for camera, path, low, high in partition.parts:
             with fs.open_input_file(path) as source:
                 file, before = pq.ParquetFile(source), 0
@@ -161,13 +163,6 @@ class FrameReader(DataSourceStreamReader):
                     before += n
 
 
-def _uri(path: str) -> str:
-    """A path with its scheme; Spark writes local ones as file:/folder too."""
-    if "://" in path:
-        return path
-    return f"file://{path.removeprefix('file:')}"
-
-
 def read_recording(spark: SparkSession, path: str, log: str, frames_per_trigger: int = MOST_FRAMES) -> DataFrame:
     """The stream of a recording; run it with a trigger by time, since availableNow takes a single batch of such a source."""
     spark.dataSource.register(FrameSource)
