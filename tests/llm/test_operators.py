@@ -494,6 +494,47 @@ def test_leaves_keep_their_size_beyond_the_centroids(monkeypatch):
     assert (loads > 0).sum() >= 25 and loads.max() <= 40
 
 
+def window_kinds(made, kind):
+    """For each sequence, the kinds of its documents, each document once."""
+    return [[kind[d] for d in {d for d, _, _ in pieces}] for pieces in made]
+
+
+def test_windows_hold_equal_texts_once():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randint(5, 30))) for _ in range(150)]
+    texts = sorted(texts * 3)
+    doc = np.concatenate([np.full(len(t.split()), i) for i, t in enumerate(texts)])
+    hashes = np.concatenate([wordhash.split_words(pa.array([t])).hashes() for t in texts])
+    index = packing.Index(doc, hashes, len(texts))
+    kind = np.unique(texts, return_inverse=True)[1]
+    sizes = np.array([len(t.split()) + 1 for t in texts])
+    made = packing.fill(sizes, index, 64, kind)
+    assert sorted(d for p in made for d, start, _ in p if start == 0) == list(range(len(texts)))
+    again = [len(k) - len(set(k)) for k in window_kinds(made, kind)]
+    assert sum(again) <= 4  # at the shard's end only
+    assert all(sum(n for *_, n in p) == 64 for p in made[:-1])
+
+
+def test_a_shard_of_equal_texts_is_packed_in_time():
+    n = 60_000
+    empty = packing.Index(np.empty(0, np.int64), np.empty(0, np.uint64), n)
+    began = time.time()
+    made = packing.fill(np.ones(n, np.int64), empty, 2048, np.zeros(n, np.int64))
+    assert sum(len(p) for p in made) == n
+    words = wordhash.split_words(pa.array(["some words of one text"] * 2000))
+    index = packing.Index(words.doc, words.hashes(), 2000)
+    made = packing.fill(np.full(2000, 6), index, 2048, np.zeros(2000, np.int64))
+    assert len({d for p in made for d, _, _ in p}) == 2000 and time.time() - began < 30
+
+
+def test_equal_rows_are_dealt_to_several_leaves(spark, monkeypatch):
+    rows = [(None, "one text that is repeated over and over " * 20)] * 600 + [(i, f"w{i} x{i % 7} y{i % 3} " * 30) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    placed, leaves = packing.place(df, 4096)
+    sizes = [r["count"] for r in placed.where("doc_id IS NULL").groupBy("leaf").count().collect()]
+    assert leaves > 20 and len(sizes) > 5 and max(sizes) < 200
+
+
 def test_packing_counts_words_over_all_documents():
     texts = [["a b c", "a b d"], ["a c", "a e e"], ["f"]]
     tables = [packing._distinct(2)((pa.scalar(i),), pa.table({"text": pa.array(t)})) for i, t in enumerate(texts)]

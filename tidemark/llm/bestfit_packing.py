@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm import wordhash
 from tidemark.llm.memory import tidy_batches
-from tidemark.llm.packing import WordTokenizer, ranges
+from tidemark.llm.packing import WordTokenizer, ranges, shared_tokenizer
 from tidemark.llm.staging import Tables
 
 WINDOW, CLASS_ROWS, BATCH_BYTES = 4096, 1 << 18, 4 << 20
@@ -117,9 +117,8 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> Plan:
 
 def _cut(path: str, window: int, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = None
+        tokenizer = shared_tokenizer(path)
         for batch in batches:
-            tokenizer = tokenizer or WordTokenizer(path)
             texts = batch["text"].cast(pa.large_string())
             for low, high in wordhash.chunks(texts, BATCH_BYTES):
                 yield _pieces(tokenizer, batch["doc_id"].slice(low, high - low), texts.slice(low, high - low), window, with_ids)

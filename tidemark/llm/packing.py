@@ -5,7 +5,7 @@ wherever they lie in the files.  Each shard gets a BM25 inverted index of its wo
 number of documents and average length are those of all documents.  A seed document's shared words,
 all of them, are its query; every unused document that holds one of them is ranked, and they fill its window
 from the best down.  The document that doesn't fit is cut, and its rest seeds the next window with
-neighbours of its own.  The last window of a shard is cut into sequences whose lengths are powers of two, which need no padding.  Texts are shuffled once, and
+neighbours of its own.  A window holds equal texts once, unless its shard has nothing else left.  The last window of a shard is cut into sequences whose lengths are powers of two, which need no padding.  Texts are shuffled once, and
 the distinct words of each shard.  The result doesn't depend on the layout of the files.
 
 Texts are tokenized by distinct word: the tokenizer drops white space and never joins across it, so the
@@ -22,8 +22,10 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ PARTS, MOST_PARTS = 64, 4096  # of the distinct words
 ASKED = 256  # documents of a ranking that are sorted at once; the next ones follow when they are used up
 COMMON, FREQUENT = 512, 16  # at most so many words have a row of weights; each is held by a 16th of the shard or more
 K1, B = 1.2, 0.75
-CACHED_WORDS = 1_000_000
+CACHED_WORDS, WORTH = 1_000_000, 32  # of a worker's store; it takes new words when they are a WORTHth of it
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "ids array<int>"
@@ -92,7 +94,7 @@ class WordTokenizer:
         new = np.ones(len(keys), dtype=bool)
         inside = at < len(self.known)
         new[inside] = self.known[at[inside]] != keys[inside]
-        if new.sum() * 64 > len(self.known):  # too few to be worth a new store
+        if new.sum() * WORTH > len(self.known):  # else too few to be worth a new store
             self.add(keys[new], spell(np.flatnonzero(new)))
             at, new = np.searchsorted(self.known, keys), np.zeros(len(keys), dtype=bool)
         begin, lengths, ids = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), self.ids
@@ -169,6 +171,12 @@ class WordTokenizer:
         return Encoded(out, offsets, doc, keys, code)
 
 
+@lru_cache(maxsize=1)
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a worker process, so that words which many shards hold are tokenized once a worker."""
+    return WordTokenizer(path)
+
+
 @dataclass
 class Encoded:
     """Texts as ids, and their words as places among the distinct word hashes."""
@@ -204,12 +212,9 @@ def pieces(texts: pa.Array) -> wordhash.Words:
 
 
 def coded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of some arrays, and the place of every value among them, end to end."""
-    each = [np.unique(p, return_inverse=True) for p in parts]
-    keys, place = np.unique(np.concatenate([np.empty(0, np.uint64), *(k for k, _ in each)]), return_inverse=True)
-    place = place.astype(np.int32)
-    before = np.cumsum([0, *(len(k) for k, _ in each)])
-    return keys, np.concatenate([np.empty(0, np.int32), *(place[c + b] for (_, c), b in zip(each, before, strict=False))])
+    """Distinct values of some arrays, in order of appearance, and the place of every value among them, end to end."""
+    code, keys = pd.factorize(np.concatenate([np.empty(0, np.uint64), *parts]))
+    return keys, code.astype(np.int32)
 
 
 def ranges(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -306,24 +311,45 @@ class Index:
         return docs[np.argsort(-score[docs], kind="stable")].tolist()
 
 
-def fill(sizes: np.ndarray, index: Index, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, start, length); only the last is shorter than the window."""
+def fill(sizes: np.ndarray, index: Index, window: int = WINDOW, kind: np.ndarray | None = None) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (document, start, length); only the last is shorter than the window.
+
+    kind: equal for equal texts.  A window takes a text once, unless nothing else is left.
+    """
+    kinds = list(range(len(sizes))) if kind is None else kind.tolist()
     unused = np.ones(len(sizes), dtype=bool)
     sequences: list[list[tuple[int, int, int]]] = []
     now: list[tuple[int, int, int]] = []
     room, queue, follow = window, [], 0
     seed = last = None
     left = held = len(sizes)
+    inside: set[int] = set()  # kinds of the window
+    put_off: list[int] = []  # equal to what it holds: they are asked for again when it is full
+    ahead = 0  # documents before it are used or put off
+    free = False  # nothing is left that the window doesn't hold
 
     def next_document() -> int | None:
-        nonlocal queue, follow, seed
+        nonlocal queue, follow, ahead, free, seed
         while seed is not None:
             while queue:
                 if unused[d := queue.pop()]:
-                    return d
+                    if free or kinds[d] not in inside:
+                        return d
+                    put_off.append(d)
+                    unused[d] = False
             queue = index.neighbours(seed, unused, ASKED)[::-1]
             if not queue:  # nothing left that shares a word with the seed: the last document asks
                 seed = last if seed != last else None
+        while follow < len(sizes) and not (unused[follow] or kinds[follow] in inside):
+            follow += 1
+        ahead = max(ahead, follow)
+        while ahead < len(sizes) and not (unused[ahead] and kinds[ahead] not in inside):
+            ahead += 1
+        if ahead < len(sizes):
+            return ahead
+        free = True
+        unused[put_off] = True
+        put_off.clear()
         while follow < len(sizes) and not unused[follow]:
             follow += 1
         return follow if follow < len(sizes) else None
@@ -332,9 +358,11 @@ def fill(sizes: np.ndarray, index: Index, window: int = WINDOW) -> list[list[tup
         unused[doc] = False
         left -= 1
         if left < 0.7 * held:
-            held = left
-            index.forget(unused)
+            held, kept = left, unused.copy()
+            kept[put_off] = True
+            index.forget(kept)
         start, size = 0, int(sizes[doc])
+        inside.add(kinds[doc])
         while start < size:
             n = min(room, size - start)
             now.append((doc, start, n))
@@ -342,6 +370,9 @@ def fill(sizes: np.ndarray, index: Index, window: int = WINDOW) -> list[list[tup
             if not room:
                 sequences.append(now)
                 now, room = [], window
+                inside, ahead, free = ({kinds[doc]} if start < size else set()), 0, False
+                unused[put_off] = True
+                put_off.clear()
                 queue, seed = [], doc  # what is left of this document seeds the next window
         seed, last = doc if seed is None else seed, doc
     if now:
@@ -371,7 +402,9 @@ def binary(sequence: list[tuple[int, int, int]]) -> list[list[tuple[int, int, in
 def _place(model: placement.Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = model.leaves(batch["text"], batch["rank"].to_numpy())
+            rank = batch["rank"].to_numpy()
+            again = pd.Series(rank).groupby(rank).cumcount().to_numpy()  # equal rows are dealt apart
+            leaf = model.leaves(batch["text"], (rank ^ (again * 0x9E3779B97F4A7C1)) & ((1 << 62) - 1))
             yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], names=["leaf", *batch.schema.names])
 
     return run
@@ -385,7 +418,7 @@ def _distinct(parts: int) -> Callable:
         found, counts, words = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
         for low, high in wordhash.chunks(texts, 1 << 20):
             split = pieces(texts.slice(low, high - low))
-            own, code = np.unique(split.hashes(), return_inverse=True)
+            code, own = pd.factorize(split.hashes())
             held = np.sort(code * (high - low) + split.doc)
             held = held[np.append(True, held[1:] != held[:-1])[: len(held)]] // (high - low)
             found.append(own)
@@ -430,11 +463,7 @@ def _everywhere(table: pa.Table) -> pa.Table:
 
 
 def _pack(path: str, window: int, with_ids: bool) -> Callable:
-    tokenizers = []
-
     def run(key: tuple, table: pa.Table, counts: pa.Table) -> pa.Table:
-        if not tokenizers:
-            tokenizers.append(WordTokenizer(path))
         counts = counts.sort_by("part")
         known, df = (
             np.frombuffer(b"".join(counts[c].to_pylist()), kind) for c, kind in (("hashes", np.uint64), ("df", np.int64))
@@ -443,13 +472,14 @@ def _pack(path: str, window: int, with_ids: bool) -> Callable:
         del counts
         table = table.sort_by([("rank", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
         ids, texts = table["doc_id"].combine_chunks(), table["text"].combine_chunks()
-        found = tokenizers[0].encode(texts)
+        found = shared_tokenizer(path).encode(texts)
+        kind = texts.cast(pa.large_string()).fill_null("").dictionary_encode().indices.to_numpy()
         del texts, table
         tokens, offsets = found.ids, found.offsets
         sizes = np.diff(offsets)
         index = Index.of(found, corpus)
         del found
-        made = fill(sizes, index, window)
+        made = fill(sizes, index, window, kind)
         del index
         if made and sum(n for _, _, n in made[-1]) < window:
             made[-1:] = binary(made[-1])
