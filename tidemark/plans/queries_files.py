@@ -15,7 +15,7 @@ from tidemark.functions import text as tx
 from tidemark.operators import dedup, joins, merge, metrics, profile, split, verify
 from tidemark.plans import tables as t
 from tidemark.plans.queries_images import line_errors
-from tidemark.sources import listing, readers, sinks
+from tidemark.sources import chain, listing, readers, sinks, store
 from tidemark.sources.folders import scratch
 
 #: documents as frames of a manifest
@@ -118,6 +118,46 @@ def s16_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.discover_videos(found, listed)
 
 
+def s13_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as sealed lines of ten streams, some then changed or taken away, and what is found out about it."""
+    events = t.table(spark, sf_dir, "events")
+    lines = events.select((F.col("event_id") % 10).cast("string").alias("stream_id"), F.concat_ws("|", "event_id", "user_id", "event_type").alias("line"), "event_id")
+    path = scratch(spark, "sealed")
+    chain.seal(lines, ["event_id"]).write.json(path)
+    sealed = spark.read.schema(chain.SEALED).json(path)
+    n = F.col("n")
+    spoilt = sealed.where("n % 97 <> 50").withColumn("line", F.when(n % 89 == 7, F.concat("line", F.lit("!"))).otherwise(F.col("line")))
+    return chain.problems(spoilt, chain.summary(sealed), segment=64)
+
+
+def k17_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table made twice under one signature and once under another; hit: it was there."""
+    where, events = scratch(spark, "cache"), t.table(spark, sf_dir, "events")
+    out = []
+    for least in (0, 0, 50):
+        key = store.signature(table="events", least=least, code=1)
+        made, hit = store.cached(spark, where, key, lambda least=least: events.where(F.col("value") > least).groupBy("event_type").agg(F.count("*").alias("n")))
+        out.append(made.select(F.lit(least).alias("least"), F.lit(hit).alias("hit"), "event_type", "n"))
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+def s18_materialised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as files of two folders; what the manifest names is located by digest, published, materialised and hashed again."""
+    docs = t.table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found, kept = scratch(spark, "found"), store.Store(scratch(spark, "store"))
+    for folder, where in (("a", "doc_id % 3 <> 0"), ("b", "doc_id % 2 = 0 OR doc_id % 3 = 0")):
+        content = F.when((F.col("doc_id") % 6 == 2) & F.lit(folder == "a"), "old").otherwise(F.col("text"))
+        files = docs.where(where).select(F.concat(F.lit(f"{folder}/"), "name").alias("relative"), content.cast("binary").alias("content"))
+        listing.write_files(files, found)
+    taken = store.copies(docs.select("name", F.sha2("text", 256).alias("sha256")), store.digests(spark, found))
+    out = scratch(spark, "materialised")
+    kept.publish(taken, key := store.signature(table="documents"))
+    kept.materialise(spark, key, out)
+    again = store.digests(spark, out).select("name", F.col("sha256").alias("written"), "length")
+    place = F.substring_index(F.substring("path", F.length(F.lit(found)) - F.length("path") + 1, 1 << 20), "/", 2)
+    return taken.join(again, "name").select("name", "sha256", (F.col("written") == F.col("sha256")).alias("same"), "length", F.right(place, F.lit(1)).alias("folder"))
+
+
 def s19_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of each part by digest, folders before archives."""
     parts = t.table(spark, sf_dir, "part")
@@ -311,7 +351,7 @@ def ac9_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        s1_scanned, s10_manifest_json, s11_manifest_csv, s25_splits, s13_recorded, s16_videos, s19_bundle, s23_epochs, s24_roots, s17_runs,
+        s1_scanned, s10_manifest_json, s11_manifest_csv, s25_splits, s13_recorded, s13_chain, s16_videos, s18_materialised, k17_cached, s19_bundle, s23_epochs, s24_roots, s17_runs,
         k12_absent, k13_index, k15_reviewed, k21_guarded, k22_lines, a11_summary, k9_review, a16_totals, a17_flags, o5_best, o4_groups,
         x25_hashes, j13_paired, j17_lookup, m5_payload, m10_status, g7_prepared, ac9_config,
     )
@@ -326,6 +366,14 @@ _NUMBERED = f"""WITH f AS ({t.duck(FRAMES)})
 SELECT * REPLACE (coalesce(frame_index, -1) AS frame_index, coalesce(sequence_length, -1) AS sequence_length) FROM f"""
 
 ORACLE_SQL = {
+    "s13_chain": """WITH e AS (SELECT event_id % 10 AS s, row_number() OVER (PARTITION BY event_id % 10 ORDER BY event_id) - 1 AS n FROM events),
+        k AS (SELECT s, n, lag(n, 1, -1) OVER (PARTITION BY s ORDER BY n) AS p FROM e WHERE n % 97 <> 50),
+        f AS (SELECT CAST(s AS VARCHAR) AS stream_id, n, CASE WHEN n <> p + 1 THEN 'missing' WHEN n % 89 = 7 THEN 'changed' END AS problem FROM k),
+        c AS (SELECT s, count(*) AS lines, count(*) FILTER (n % 97 <> 50) AS kept, max(n) AS last, max(n) FILTER (n % 97 <> 50) AS end FROM e GROUP BY s)
+        SELECT * FROM f WHERE problem IS NOT NULL UNION ALL SELECT CAST(s AS VARCHAR), kept, 'cut' FROM c WHERE kept <> lines""",
+    "k17_cached": """SELECT least, hit, event_type, count(*) AS n FROM events, (VALUES (0, false), (0, true), (50, false)) v(least, hit) WHERE value > least GROUP BY ALL""",
+    "s18_materialised": """SELECT concat(source, '/', doc_id, '.txt') AS name, sha256(text) AS sha256, true AS same, strlen(text) AS length,
+        CASE WHEN doc_id % 3 <> 0 AND NOT (doc_id % 6 = 2 AND text <> 'old') THEN 'a' ELSE 'b' END AS folder FROM documents""",
     "s1_scanned": f"""WITH f AS ({t.duck(TREE)}), g AS (SELECT *, CASE WHEN k <> 0 THEN 'all' WHEN part = 'valid' THEN 'val' ELSE part END AS split,
           CASE WHEN unlabelled OR broken THEN 0 ELSE n END AS boxes FROM f)
         SELECT concat('set', k) AS dataset, CASE k WHEN 0 THEN 'split' WHEN 1 THEN 'flat' ELSE 'recursive' END AS layout, split, concat(stem, '.PNG') AS filename,

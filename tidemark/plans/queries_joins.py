@@ -10,6 +10,7 @@ from tidemark.functions import text as tx
 from tidemark.functions.hashing import digest, sign_hash
 from tidemark.operators import dedup, joins, merge, metrics, split, verify
 from tidemark.plans import tables as t
+from tidemark.plans.queries_images import line_errors
 from tidemark.sources import readers
 
 
@@ -248,6 +249,24 @@ _TURNED = f"""{_SIGNS}, t AS (SELECT vec_id, list_transform(range(1, 65), lambda
 p AS (SELECT x.vec_id AS a, y.vec_id AS b, CAST(len(list_filter(list_zip(x.b, y.b), lambda z: z[1] <> z[2])) AS INT) AS distance FROM e x, t y)"""
 
 ORACLE_SQL = {
+    "ac_criteria": f"""WITH {t.IMAGE_BOXES.strip()}, im AS (SELECT split, path, sha256(text) AS sha FROM img),
+        m AS (SELECT concat_ws('/', 'img', conv_id, turn) AS path, concat_ws('_', conv_id, turn) AS filename, CAST(conv_id AS VARCHAR) AS v, turn AS i,
+          CASE WHEN role = 'system' THEN 360 ELSE 480 END AS h FROM conversations),
+        g AS (SELECT v, count(*) AS n, min(i) AS a, max(i) AS b, count(DISTINCT i) AS d, count(DISTINCT h) AS hs FROM m GROUP BY v),
+        l AS ({t.duck(t.LINES)}), s AS (SELECT string_split(line, ' ') AS p FROM l),
+        w AS (SELECT len(p) AS n, p[1] AS k, CASE WHEN p[2] <> 'nan' THEN CAST(p[2] AS DOUBLE) END AS x, CAST(p[3] AS DOUBLE) AS y, CAST(p[4] AS DOUBLE) AS w, CAST(p[5] AS DOUBLE) AS h FROM s),
+        e AS (SELECT {line_errors("1e-4", True, False)} AS error FROM w),
+        c(id, bad, known) AS (
+          SELECT 'AC1', (SELECT count(*) FROM m WHERE path NOT LIKE '%/3' AND path NOT IN (SELECT path FROM m)), 1
+          UNION ALL SELECT 'AC2', (SELECT count(*) FROM g WHERE a <> 0 OR b <> n - 1 OR d <> n), 1
+          UNION ALL SELECT 'AC3', (SELECT count(*) FROM g WHERE hs > 1), 1
+          UNION ALL SELECT 'AC4', (SELECT count(*) FROM g WHERE a <> 0 OR b <> n - 1 OR d <> n OR n <> 5), 1
+          UNION ALL SELECT 'AC5', (SELECT count(*) FROM (SELECT filename FROM m GROUP BY filename HAVING count(*) > 1)), 1
+          UNION ALL SELECT 'AC6', (SELECT count(*) FROM (SELECT path FROM im GROUP BY path HAVING count(DISTINCT split) > 1)), 1
+          UNION ALL SELECT 'AC7', (SELECT count(*) FROM (SELECT path FROM im WHERE split = 'test' INTERSECT SELECT path FROM im WHERE split <> 'test')), (SELECT count(path) FROM im)
+          UNION ALL SELECT 'AC8', (SELECT count(*) FROM e WHERE error IS NOT NULL), 1
+          UNION ALL SELECT 'AC10', (SELECT count(*) FROM (SELECT sha FROM im WHERE split = 'test' INTERSECT SELECT sha FROM im WHERE split <> 'test')), (SELECT count(sha) FROM im))
+        SELECT id, CASE WHEN known = 0 THEN 'SKIPPED' WHEN bad > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM c""",
     "j1_first_label": """SELECT c_custkey, arg_min(o_orderpriority, (o_orderpriority, o_orderkey)) AS o_orderpriority,
         arg_min(o_orderkey, (o_orderpriority, o_orderkey)) AS o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""",
     "j2_defaults": "SELECT doc_id, lang, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM documents LEFT JOIN labels USING (doc_id)",
