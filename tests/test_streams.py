@@ -147,6 +147,16 @@ def test_each_alarm_once_over_kills_and_restarts(spark, tmp_path):
     assert len(files) == len(plain_edges()) and all(f.read_text() == "x" for f in files)
 
 
+def test_a_silent_stream_is_forgotten(spark, tmp_path):
+    """Three seconds of event time without a row; what comes later starts anew."""
+    rows = [("a", t, True) for t in (1.0, 1.5)] + [("b", t, t % 2 == 0) for t in (1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0)] + [("a", 9.0, True), ("a", 9.5, False)]
+    arrive(spark, rows, FLAGS, f"{tmp_path}/in", 6)
+    source = spark.readStream.schema(FLAGS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stream = run_ordered(source, "stream_id", alarms.edge_machine(idle_ms=3000), ["ts_sec", "flag"], delay="0 seconds")
+    got = sorted((r.stream_id, r.episode, r.ts_sec) for r in drain(stream, tmp_path, "out").collect())
+    assert got == [("a", 0, 1.0), ("a", 0, 9.0), *(("b", i, 2.0 * i + 2) for i in range(4))]
+
+
 def recording(spark, path):
     rows = [(f"c{s}", i, i / 30, i / 30 + 0.01 * (i % 9), 640, 480, [(1.0 * i, 2.0, 30.0 + i, 40.0, 0.5, 0)] * (i % 3)) for s in range(4) for i in range(20 + 25 * s)]
     frames = spark.createDataFrame(rows, recordings.FRAME)

@@ -27,6 +27,16 @@ def adjacent_pairs(frames: DataFrame) -> DataFrame:
     )
 
 
+def adjacent_distances(frames: DataFrame) -> DataFrame:
+    """Adjacent pairs with the bits between their hashes; frames: prefix, number, name, split, dhash."""
+    pairs = adjacent_pairs(frames)
+    for side in ("a", "b"):
+        own = frames.select(F.col("name").alias(f"image_{side}"), F.col("split").alias(f"split_{side}"), F.col("dhash").alias(f"_{side}"))
+        pairs = pairs.join(own, [f"image_{side}", f"split_{side}"])
+    distance = hamming(F.col("_a"), F.col("_b")).cast("int")
+    return pairs.select("image_a", "split_a", "image_b", "split_b", distance.alias("dhash_distance"))
+
+
 def exact_duplicates(rows: DataFrame, digest: str, split: str) -> DataFrame:
     """Digests that occur in more than one split, with copies and splits."""
     return (

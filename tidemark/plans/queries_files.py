@@ -172,13 +172,47 @@ def s19_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s23_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Epochs of a CSV; whether each supplier's lines of work are 1 to their number."""
+    """Epochs of a CSV, whole, without the last one and with one twice; whether they are 1 to the last supplier's number."""
     path = scratch(spark, "epochs")
-    rows = t.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("epoch"), F.col("s_acctbal").alias("loss"))
+    supplier = t.table(spark, sf_dir, "supplier")
+    rows = supplier.select((F.col("s_suppkey") + 1).alias("epoch"), F.col("s_acctbal").alias("loss"))
     rows.write.option("header", "true").csv(path)
     cells = readers.read_cells(spark, path).withColumn("epoch", tx.integer(F.col("epoch")))
-    n = cells.count()
-    return readers.complete_epochs(cells, n)
+    n = supplier.agg(F.max("s_suppkey") + 1).first()[0]
+    cut, twice = cells.where(F.col("epoch") < n), cells.where(F.col("epoch") < n).unionAll(cells.where("epoch = 1"))
+    found = [readers.complete_epochs(x, n).select(F.lit(name).alias("given"), "complete") for name, x in (("whole", cells), ("cut", cut), ("twice", twice))]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+def k16_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of an evaluation, written and read: box counts of reviewed clips beside the number of clips and variants."""
+    path = scratch(spark, "evaluation")
+    clips = t.mapped(spark, sf_dir, t.CLIPS.replace("SELECT ", "SELECT o_orderkey, ", 1))
+    counts = {"reviewed_frames": 4, "box_tp": 11, "box_fp": 7, "box_fn": 5}
+    clips = clips.select("*", F.col("o_orderkey").cast("string").alias("clip"), *[(F.col("o_orderkey") % m).alias(c) for c, m in counts.items()]).drop("o_orderkey")
+    sinks.write_evaluation(clips, path)
+    boxes = spark.read.option("header", "true").option("inferSchema", "true").csv(f"{path}/iou")
+    sums = boxes.groupBy("variant").agg(
+        F.count("*").alias("clips"), *[F.sum(c).cast("long").alias(c) for c in ("box_tp", "box_fp", "box_fn")], F.round(F.sum("precision"), 6).alias("precision"),
+        F.round(F.sum("recall"), 6).alias("recall"),
+    )
+    variants = spark.read.option("header", "true").csv(f"{path}/summary").select("variant")
+    rows = spark.read.json(f"{path}/per_clip").groupBy("variant").agg(F.count("*").alias("rows"))
+    return variants.join(sums, "variant").join(rows, "variant")
+
+
+def k20_split_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as numbered frames of three splits; counts of adjacent pairs and of those alike, from the files."""
+    path, rows = scratch(spark, "split-audit"), t.table(spark, sf_dir, "embeddings")
+    i = F.col("vec_id")
+    frames = rows.select(
+        F.floor(i / 25).cast("string").alias("prefix"), (i % 25).alias("number"), i.cast("string").alias("name"),
+        F.element_at(F.array(*[F.lit(s) for s in ("train", "val", "test")]), (F.floor(i / 2) % 3 + 1).cast("int")).alias("split"), hashing.sign_hash(F.col("embedding")).alias("dhash"),
+    )
+    sinks.write_split_audit(dedup.adjacent_distances(frames), path, most=26)
+    found = spark.read.option("header", "true").option("inferSchema", "true").csv(f"{path}/counts")
+    near = spark.read.option("header", "true").option("inferSchema", "true").csv(f"{path}/near").agg(F.count("*").alias("all_near"), F.coalesce(F.min("dhash_distance"), F.lit(-1)).cast("long").alias("least"))
+    return found.select("splits", F.col("adjacent").cast("long").alias("adjacent"), F.col("near").cast("long").alias("near")).join(F.broadcast(near))
 
 
 def s24_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,7 +386,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         s1_scanned, s10_manifest_json, s11_manifest_csv, s25_splits, s13_recorded, s13_chain, s16_videos, s18_materialised, k17_cached, s19_bundle, s23_epochs, s24_roots, s17_runs,
-        k12_absent, k13_index, k15_reviewed, k21_guarded, k22_lines, a11_summary, k9_review, a16_totals, a17_flags, o5_best, o4_groups,
+        k12_absent, k13_index, k15_reviewed, k16_evaluation, k20_split_audit, k21_guarded, k22_lines, a11_summary, k9_review, a16_totals, a17_flags, o5_best, o4_groups,
         x25_hashes, j13_paired, j17_lookup, m5_payload, m10_status, g7_prepared, ac9_config,
     )
 }
@@ -392,7 +426,16 @@ ORACLE_SQL = {
     "s19_bundle": """SELECT p_partkey AS name, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN CASE WHEN p_partkey % 11 <> 0 THEN concat('z.zip/', p_partkey) END
           WHEN p_partkey % 11 <> 0 THEN concat('a/', p_partkey) END AS path,
         CASE WHEN p_partkey % 7 = 0 THEN 'missing' WHEN p_partkey % 11 = 0 THEN 'changed' END AS problem FROM part""",
-    "s23_epochs": "SELECT min(s_suppkey) = 1 AND max(s_suppkey) = count(*) AND count(DISTINCT s_suppkey) = count(*) AS complete FROM supplier",
+    "s23_epochs": """WITH e AS (SELECT s_suppkey + 1 AS k, max(s_suppkey + 1) OVER () AS n FROM supplier)
+        SELECT 'whole' AS given, count(DISTINCT k) = max(n) AND count(*) = max(n) AND min(k) = 1 AS complete FROM e UNION ALL SELECT 'cut', false UNION ALL SELECT 'twice', false""",
+    "k16_evaluation": """WITH c AS (SELECT o_orderpriority AS variant, o_orderkey % 4 AS r, o_orderkey % 11 AS tp, o_orderkey % 7 AS fp, o_orderkey % 5 AS fn FROM orders)
+        SELECT variant, count(*) FILTER (r > 0) AS clips, CAST(sum(tp) FILTER (r > 0) AS BIGINT) AS box_tp, CAST(sum(fp) FILTER (r > 0) AS BIGINT) AS box_fp,
+          CAST(sum(fn) FILTER (r > 0) AS BIGINT) AS box_fn, round(sum(tp / nullif(tp + fp, 0)) FILTER (r > 0), 6) AS precision,
+          round(sum(tp / nullif(tp + fn, 0)) FILTER (r > 0), 6) AS recall, count(*) AS rows FROM c GROUP BY variant""",
+    "k20_split_audit": """WITH e AS (SELECT vec_id, vec_id // 25 AS p, vec_id % 25 AS i, ['train', 'val', 'test'][vec_id // 2 % 3 + 1] AS s, list_transform(embedding[1:64], lambda v: v > 0) AS b FROM embeddings),
+        d AS (SELECT array_to_string(list_sort([x.s, y.s]), '+') AS splits, len(list_filter(list_zip(x.b, y.b), lambda z: z[1] <> z[2])) AS d FROM e x JOIN e y ON x.p = y.p AND x.i + 1 = y.i AND x.s <> y.s)
+        SELECT splits, count(*) AS adjacent, count(*) FILTER (d <= 26) AS near, (SELECT count(*) FROM d WHERE d <= 26) AS all_near,
+          (SELECT coalesce(min(d), -1) FROM d WHERE d <= 26) AS least FROM d GROUP BY splits""",
     "s24_roots": """WITH k AS (SELECT concat('d/', n_name) AS root, CAST(CASE n_regionkey WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS INT) AS kind FROM nation)
         SELECT root, kind, CAST(row_number() OVER (ORDER BY kind, root) AS INT) AS place FROM k""",
     "s17_runs": """WITH v AS (SELECT c_custkey % 5 AS n, round(avg(c_acctbal) / 10000, 8) AS v FROM customer GROUP BY 1)

@@ -215,7 +215,10 @@ def dataset_roots(folders: DataFrame) -> DataFrame:
     kinds = folders.where(~F.lower(F.element_at(F.split("root", "/"), -1)).isin("manifests", "splits")).groupBy("root").agg(
         F.min(F.when(split, 0).when(name == "images", 1).otherwise(2)).alias("kind")
     )
-    return kinds.withColumn("place", F.row_number().over(Window.orderBy("kind", "root"))).select("root", "kind", "place")
+    before = Window.orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)  # over three rows
+    ahead = kinds.groupBy("kind").count().select("kind", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
+    place = F.col("ahead") + F.row_number().over(Window.partitionBy("kind").orderBy("root"))
+    return kinds.join(F.broadcast(ahead), "kind").select("root", "kind", place.cast("int").alias("place"))
 
 
 def read_splits(spark: SparkSession, paths: dict[str, str], present: DataFrame | None = None) -> DataFrame:
@@ -237,14 +240,22 @@ def read_splits(spark: SparkSession, paths: dict[str, str], present: DataFrame |
 
 
 def read_manifest_json(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of a nested value with `frames`, or one frame a line; nested sizes win over flat ones."""
+    """Frames of a nested value with `frames`, or one frame a line; nested sizes win over flat ones.
+
+    The first line tells: a whole value on it that is a frame or a summary is followed by others, one a line.
+    """
     box = "struct<fire:int,smoke:int>"
     fields = ", ".join(f.replace(" ", ":", 1) for f in schemas.FRAMES.split(", "))
     frame = f"struct<{fields},resolution:{DIMENSIONS},boxes:{box}>"
-    whole = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r'^\s*\{[^{}\[]*("summary"\s*:\s*\{[^{}]*\}\s*,\s*)?"frames"'))
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).select(
+        F.from_json("value", "struct<frames:array<string>,filename:string,summary:string>").alias("v"), F.rlike("value", F.lit(r"\}\s*$")).alias("closed")
+    ).first()
+    if first is not None and first["closed"] and first["v"] is not None and first["v"]["frames"] is None:
+        lines = spark.read.text(path).select(F.from_json("value", frame).alias("f")).where("f.filename IS NOT NULL")
+        return normalised(lines.select("f.*"))
+    whole = spark.read.text(path, wholetext=True)
     one = whole.select(F.explode(F.from_json("value", f"struct<frames:array<{frame}>>")["frames"]).alias("f"))
-    lines = spark.read.text(path).select(F.from_json("value", frame).alias("f")).where("f.filename IS NOT NULL")
-    return normalised(one.unionAll(lines).select("f.*"))
+    return normalised(one.select("f.*"))
 
 
 def normalised(frames: DataFrame) -> DataFrame:

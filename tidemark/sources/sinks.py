@@ -7,24 +7,30 @@ whole, through a file beside the target that is then renamed.
 from __future__ import annotations
 
 import csv
+import io
 import json
 import os
 from collections.abc import Callable, Iterable
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import text
 from tidemark.operators import profile
+from tidemark.sources.listing import uri
 
 
 def _whole(path: str, write: Callable, encoding: str = "utf-8") -> None:
-    part = f"{path}.partial"
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(part, "w", encoding=encoding, newline="") as file:
-        write(file)
-    os.replace(part, path)
+    """Writes a file beside its target in the target's store and renames it, so that it is never seen half."""
+    fs, at = pafs.FileSystem.from_uri(uri(path if ":" in path else os.path.abspath(path)))
+    made = io.StringIO(newline="")
+    write(made)
+    fs.create_dir(os.path.dirname(at))
+    with fs.open_output_stream(f"{at}.partial") as file:
+        file.write(made.getvalue().encode(encoding))
+    fs.move(f"{at}.partial", at)
 
 
 def write_json(path: str, value: object) -> None:
@@ -133,8 +139,7 @@ def write_manifest_json(frames: DataFrame, path: str, dataset: str = "") -> None
     """
     head = frames.sparkSession.createDataFrame([(json.dumps({"dataset": dataset, **manifest_summary(frames)}),)], "value string")
     rows = nested(frames).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    head.write.mode("overwrite").text(path)
-    rows.write.mode("append").text(path)
+    head.coalesce(1).unionAll(rows).write.mode("overwrite").text(path)  # one job: there is no summary without its frames
 
 
 def write_manifest_csv(frames: DataFrame, path: str) -> None:
@@ -155,9 +160,10 @@ def write_once(rows: DataFrame, path: str) -> None:
 
 
 def write_absent(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends the rows whose keys are not there yet."""
+    """Appends the rows whose keys are not there yet; one row of each key."""
     from pyspark.errors import AnalysisException
 
+    rows = rows.dropDuplicates(keys)
     try:
         there = rows.sparkSession.read.parquet(path)
         rows = rows.join(there.select(*keys), keys, "left_anti")
@@ -167,6 +173,28 @@ def write_absent(rows: DataFrame, path: str, keys: list[str]) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def write_evaluation(clips: DataFrame, path: str) -> None:
+    """The tables of an evaluation: every clip and variant as JSON, variants summed up, and box counts of reviewed clips.
+
+    clips: clip_summary's columns and clip, reviewed_frames, box_tp, box_fp, box_fn.
+    """
+    clips.write.mode("errorifexists").json(f"{path}/per_clip")
+    for name, rows in (("summary", profile.clip_summary(clips)), ("iou", profile.iou_rows(clips))):
+        rows.write.mode("errorifexists").option("header", "true").csv(f"{path}/{name}")
+
+
+def write_split_audit(pairs: DataFrame, path: str, most: int = 8) -> None:
+    """Adjacent frames of different splits, those that look alike, and counts of both by pair of splits.
+
+    pairs: image_a, split_a, image_b, split_b, dhash_distance.
+    """
+    near = F.col("dhash_distance") <= most
+    splits = F.array_join(F.array_sort(F.array("split_a", "split_b")), "+")
+    counts = pairs.groupBy(splits.alias("splits")).agg(F.count("*").alias("adjacent"), F.count_if(near).alias("near"))
+    for name, rows in (("adjacent", pairs), ("near", pairs.where(near)), ("counts", counts)):
+        rows.write.mode("errorifexists").option("header", "true").csv(f"{path}/{name}")
+
+
 def reviewed_frames(frame_map: DataFrame, annotations: DataFrame) -> DataFrame:
     """The reviewed frames of each clip, with their images."""
     return frame_map.join(annotations.where("reviewed"), ["clip", "frame_index"])
