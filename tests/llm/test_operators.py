@@ -527,6 +527,11 @@ def test_a_shard_of_equal_texts_is_packed_in_time():
     assert len({d for p in made for d, _, _ in p}) == 2000 and time.time() - began < 30
 
 
+def test_occurrences():
+    assert packing.occurrence(np.array([5, 2, 5, 5, 2, 9])).tolist() == [0, 0, 1, 2, 1, 0]
+    assert packing.occurrence(np.empty(0, np.int64)).tolist() == []
+
+
 def test_equal_rows_are_dealt_to_several_leaves(spark, monkeypatch):
     rows = [(None, "one text that is repeated over and over " * 20)] * 600 + [(i, f"w{i} x{i % 7} y{i % 3} " * 30) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)

@@ -25,13 +25,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import placement, wordhash
-from tidemark.llm.memory import tidy_batches, tidy_group, tidy_pair
+from tidemark.llm.memory import tidy_batches, tidy_group, tidy_pair, trim
 
 WINDOW = 2048
 END_ID = 1
@@ -41,7 +40,7 @@ PARTS, MOST_PARTS = 64, 4096  # of the distinct words
 ASKED = 256  # documents of a ranking that are sorted at once; the next ones follow when they are used up
 COMMON, FREQUENT = 512, 16  # at most so many words have a row of weights; each is held by a 16th of the shard or more
 K1, B = 1.2, 0.75
-CACHED_WORDS, WORTH = 1_000_000, 32  # of a worker's store; it takes new words when they are a WORTHth of it
+CACHED_WORDS, WORTH = 400_000, 32  # of a worker's store; it takes new words when they are a WORTHth of it
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "ids array<int>"
@@ -213,8 +212,8 @@ def pieces(texts: pa.Array) -> wordhash.Words:
 
 def coded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of some arrays, in order of appearance, and the place of every value among them, end to end."""
-    code, keys = pd.factorize(np.concatenate([np.empty(0, np.uint64), *parts]))
-    return keys, code.astype(np.int32)
+    found = pa.array(np.concatenate([np.empty(0, np.uint64), *parts])).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
 
 
 def ranges(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -399,12 +398,21 @@ def binary(sequence: list[tuple[int, int, int]]) -> list[list[tuple[int, int, in
     return out
 
 
+def occurrence(values: np.ndarray) -> np.ndarray:
+    """How often each value came before, so that equal rows are dealt apart."""
+    order = np.argsort(values, kind="stable")
+    first = np.append(True, values[order[1:]] != values[order[:-1]])[: len(values)]
+    begin = np.maximum.accumulate(np.where(first, np.arange(len(values)), 0))
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values)) - begin
+    return out
+
+
 def _place(model: placement.Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rank = batch["rank"].to_numpy()
-            again = pd.Series(rank).groupby(rank).cumcount().to_numpy()  # equal rows are dealt apart
-            leaf = model.leaves(batch["text"], (rank ^ (again * 0x9E3779B97F4A7C1)) & ((1 << 62) - 1))
+            leaf = model.leaves(batch["text"], (rank ^ (occurrence(rank) * 0x9E3779B97F4A7C1)) & ((1 << 62) - 1))
             yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], names=["leaf", *batch.schema.names])
 
     return run
@@ -418,8 +426,8 @@ def _distinct(parts: int) -> Callable:
         found, counts, words = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
         for low, high in wordhash.chunks(texts, 1 << 20):
             split = pieces(texts.slice(low, high - low))
-            code, own = pd.factorize(split.hashes())
-            held = np.sort(code * (high - low) + split.doc)
+            own, code = coded([split.hashes()])
+            held = np.sort(code.astype(np.int64) * (high - low) + split.doc)
             held = held[np.append(True, held[1:] != held[:-1])[: len(held)]] // (high - low)
             found.append(own)
             counts.append(np.bincount(held, minlength=len(own)))
@@ -518,6 +526,8 @@ def place(df: DataFrame, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, i
         few = few.select("rank", "doc_id", F.substring("text", 1, placement.SAMPLE_CHARS).alias("text"), length.alias("size"))
         sample = few.orderBy("rank", "doc_id").limit(placement.SAMPLE_ROWS).collect()
     model = placement.fit([r["text"] for r in sample], [r["size"] for r in sample], leaves)
+    del sample
+    trim()  # the driver's memory is bounded too
     return rows.mapInArrow(tidy_batches(_place(model)), "leaf long, doc_id long, text string, rank long"), max(1, leaves)
 
 
