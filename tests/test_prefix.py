@@ -30,6 +30,14 @@ def test_running_sums_and_best_below(spark, range_rows):
     assert sorted(map(tuple, got.select("g", "c", "x", "y", "best").collect()), key=str) == sorted(want, key=str)
 
 
+def test_no_frame_begins_anew_at_every_row(spark):
+    """A frame up to the end is summed anew for each row: quadratic in the rows of a range."""
+    df = spark.createDataFrame(levels(), "g string, c double, x long, y long")
+    found = prefix.best_below(prefix.cut(df, ["g"], "c", 60), ["g"], "c", "x", "best")
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def test_ranges_of_one_group_are_bounded(spark):
     df = spark.range(20_000).select(F.lit(1).alias("g"), (F.col("id") / 7).alias("c"))
     sizes = [r["count"] for r in prefix.cut(df, ["g"], "c", 1000).groupBy("_range").count().collect()]

@@ -52,9 +52,10 @@ def running(cuts: DataFrame, by: list[str], order: str, sums: list[str]) -> Data
 def best_below(cuts: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
     """cuts with the greatest value at this `order` or a lower one."""
     most = cuts.groupBy(*by, RANGE).agg(F.max(value).alias("_most"))
-    after = Window.partitionBy(*by).orderBy(RANGE).rowsBetween(1, Window.unboundedFollowing)
+    # from the far end on: a frame that grows is one pass, one that shrinks begins anew at every row
+    after = Window.partitionBy(*by).orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
     later = most.select(*by, RANGE, F.max("_most").over(after).alias("_later"))
-    within = Window.partitionBy(*by, RANGE).orderBy(F.desc(order)).rowsBetween(0, Window.unboundedFollowing)
+    within = Window.partitionBy(*by, RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return _joined(cuts, later, by).withColumn(name, F.greatest(F.max(value).over(within), "_later")).drop("_later")
 
 
