@@ -213,6 +213,41 @@ def test_matching_rules():
     assert match.by_overlap(boxes_of([]), boxes_of([])) == (0, 0, 0)
 
 
+def plain_by_confidence(p, t, least):
+    out, used = [-1] * len(p), set()
+    for i in sorted(range(len(p)), key=lambda i: (-p[i][4], i)):
+        values = [(match.ious(np.array([p[i][:4]]), np.array([t[j][:4]]))[0, 0], -j) for j in range(len(t)) if j not in used]
+        if values and max(values)[0] >= least:
+            out[i] = -max(values)[1]
+            used.add(out[i])
+    return out
+
+
+def test_stacks_of_images_against_plain(spark):
+    """Images of many sizes, one of more boxes than are padded, go through the rules together."""
+    rng = np.random.default_rng(3)
+
+    def some(n):
+        low = rng.integers(0, 12, (n, 2))
+        return np.concatenate([low, low + rng.integers(5, 9, (n, 2)), rng.integers(1, 4, (n, 1)) / 4], axis=1).tolist()
+
+    sizes = [(n, m) for n in range(6) for m in range(6)] + [(40, 33), (1, 20), (20, 1)]
+    images = {i: (some(n), some(m)) for i, (n, m) in enumerate(sizes)}
+    kind = "image long, ord int, x1 double, y1 double, x2 double, y2 double, conf double, cls int, side640 double"
+
+    def rows(which):
+        return spark.createDataFrame([(i, k, *map(float, b), 0, float(b[2] - b[0])) for i, x in images.items() for k, b in enumerate(x[which])], kind)
+
+    got = sorted(map(tuple, match.scored_predictions(rows(0), rows(1), ["image"]).collect()))
+    want = []
+    for i, (p, t) in images.items():
+        found = plain_by_confidence(p, t, 0.5)
+        want += [(i, b[4], int(j >= 0), int(j >= 0 and t[j][2] - t[j][0] < 16), int(j >= 0)) for b, j in zip(p, found, strict=True)]
+    assert got == sorted(want) and len({r[2] for r in got}) == 2
+    counts = metrics.scored_detections(rows(0), rows(1), ["image"]).where("bin = 'all' AND iou = 0.5").agg({"tp": "sum", "n": "sum"}).first()
+    assert (counts["sum(tp)"], counts["sum(n)"]) == (sum(r[2] for r in want), len(want))
+
+
 def detections(spark, predictions):
     kind = "image string, ord int, x1 double, y1 double, x2 double, y2 double, cls int, conf double, side640 double"
     truth = [("a", i, 50.0 * i, 0.0, 50.0 * i + s, float(s), 0, 1.0, float(s)) for i, s in enumerate((8, 16, 32, 20, 100))]

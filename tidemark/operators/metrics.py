@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import prefix
-from tidemark.operators.match import Boxes, by_bucket, images, ious
+from tidemark.operators.match import STACK, Stack, by_bucket, stacks
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 RECALL_POINTS = 101
@@ -16,25 +16,29 @@ RECALL_POINTS = 101
 BINS = {"all": (0, np.inf), "tiny": (0, 16), "small": (0, 32), "16-32": (16, 32), "medium": (32, 96), "large": (96, np.inf)}
 
 
-def _outcomes(p: Boxes, t: Boxes, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """(predictions, bins, thresholds): 1 found a box of the bin, 2 found none and counts, 0 doesn't count."""
-    values, least = ious(p.edges, t.edges), np.array(THRESHOLDS)[None, :]
-    inside = ((t.side >= low) & (t.side < high))[:, None, :]
-    own_size = (p.side >= low) & (p.side < high)  # (bins, predictions)
-    free = np.ones((len(low), len(THRESHOLDS), len(t.side)), dtype=bool)
-    out = np.zeros((len(p.conf), len(low), len(THRESHOLDS)), dtype=np.int8)
-    for i in range(len(p.conf)):
-        miss = np.where(own_size[:, i], 2, 0)[:, None]
-        if not len(t.side) or values[i].max() < THRESHOLDS[0]:
-            out[i] = miss
+def _outcomes(s: Stack, order: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(n, ranks, bins, thresholds) of the predictions in `order` (n, ranks): 1 found a box of the bin, 2 found none and counts, 0 doesn't count."""
+    values, least = s.ious(), np.array(THRESHOLDS)[:, None]
+    inside = (s.t.side[:, None, :] >= low) & (s.t.side[:, None, :] < high)  # (n, bins, boxes)
+    own = np.take_along_axis(s.p.side, order, 1)[:, :, None]
+    own_size = (own >= low[:, 0]) & (own < high[:, 0]) & np.take_along_axis(s.p_there, order, 1)[:, :, None]
+    free = np.ones((len(s.at), len(low), len(THRESHOLDS), s.t_there.shape[1]), dtype=bool)
+    out = np.repeat(np.where(own_size, 2, 0).astype(np.int8)[..., None], len(THRESHOLDS), axis=3)
+    if not s.t_there.shape[1]:
+        return out
+    for rank, i in enumerate(order.T):
+        value = values[np.arange(len(s.at)), i]
+        some = np.flatnonzero((value.max(axis=1) >= THRESHOLDS[0]) & s.p_there[np.arange(len(s.at)), i])
+        if not len(some):
             continue
         # boxes of the bin come before the others, the best of them first
-        left = np.where(free & (values[i] >= least[:, :, None]), values[i] + inside, -1.0)
-        j = left.argmax(axis=2)
-        b, k = np.nonzero(np.take_along_axis(left, j[:, :, None], 2)[:, :, 0] > 0)
-        out[i] = miss
-        out[i, b, k] = inside[b, 0, j[b, k]]
-        free[b, k, j[b, k]] = False
+        v = value[some][:, None, None, :]
+        left = np.where(free[some] & (v >= least), v + inside[some][:, :, None, :], -1.0)
+        j = left.argmax(axis=3)
+        n, b, k = np.nonzero(np.take_along_axis(left, j[..., None], 3)[..., 0] > 0)
+        j, n = j[n, b, k], some[n]
+        out[n, rank, b, k] = inside[n, b, j]
+        free[n, b, k, j] = False
     return out
 
 
@@ -50,24 +54,36 @@ def scored_detections(predictions: DataFrame, truth: DataFrame, keys: list[str],
 
     def run(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         found, conf, kind, sizes, own = [], [], [], [], []
-        for key, x, y in images(p, t, [*keys, "cls"]):
-            x = x.rows(np.lexsort((np.arange(len(x.conf)), -x.conf))[:most])
-            found.append(_outcomes(x, y, low, high))
-            conf.append(x.conf)
-            kind.append(np.full(len(x.conf), key[-1]))
-            sizes.append(y.side)
-            own.append(np.full(len(y.side), key[-1]))
+        every, some = stacks(p, t, [*keys, "cls"])
+        classes = every["cls"].to_numpy()
+        for s in some:
+            order = s.certain_first()[:, :most]
+            step = max(1, STACK // (len(names) * len(THRESHOLDS) * max(1, order.shape[1], s.t_there.shape[1])))
+            for at in range(0, len(s.at), step):
+                part = Stack(s.at[at : at + step], *(b.rows(slice(at, at + step)) for b in (s.p, s.t)), *(x[at : at + step] for x in (s.p_there, s.t_there)))
+                some_order = order[at : at + step]
+                there = np.take_along_axis(part.p_there, some_order, 1)
+                found.append(_outcomes(part, some_order, low, high)[there])
+                conf.append(np.take_along_axis(part.p.conf, some_order, 1)[there])
+                kind.append(np.repeat(classes[part.at], there.sum(axis=1)))
+                sizes.append(part.t.side[part.t_there])
+                own.append(np.repeat(classes[part.at], part.t_there.sum(axis=1)))
         parts = []
         if found:
-            i, b, k = np.nonzero(flags := np.concatenate(found))
-            rows = pd.DataFrame({"cls": np.concatenate(kind)[i], "b": b, "k": k, "conf": np.concatenate(conf)[i], "tp": flags[i, b, k] == 1})
-            rows = rows.groupby(["cls", "b", "k", "conf"])["tp"].agg(["sum", "count"]).reset_index()
-            parts.append(pd.DataFrame({
-                "cls": rows["cls"], "bin": np.array(names, dtype=object)[rows["b"]], "iou": np.array(THRESHOLDS)[rows["k"]],
-                "conf": rows["conf"], "tp": rows["sum"], "n": rows["count"], "n_truth": 0,
-            }))
+            flags, conf, kind = np.concatenate(found), np.concatenate(conf), np.concatenate(kind)
+            order = np.flatnonzero(~np.isnan(conf))
+            order = order[np.lexsort((conf[order], kind[order]))]
+            flags, conf, kind_of = flags[order], conf[order], kind[order]
+            first = np.flatnonzero(np.concatenate([[True], (conf[1:] != conf[:-1]) | (kind_of[1:] != kind_of[:-1])])) if len(conf) else np.empty(0, int)
+            if len(first):
+                n, tp = (np.add.reduceat(x, first, axis=0, dtype=np.int64) for x in (flags > 0, flags == 1))
+                i, b, k = np.nonzero(n)
+                parts.append(pd.DataFrame({
+                    "cls": kind_of[first][i], "bin": np.array(names, dtype=object)[b], "iou": np.array(THRESHOLDS)[k],
+                    "conf": conf[first][i], "tp": tp[i, b, k], "n": n[i, b, k], "n_truth": 0,
+                }))
             side, owner = np.concatenate(sizes), np.concatenate(own)
-            classes = np.unique(np.concatenate([owner, np.concatenate(kind)]))
+            classes = np.unique(np.concatenate([owner, kind]))
             parts.append(pd.DataFrame(
                 [(int(c), n, np.nan, np.nan, 0, 0, int(((side >= BINS[n][0]) & (side < BINS[n][1]) & (owner == c)).sum())) for c in classes for n in names],
                 columns=["cls", "bin", "iou", "conf", "tp", "n", "n_truth"],
