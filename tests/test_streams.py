@@ -197,6 +197,38 @@ def test_bounded_batches_and_a_restart_that_repeats_nothing(spark, tmp_path):
     assert run() and spark.read.parquet(f"{tmp_path}/out").count() == len(rows) + 5
 
 
+def test_calls_of_a_trigger_are_bounded_and_numbered(spark, tmp_path):
+    """Triggers of several calls: as few as the recording needs, each call of 16 frames at most."""
+    rows, sizes = recording(spark, f"{tmp_path}/in"), []
+    stream = recordings.read_recording(spark, f"{tmp_path}/in", f"{tmp_path}/log", calls_per_trigger=3)
+
+    def sink(batch, number):
+        sizes.append(number)
+        batch.write.mode("overwrite").parquet(f"{tmp_path}/out/{number}")
+
+    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/check").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = spark.read.parquet(f"{tmp_path}/out/*")
+    assert got.count() == len(rows) and all(r.call == r.frame_index // 16 for r in got.select("call", "frame_index").collect())
+    assert len(sizes) == 2  # 95 frames of the longest camera, 48 a trigger
+
+
+def test_row_groups_of_a_recording_are_small(spark, tmp_path):
+    """A trigger reads some frames of a long file, not all of it."""
+    import pyarrow.parquet as pq
+
+    frames = spark.range(20_000).select(
+        F.lit("c").alias("stream_id"), F.col("id").alias("frame_index"), (F.col("id") / 30).alias("ts_sec"), (F.col("id") / 30).alias("arrived_sec"),
+        F.lit(640).alias("image_w"), F.lit(480).alias("image_h"), F.array().cast(f"array<{recordings.BOX}>").alias("boxes"),
+    )
+    recordings.write_recording(frames, f"{tmp_path}/in")
+    found = [pq.ParquetFile(f).metadata for f in tmp_path.glob("in/*/*.parquet")]
+    assert max(m.row_group(i).num_rows for m in found for i in range(m.num_row_groups)) <= 8000
+
+
 def test_late_slots(spark):
     df = spark.createDataFrame([(0.0, 0.0), (1.0, 1.02), (1.0, 1.04), (2.0, 2.5)], "t double, a double")
     got = [tuple(r.s) for r in df.select(recordings.slots(F.col("t"), F.col("a")).alias("s")).collect()]

@@ -2,8 +2,9 @@
 
 A recording is a folder with one subfolder a camera, whose Parquet files hold one row a frame, in order.  `FrameSource` is a
 streaming data source over it: an offset is the number of frames of each camera so far; every trigger moves each camera on by
-`frames_per_trigger` frames at most (16, as a detector takes).  Frames are read in tasks, some cameras each, from the row groups that
-hold them.
+`frames_per_trigger` frames at most (16, as a detector takes).  With `calls_per_trigger` a trigger moves it on by that many calls of a
+detector, and a column `call` numbers a camera's calls: rows of one call are 16 at most, and the triggers of a long recording are
+fewer.  Frames are read in tasks, some cameras each, from the row groups that hold them, which are small.
 
 The source keeps the last planned offset in the folder `log`, written before a batch runs, so after a restart it goes on where the query's
 own checkpoint does: a batch that was planned and not committed is planned again by Spark with the same offsets.
@@ -26,6 +27,7 @@ from pyspark.sql.types import StructType
 from tidemark.sources.listing import uri
 
 MOST_FRAMES = 16
+GROUP_BYTES = 1 << 16  # of a row group, about; a trigger reads some frames of each camera
 TASKS = 32
 BOX = "struct<x1:double,y1:double,x2:double,y2:double,conf:double,cls:int>"
 FRAME = f"stream_id string, frame_index bigint, ts_sec double, arrived_sec double, image_w int, image_h int, boxes array<{BOX}>"
@@ -49,7 +51,8 @@ def write_recording(frames: DataFrame, path: str, frames_per_file: int = 100_000
     """A recording of FRAME rows; a camera's files follow each other by name."""
     rows = frames.select(*[f.name for f in StructType.fromDDL(FRAME).fields]).repartition("stream_id")
     rows = rows.sortWithinPartitions("stream_id", "frame_index")
-    rows.write.partitionBy("stream_id").option("maxRecordsPerFile", frames_per_file).parquet(path)
+    out = rows.write.partitionBy("stream_id").option("maxRecordsPerFile", frames_per_file)
+    out.option("parquet.block.size", GROUP_BYTES).parquet(path)
 
 
 def slots(captured: Column, arrived: Column, fps: float = 30.0) -> Column:
@@ -60,20 +63,20 @@ def slots(captured: Column, arrived: Column, fps: float = 30.0) -> Column:
 
 @dataclass
 class Span(InputPartition):
-    """Some cameras' frames: (camera, file, first row, end row)."""
+    """Some cameras' frames: (camera, file, first row, end row, the camera's frames before the file)."""
 
-    parts: list[tuple[str, str, int, int]]
+    parts: list[tuple[str, str, int, int, int]]
 
 
 class FrameSource(DataSource):
-    """Options: path; log (a folder of its own for each query); frames_per_trigger, 16 at most."""
+    """Options: path; log (a folder of its own for each query); frames_per_trigger, 16 at most; calls_per_trigger adds `call`."""
 
     @classmethod
     def name(cls) -> str:
         return "recorded_frames"
 
     def schema(self) -> str:
-        return FRAME
+        return f"{FRAME}, call bigint" if "calls_per_trigger" in self.options else FRAME
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return FrameReader(self.options, schema)
@@ -85,6 +88,9 @@ class FrameReader(DataSourceStreamReader):
         self.most = int(options.get("frames_per_trigger", MOST_FRAMES))
         if not 0 < self.most <= MOST_FRAMES:
             raise ValueError(f"frames_per_trigger is 1 to {MOST_FRAMES}")
+        self.calls = int(options.get("calls_per_trigger", 1))
+        if self.calls < 1:
+            raise ValueError("calls_per_trigger is 1 or more")
         self.schema = schema
         self.sizes: dict[str, int] = {}  # rows of each file seen
         self.at: dict[str, int] | None = None
@@ -120,7 +126,7 @@ class FrameReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         at = self._planned()
         there = {camera: sum(n for _, n in files) for camera, files in self._found().items()}
-        return {camera: min(n, at.get(camera, 0) + self.most) for camera, n in sorted(there.items())}
+        return {camera: min(n, at.get(camera, 0) + self.most * self.calls) for camera, n in sorted(there.items())}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         if start == end:
@@ -132,7 +138,7 @@ class FrameReader(DataSourceStreamReader):
             for path, n in files:
                 a, b = max(low - before, 0), min(high - before, n)
                 if a < b:
-                    parts.append((camera, path, a, b))
+                    parts.append((camera, path, a, b, before))
                 before += n
         size = max(1, -(-len(parts) // TASKS))
         return [Span(parts[i : i + size]) for i in range(0, len(parts), size)]
@@ -150,7 +156,7 @@ class FrameReader(DataSourceStreamReader):
 
         kind = to_arrow_schema(self.schema)
         fs, _ = pafs.FileSystem.from_uri(uri(self.path))
-        for camera, path, low, high in partition.parts:
+        for camera, path, low, high, ahead in partition.parts:
             with fs.open_input_file(path) as source:
                 file, before = pq.ParquetFile(source), 0
                 for group in range(file.metadata.num_row_groups):
@@ -159,13 +165,19 @@ class FrameReader(DataSourceStreamReader):
                     if a < b:
                         rows = file.read_row_group(group).slice(a, b - a)
                         rows = rows.append_column("stream_id", pa.array([camera] * len(rows), pa.string()))
+                        if "call" in kind.names:
+                            numbers = range(ahead + before + a, ahead + before + b)
+                            rows = rows.append_column("call", pa.array([i // self.most for i in numbers], pa.int64()))
                         yield from rows.select(kind.names).cast(kind).to_batches()
                     before += n
 
 
-def read_recording(spark: SparkSession, path: str, log: str, frames_per_trigger: int = MOST_FRAMES) -> DataFrame:
+def read_recording(
+    spark: SparkSession, path: str, log: str, frames_per_trigger: int = MOST_FRAMES, calls_per_trigger: int | None = None
+) -> DataFrame:
     """The stream of a recording; run it with a trigger by time, since availableNow takes a single batch of such a source."""
     spark.dataSource.register(FrameSource)
-    return (
-        spark.readStream.format("recorded_frames").option("path", path).option("log", log).option("frames_per_trigger", frames_per_trigger).load()
-    )
+    stream = spark.readStream.format("recorded_frames").option("path", path).option("log", log).option("frames_per_trigger", frames_per_trigger)
+    if calls_per_trigger is not None:
+        stream = stream.option("calls_per_trigger", calls_per_trigger)
+    return stream.load()
