@@ -191,3 +191,30 @@ def test_refused_frames_leave_the_state():
     for bad in (frame._replace(t=0.0), frame._replace(t=None), frame._replace(t=1.0, boxes=[(1.0, 1.0, math.nan, 5.0, 0.9, 0)])):
         state, rows = tracking.tracked(state, bad)
         assert rows[0]["error"] and str(state) == before
+
+
+def test_few_long_streams_do_not_meet_in_a_task(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4000).select(
+        F.concat(F.lit("s"), F.col("id") % 20).alias("stream_id"), F.floor(F.col("id") / 20).alias("frame_index"), F.col("id").cast("double").alias("ts_sec"),
+        *[F.lit(640).alias(c) for c in ("image_w", "image_h")], *[F.lit(None).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "conf")],
+        *[F.lit(None).cast("int").alias(c) for c in ("track_id", "cls")],
+    )
+
+    def count(state, frame):
+        return state + 1, [{"stream_id": frame.stream, "n": state}]
+
+    found = frames.replayed(rows, lambda: 0, count, "stream_id string, n long")
+    tasks = found.select("stream_id", F.spark_partition_id().alias("task")).distinct().groupBy("task").count()
+    assert found.count() == 4000 and tasks.count() >= 18
+
+
+def test_values_of_columns():
+    import pyarrow as pa
+
+    for kind, values in ((pa.string(), ["a", None, "b", "a"]), (pa.int32(), [1, None, 3]), (pa.float64(), [0.5, None, float("inf")]), (pa.bool_(), [True, None, False])):
+        column = pa.array(values, kind)
+        for part in (column, column[1:], column[:1], column[:0], pa.nulls(2, kind)):
+            got = frames._values(part)
+            assert got == part.to_pylist() and [type(v) for v in got] == [type(v) for v in part.to_pylist()]

@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+STREAM_TASKS = 192
 #: What a row is: a followed box, a detector's box, a reviewed box.  A row without a kind is a track row.
 TRACK, BOX, TRUTH = "track", "box", "truth"
 ORDER = ["stream_id", "frame_index", "ts_sec", "kind", "track_id"]
@@ -50,7 +52,7 @@ def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[Frame]:
     """Frames of rows in ORDER; a frame may span batches.  Rows without a frame number are left out."""
     key, held = None, []
     for batch in batches:
-        for row in zip(*(batch[c].to_pylist() for c in COLUMNS), strict=True):
+        for row in zip(*(_values(batch[c]) for c in COLUMNS), strict=True):
             if row[1] is None:
                 continue
             if (row[0], row[1]) != key:
@@ -62,6 +64,23 @@ def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[Frame]:
         yield _frame(held)
 
 
+def _values(column: pa.Array) -> list:
+    """to_pylist, by whole columns of numbers and once for each distinct text."""
+    kind, n = column.type, len(column)
+    if not n or column.null_count == n:
+        return [None] * n
+    if pa.types.is_string(kind):
+        coded = column.dictionary_encode()
+        texts = [*coded.dictionary.to_pylist(), None]
+        return [texts[i] for i in coded.indices.fill_null(len(texts) - 1).to_numpy().tolist()]
+    if not (pa.types.is_float64(kind) or pa.types.is_integer(kind) or pa.types.is_boolean(kind)):
+        return column.to_pylist()
+    values = column.fill_null(False if pa.types.is_boolean(kind) else 0).to_numpy(zero_copy_only=False).tolist()
+    for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)) if column.null_count else ():
+        values[i] = None
+    return values
+
+
 def _frame(rows: list[tuple]) -> Frame:
     stream, index, t, width, height = rows[0][:5]
     tracks = [(*r[5:9], r[9], r[10], r[11]) for r in rows if r[12] == TRACK]
@@ -75,8 +94,11 @@ def _frame(rows: list[tuple]) -> Frame:
 
 
 def replayed(rows: DataFrame, start: Callable[[], Any], on_frame: Callable[[Any, Frame], tuple[Any, list[dict]]], schema: str) -> DataFrame:
-    """The rows that on_frame makes of a state and a frame, over whole streams; start makes a stream's first state."""
+    """The rows that on_frame makes of a state and a frame, over whole streams; start makes a stream's first state.
 
+    Streams are dealt over many partitions, whose number is given, since a few long streams that meet in one task would wait for each
+    other, and partitions whose number isn't given are merged by their bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, stream, out = None, None, []
@@ -94,7 +116,8 @@ def replayed(rows: DataFrame, start: Callable[[], Any], on_frame: Callable[[Any,
 
     kinds = arrow_schema(rows.sparkSession, schema)
 
-    ordered = complete(rows).repartition("stream_id").sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in ORDER])
+    tasks = max(STREAM_TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = complete(rows).repartition(tasks, "stream_id").sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in ORDER])
     return ordered.mapInArrow(run, schema)
 
 
