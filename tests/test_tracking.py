@@ -218,3 +218,21 @@ def test_values_of_columns():
         for part in (column, column[1:], column[:1], column[:0], pa.nulls(2, kind)):
             got = frames._values(part)
             assert got == part.to_pylist() and [type(v) for v in got] == [type(v) for v in part.to_pylist()]
+
+
+def test_one_track_moves_as_arrays_do():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        low = rng.uniform(0, 300, (2, 2))
+        boxes = np.concatenate([low, low + rng.uniform(5, 60, (2, 2))], axis=1)
+        one = tracking.Filter.start(boxes[:1])
+        for seen in (True, False, True):
+            moved = tracking._moved(one[0].tolist(), seen)
+            one = tracking.Filter.ahead(one, np.array([seen]))
+            assert moved == one[0].tolist() and list(tracking._corners(moved[0])) == tracking.corners(one[:, 0])[0].tolist()
+            met = tracking._met(moved, boxes[1].tolist())
+            one = tracking.Filter.seen(one, boxes[1:])
+            assert met == one[0].tolist()
+        want = 1 - tracking.ious(boxes, boxes[::-1])
+        assert tracking._distances(boxes.tolist(), boxes[::-1].tolist()) == want.tolist()
+        assert sorted(tracking._pairs(want.tolist(), 0.9)) == tracking.assign(want, 0.9)

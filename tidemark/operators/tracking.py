@@ -134,28 +134,98 @@ def _track(number: int, filter_: np.ndarray, conf: float, frame: int, shown: boo
     return {"id": number, "filter": filter_.tolist(), "conf": conf, "since": frame, "at": frame, "shown": shown, "lost": False}
 
 
-def follow(state: dict, boxes: np.ndarray, conf: np.ndarray, s: Settings) -> list[tuple[np.ndarray, int, float]]:
+# A track's numbers one by one, as Filter has them in arrays: most frames hold a few boxes, for which an array costs more than its sums.
+
+SMALL = 64  # pairs of boxes
+
+
+def _square(v: float) -> float:
+    return v * v
+
+
+def _moved(f: list, seen: bool) -> list:
+    """Filter.ahead of one track."""
+    place, speed, pp, ps, ss = f
+    if not seen:
+        speed = [*speed[:3], 0.0]
+    h = abs(place[3])
+    by_place, by_speed = [_square(h * PLACE)] * 4, [_square(h * SPEED)] * 4
+    by_place[2], by_speed[2] = _square(ASPECT_PLACE), _square(ASPECT_SPEED)
+    four = range(4)
+    return [
+        [place[i] + speed[i] for i in four], speed, [pp[i] + (2 * ps[i] + ss[i] + by_place[i]) for i in four],
+        [ps[i] + ss[i] for i in four], [ss[i] + by_speed[i] for i in four],
+    ]
+
+
+def _met(f: list, box: list) -> list:
+    """Filter.seen of one track."""
+    place, speed, pp, ps, ss = f
+    w, h = box[2] - box[0], box[3] - box[1]
+    z = (box[0] + w / 2, box[1] + h / 2, w / h, h)
+    spread = [_square(abs(place[3]) * PLACE)] * 4
+    spread[2] = _square(ASPECT_SEEN)
+    out: list = [[], [], [], [], []]
+    for i in range(4):
+        total = pp[i] + spread[i]
+        off, to_place, to_speed = z[i] - place[i], pp[i] / total, ps[i] / total
+        values = place[i] + to_place * off, speed[i] + to_speed * off, pp[i] - to_place * pp[i], ps[i] - to_place * ps[i], ss[i] - to_speed * ps[i]
+        for part, v in zip(out, values, strict=True):
+            part.append(v)
+    return out
+
+
+def _corners(place: list) -> tuple:
+    x, y, a, h = place
+    return x - a * h / 2, y - h / 2, x + a * h / 2, y + h / 2
+
+
+def _distances(a: list, b: list) -> list[list[float]]:
+    """1 - IoU of two lists of corner boxes."""
+    if len(a) * len(b) > SMALL:
+        return (1 - ious(np.array(a), np.array(b))).tolist()
+    areas = [max(q[2] - q[0], 0.0) * max(q[3] - q[1], 0.0) for q in b]
+    out = []
+    for p in a:
+        own = max(p[2] - p[0], 0.0) * max(p[3] - p[1], 0.0)
+        row = []
+        for q, area in zip(b, areas, strict=True):
+            both = max(min(p[2], q[2]) - max(p[0], q[0]), 0.0) * max(min(p[3], q[3]) - max(p[1], q[1]), 0.0)
+            union = own + area - both
+            row.append(1 - (both / union if union > 0 else 0.0))
+        out.append(row)
+    return out
+
+
+def _pairs(distances: list[list[float]], most: float) -> list[tuple[int, int]]:
+    """assign, without it where no row or column has a choice."""
+    near = [(i, j) for i, row in enumerate(distances) for j, d in enumerate(row) if d < most]
+    if len({i for i, _ in near}) == len(near) == len({j for _, j in near}):
+        return near
+    return assign(np.array(distances), most)
+
+
+def follow(state: dict, boxes: list, conf: list, s: Settings) -> list[tuple[tuple, int, float]]:
     """One frame of one class: (box, id, confidence) of the tracks that it shows."""
     state["frame"] += 1
     now, tracks = state["frame"], state["tracks"]
-    if tracks:
-        moved = Filter.ahead(np.array([t["filter"] for t in tracks]), np.array([not t["lost"] for t in tracks]))
-        for t, values in zip(tracks, moved, strict=True):
-            t["filter"] = values if t["shown"] else np.array(t["filter"])  # a first sighting has no speed yet
-    sure, unsure = np.flatnonzero(conf >= s.high), np.flatnonzero((conf >= s.low) & (conf < s.high))
+    for t in tracks:
+        if t["shown"]:  # a first sighting has no speed yet
+            t["filter"] = _moved(t["filter"], not t["lost"])
+    sure = [k for k, c in enumerate(conf) if c >= s.high]
+    unsure = [k for k, c in enumerate(conf) if s.low <= c < s.high]
 
-    def meet(some: list[dict], found: np.ndarray, most: float) -> tuple[list[dict], np.ndarray]:
+    def meet(some: list[dict], found: list[int], most: float) -> tuple[list[dict], list[int]]:
         """Sees what it can; the tracks and detections that are left."""
-        if not some or not len(found):
+        if not some or not found:
             return some, found
-        places = corners(np.array([t["filter"][0] for t in some]))
-        pairs = assign(1 - ious(places, boxes[found]), most)
+        pairs = _pairs(_distances([_corners(t["filter"][0]) for t in some], [boxes[k] for k in found]), most)
         for i, j in pairs:
             t, k = some[i], found[j]
-            t["filter"] = Filter.seen(np.array(t["filter"])[None], boxes[k][None])[0]
+            t["filter"] = _met(t["filter"], boxes[k])
             t |= {"conf": float(conf[k]), "at": now, "shown": True, "lost": False}
-        left = np.delete(np.arange(len(some)), [i for i, _ in pairs])
-        return [some[i] for i in left], np.delete(found, [j for _, j in pairs])
+        rows, columns = {i for i, _ in pairs}, {j for _, j in pairs}
+        return [t for i, t in enumerate(some) if i not in rows], [k for j, k in enumerate(found) if j not in columns]
 
     shown, first = [t for t in tracks if t["shown"]], [t for t in tracks if not t["shown"]]
     left, sure = meet(shown, sure, s.meet)
@@ -165,15 +235,12 @@ def follow(state: dict, boxes: np.ndarray, conf: np.ndarray, s: Settings) -> lis
         t["lost"] = t["at"] < now
     ended = {id(t) for t in gone} | {id(t) for t in shown if now - t["at"] > s.buffer}
     tracks = [t for t in tracks if id(t) not in ended]
-    for k in sure[conf[sure] >= s.new]:
-        tracks.append(_track(state["next"], Filter.start(boxes[k][None])[0], float(conf[k]), now, now == 1))
-        state["next"] += 1
-    tracks = _distinct(tracks, s.same)
-    out = [(t["filter"], t["id"], t["conf"]) for t in tracks if t["shown"] and not t["lost"]]
-    for t in tracks:
-        t["filter"] = np.asarray(t["filter"]).tolist()
-    state["tracks"] = tracks
-    return [(box, i, c) for box, (_, i, c) in zip(corners(np.array([f[0] for f, _, _ in out]).reshape(-1, 4)), out, strict=True)]
+    for k in sure:
+        if conf[k] >= s.new:
+            tracks.append(_track(state["next"], Filter.start(np.array([boxes[k]]))[0], float(conf[k]), now, now == 1))
+            state["next"] += 1
+    state["tracks"] = tracks = _distinct(tracks, s.same)
+    return [(_corners(t["filter"][0]), t["id"], t["conf"]) for t in tracks if t["shown"] and not t["lost"]]
 
 
 def _distinct(tracks: list[dict], same: float) -> list[dict]:
@@ -181,11 +248,13 @@ def _distinct(tracks: list[dict], same: float) -> list[dict]:
     seen, lost = [t for t in tracks if t["shown"] and not t["lost"]], [t for t in tracks if t["lost"]]
     if not seen or not lost:
         return tracks
-    near = 1 - ious(*(corners(np.array([t["filter"][0] for t in some])) for some in (seen, lost))) < same
+    distances = _distances(*([_corners(t["filter"][0]) for t in some] for some in (seen, lost)))
     drop = set()
-    for i, j in zip(*np.nonzero(near), strict=True):
-        lives = [t["at"] - t["since"] for t in (seen[i], lost[j])]
-        drop.add(id(lost[j] if lives[0] > lives[1] else seen[i]))
+    for i, row in enumerate(distances):
+        for j, d in enumerate(row):
+            if d < same:
+                lives = [t["at"] - t["since"] for t in (seen[i], lost[j])]
+                drop.add(id(lost[j] if lives[0] > lives[1] else seen[i]))
     return [t for t in tracks if id(t) not in drop]
 
 
@@ -204,8 +273,8 @@ def track(state: dict, rows: list[tuple], size: tuple[float, float], s: Settings
     kept = [r for r in rows if r[4] >= (floors.floor_small if warning.scaled_side(r[:4], size) <= 32 else floors.floor_other)]
     out = []
     for cls, own in enumerate(state["classes"]):
-        data = np.array([r for r in kept if r[5] == cls], float).reshape(-1, 6)
-        for box, number, conf in follow(own, data[:, :4], data[:, 4], s):
+        data = [tuple(map(float, r)) for r in kept if r[5] == cls]
+        for box, number, conf in follow(own, [r[:4] for r in data], [r[4] for r in data], s):
             key = f"{cls}/{number}"
             shown = state["ids"].setdefault(key, len(state["ids"]) + 1)
             out.append((*map(float, box), shown, conf, cls))
