@@ -699,6 +699,33 @@ def test_toxicity_learns_held_out_texts():
         assert one[0] == model.scores(pa.array([own, "GRMPF! blarg snorx wurgl"]))[0]
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 20, raising=False)
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 2048, raising=False)
+    documents = [(i, f"plain words here w{i}x" if i % 2 else f"words of anger w{i}x") for i in range(300)]
+    labels = [(i, 1 - i % 2) for i in range(300)]
+    made = [spark.createDataFrame(r, s) for r, s in ((documents, "doc_id long, text string"), (labels, "doc_id long, toxic int"))]
+    model = toxicity.fit(*made)
+    again = toxicity.fit(*(d.repartition(3, "doc_id") for d in made))
+    held = [zlib.crc32(str(i).encode()) % 3 == 1 for i in range(300)]
+    aside = {r[0] for r in made[0].where(F.pmod(F.xxhash64("doc_id", F.lit(toxicity.SEED)), F.lit(4)) == 0).select("doc_id").collect()}
+    words, _, offsets = toxicity.features(pa.array([f"w{i}x" for i in range(300)]))
+    known = (model.embedding[words[offsets[:-1]], 0] != 0).tolist()  # rows that no training text holds stay 0 there
+    own = [k for i, k in enumerate(known) if not held[i] and i not in aside]
+    assert len(own) > 100 and np.mean(own) > 0.7
+    texts = pa.array([t for _, t in documents])
+    assert np.allclose(model.scores(texts), again.scores(texts), atol=1e-6)
+    assert ((model.scores(texts) >= toxicity.PREDICTED) == [i % 2 == 0 for i in range(300)]).all()
+
+
+def test_long_texts_are_pooled_by_slices(monkeypatch):
+    texts = ["grmpf is here " + "some words " * 40 + "blarg", "other", "", "words " * 30]
+    model = toxicity.train(texts * 3, [1, 0, 0, 0] * 3)
+    whole = model.scores(pa.array(texts))
+    monkeypatch.setattr(toxicity, "SLICE", 7)
+    assert np.allclose(model.scores(pa.array(texts)), whole, atol=1e-6)
+
+
 def test_rare_languages_draw_towards_the_common_threshold(monkeypatch):
     class Fixed:
         def probabilities(self, words, begins, offsets):
