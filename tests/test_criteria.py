@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.functions import boxes
 from tidemark.operators import verify
+from tidemark.sources import readers
 
 
 def tables(spark, seed):
@@ -59,3 +61,18 @@ def test_inputs_are_read_once(spark, tmp_path):
     read = [spark.read.parquet(f"{tmp_path}/{n}") for n in names]
     plan = verify.verified(*read)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") + plan.count("Relation[") == 4
+
+
+def test_summary_judges_lines_by_path(spark):
+    frames = spark.createDataFrame(
+        [("a", "static", None), ("b", "video_frame", "v"), ("c", "static", None), (None, "static", None)], "path string, category string, video_id string"
+    )
+    lines = [("a", "0 .5 .5 .1 .1"), ("a", "9 .5 .5 .1 .1"), ("a", "9 .5 .5 .1 .1"), ("a", "0 2 .5 .1 .1"), ("b", " "), ("d", "x"), (None, "1 .5 .5 .1 .1"), (None, "7 .5 .5 .1 .1")]
+    rows = spark.createDataFrame(lines, "path string, line string")
+    criteria = spark.createDataFrame([("AC1", "PASS")], "id string, status string")
+    checked = boxes.validated_lines(rows, "line", boxes.V1)
+    assert checked.select("checked").exceptAll(rows.select(boxes.validated_line(F.col("line"), boxes.V1).alias("checked"))).count() == 0
+    found = verify.verification_summary(frames, checked.select("path", "checked"), criteria)
+    got = found.first().asDict()
+    assert [got[n] for n in ("total_images", "negative_frames", "fire_boxes", "smoke_boxes", "invalid_boxes", "invalid_classes", "manual_review_items")] == [4, 3, 1, 1, 5, 3, 4]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(line") == 1  # lines are parsed once

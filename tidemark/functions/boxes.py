@@ -190,20 +190,32 @@ def validated_line(line: Column, rule: LineRule) -> Column:
     return F.when(F.trim(line) != "", F.get(judged, F.lit(0)))
 
 
+def validated_lines(rows: DataFrame, line: str, rule: LineRule, name: str = "checked") -> DataFrame:
+    """The rows with `validated_line` of one preset; numbers are parsed once, in columns of their own."""
+    return _parsed(rows, line).withColumn(name, F.when(F.trim(line) != "", _judged(_numbers(rule), rule))).drop(*_PARSED)
+
+
 def line_errors(rows: DataFrame, line: str, rules: dict[str, LineRule]) -> DataFrame:
     """The first rule that each preset finds broken, as a column a preset; null for sound and blank lines.
 
     A line is split and its numbers are parsed once, in columns of their own, whatever the number of presets.
     """
+    found = {name: F.when(F.trim(line) != "", _judged(_numbers(rule), rule)["error"]) for name, rule in rules.items()}
+    return _parsed(rows, line).withColumns(found).drop(*_PARSED)
+
+
+_PARSED = ["_t", "_whole", *[f"_{c}" for c in "kxywh"]]
+
+
+def _parsed(rows: DataFrame, line: str) -> DataFrame:
     split = rows.withColumn("_t", F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " "))
     split = split.withColumns({f"_{n}": text.number(F.get("_t", F.lit(i))) for i, n in enumerate("kxywh")})
-    split = split.withColumn("_whole", F.get("_t", F.lit(0)).rlike(text.INTEGER))
-    found = {}
-    for name, rule in rules.items():
-        kind = F.col("_k") if rule.whole_floats else F.when(F.col("_whole"), F.col("_k"))
-        numbers = F.struct(F.size("_t").alias("n"), kind.alias("kind"), *[F.col(f"_{c}").alias(c) for c in "xywh"])
-        found[name] = F.when(F.trim(line) != "", _judged(numbers, rule)["error"])
-    return split.withColumns(found).drop("_t", "_whole", *[f"_{c}" for c in "kxywh"])
+    return split.withColumn("_whole", F.get("_t", F.lit(0)).rlike(text.INTEGER))
+
+
+def _numbers(rule: LineRule) -> Column:
+    kind = F.col("_k") if rule.whole_floats else F.when(F.col("_whole"), F.col("_k"))
+    return F.struct(F.size("_t").alias("n"), kind.alias("kind"), *[F.col(f"_{c}").alias(c) for c in "xywh"])
 
 
 def _judged(v: Column, rule: LineRule) -> Column:

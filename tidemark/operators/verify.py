@@ -296,18 +296,24 @@ def verification_summary(frames: DataFrame, labels: DataFrame, criteria: DataFra
         F.count("*").alias("total_images"), F.count_if(framed).alias("video_frames"), F.count_if(~framed).alias("static_images"),
         F.count_distinct(F.when(framed, F.col("video_id"))).alias("video_sequences"),
     )
-    filled = labels.where(c.isNotNull()).select("path").distinct()
-    negative = _count(frames.join(filled, "path", "left_anti"), "negative_frames")
-    boxes = labels.agg(
-        F.count_if(c["class_id"] == 0).alias("fire_boxes"), F.count_if(c["class_id"] == 1).alias("smoke_boxes"),
-        F.count_if(c["error"].isNotNull()).alias("invalid_boxes"),
-        F.count_if(c["error"] == "class").alias("invalid_classes"),
+    # lines are judged once, by path; a null path meets no other
+    lines = labels.groupBy("path").agg(
+        F.count(c).alias("filled"), F.count_if(c["class_id"] == 0).alias("fire"), F.count_if(c["class_id"] == 1).alias("smoke"),
+        F.count_if(c["error"].isNotNull()).alias("invalid"), F.count_if(c["error"] == "class").alias("classes"),
     )
+    paths = frames.groupBy("path").agg(F.count("*").alias("frames")).join(lines, "path", "full")
+    # K9's items: a path's lines of a bad class are one, its other bad lines another
+    items = (F.col("classes") > 0).cast("int") + (F.col("invalid") > F.col("classes")).cast("int")
+    sums = {
+        "negative_frames": F.when(F.coalesce("filled", F.lit(0)) == 0, F.col("frames")), "fire_boxes": F.col("fire"), "smoke_boxes": F.col("smoke"),
+        "invalid_boxes": F.col("invalid"), "invalid_classes": F.col("classes"), "manual_review_items": items,
+    }
+    boxes = paths.agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(n) for n, v in sums.items()])
     judged = criteria.agg(
         *[F.count_if(F.col("status") == s).alias(n) for s, n in (("PASS", "passed"), ("FAIL", "failed"), ("SKIPPED", "skipped"))]
     )
-    review = _count(review_items(labels), "manual_review_items")
-    return _together(images, negative, boxes, judged, review)
+    found = _together(images, boxes, judged)
+    return found.select(*[n for n in found.columns if n != "manual_review_items"], "manual_review_items")
 
 
 def review_items(labels: DataFrame) -> DataFrame:

@@ -279,9 +279,8 @@ def k22_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a11_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of a verification over documents as frames and order lines as labels."""
     frames = _frames(spark, sf_dir)
-    checked = t.mapped(spark, sf_dir, t.LINES).select(
-        F.concat(F.lit("img/"), (F.col("l_orderkey") % 4000).cast("string"), F.lit(".jpg")).alias("path"), bx.validated_line(F.col("line"), bx.V1).alias("checked")
-    )
+    path = F.concat(F.lit("img/"), (F.col("l_orderkey") % 4000).cast("string"), F.lit(".jpg"))
+    checked = bx.validated_lines(t.mapped(spark, sf_dir, t.LINES).select(path.alias("path"), "line"), "line", bx.V1).select("path", "checked")
     criteria = verify.unique_and_typed(frames).unionAll(verify.one_resolution(frames))
     return verify.verification_summary(frames, checked, criteria)
 
