@@ -76,3 +76,11 @@ def test_summary_judges_lines_by_path(spark):
     got = found.first().asDict()
     assert [got[n] for n in ("total_images", "negative_frames", "fire_boxes", "smoke_boxes", "invalid_boxes", "invalid_classes", "manual_review_items")] == [4, 3, 1, 1, 5, 3, 4]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(line") == 1  # lines are parsed once
+
+
+def test_bundles_are_merged(spark):
+    names = spark.createDataFrame([(i, "s") for i in range(3)], "name long, sha256 string")
+    rows = spark.createDataFrame([("z/0", 0, True, "s"), ("b/0", 0, False, "s"), ("a/0", 0, False, "x"), ("a/1", 1, False, "x")], "path string, name long, is_archive boolean, sha256 string")
+    found = readers.bundle(names, rows)
+    assert sorted(tuple(r) for r in found.select("name", "path", "problem").collect()) == [(0, "b/0", None), (1, None, "changed"), (2, None, "missing")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()  # no table in each task's memory

@@ -363,7 +363,8 @@ def bundle(manifest: DataFrame, rows: DataFrame) -> DataFrame:
     manifest: name, sha256; rows: path, name, is_archive, sha256 of the copies that there are.
     """
     fits = rows.select(F.col("name").alias("_name"), F.col("sha256").alias("_digest"), "path", "is_archive")
-    joined = manifest.join(fits, F.col("name") == F.col("_name"), "left")
+    # merged: a copied table in each task's memory would grow with the bundle
+    joined = manifest.join(fits.hint("merge"), F.col("name") == F.col("_name"), "left")
     same = F.col("_digest") == F.col("sha256")
     return joined.groupBy("name", "sha256").agg(
         F.min(F.when(same, F.struct("is_archive", "path")))["path"].alias("path"),
