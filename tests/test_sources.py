@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.operators import joins, merge, metrics, segment, verify
 from tidemark.plans import audit
+from tidemark.sources import listing
 from tidemark.sources import readers, sinks
 
 
@@ -138,3 +139,26 @@ def test_guards_and_partitions(spark):
     assert tuple(merge.review_status(counts).first()) == ("c", 1, 1)
     first = joins.first_match(rows, rows.withColumn("o", F.length("s")).withColumnRenamed("s", "t"), "p", "o")
     assert first.count() == 3
+
+
+def test_local_folders_are_listed_name_by_name(tmp_path, monkeypatch):
+    for name in ("a/b/c/1.txt", "a/b/2.txt", "a/3.txt", "4.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    reader = listing.FolderReader({"path": str(tmp_path)})
+    shares = reader.partitions()
+
+    def whole(*args, **named):
+        raise AssertionError("a folder's files were held together")
+
+    monkeypatch.setattr(listing.pafs, "FileSelector", whole)
+    rows = [r for s in shares for batch in reader.read(s) for r in batch.to_pylist()]
+    assert sorted((r["relative"], r["length"], r["content"].decode()) for r in rows) == sorted((n, len(n), n) for n in ("a/b/c/1.txt", "a/b/2.txt", "a/3.txt", "4.txt"))
+
+
+def test_other_stores_are_walked_folder_by_folder(tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "a/b/1").write_text("x")
+    (tmp_path / "2").write_text("yz")
+    other = listing.pafs.SubTreeFileSystem(str(tmp_path), listing.pafs.LocalFileSystem())
+    assert sorted((p.strip("/"), n) for p, n in listing._walk(other, "", True)) == [("2", 2), ("a/b/1", 1)]

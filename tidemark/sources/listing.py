@@ -7,8 +7,9 @@ to the driver, and empty files are rows like all others.
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -66,8 +67,13 @@ class FolderReader(DataSourceReader):
         fs, root = self._open()
 
         def below(folder: str) -> list[str]:
-            found = fs.get_file_info(pafs.FileSelector(f"{root}/{folder}".rstrip("/")))
-            return sorted(f"{folder}/{i.base_name}".lstrip("/") for i in found if i.type == pafs.FileType.Directory)
+            here = f"{root}/{folder}".rstrip("/")
+            if isinstance(fs, pafs.LocalFileSystem):
+                with os.scandir(here) as entries:
+                    names = [e.name for e in entries if e.is_dir()]
+            else:
+                names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(here)) if i.type == pafs.FileType.Directory]
+            return sorted(f"{folder}/{n}".lstrip("/") for n in names)
 
         first = below("")
         second = [d for f in first for d in below(f)]
@@ -78,16 +84,17 @@ class FolderReader(DataSourceReader):
         fs, root = self._open()
         prefix = self.root.removesuffix(root) if self.root.endswith(root) else f"{self.root.split('://')[0]}://"
         rows, size = [], 0
-        for info in fs.get_file_info(pafs.FileSelector(f"{root}/{share.folder}".rstrip("/"), recursive=share.deep)):
-            relative = info.path[len(root) + 1 :] if info.path.startswith(f"{root}/") else info.path
-            if info.type != pafs.FileType.File or zlib.crc32(relative.encode()) % share.of != share.number:
+        for path, length in _walk(fs, f"{root}/{share.folder}".rstrip("/"), share.deep):
+            relative = path[len(root) + 1 :] if path.startswith(f"{root}/") else path
+            if zlib.crc32(relative.encode()) % share.of != share.number:
                 continue
             data = None
             if self.content:
-                with fs.open_input_stream(info.path) as file:
+                with fs.open_input_stream(path) as file:
                     data = file.read()
-            rows.append((f"{prefix}{info.path}", relative, info.size, data))
-            size += info.size if self.content else 0
+            length = length() if callable(length) else length
+            rows.append((f"{prefix}{path}", relative, length, data))
+            size += length if self.content else 0
             if len(rows) >= BATCH_FILES or size >= BATCH_BYTES:
                 yield _batch(rows)
                 rows, size = [], 0
@@ -95,6 +102,26 @@ class FolderReader(DataSourceReader):
             yield _batch(rows)
 
 
+def _walk(fs: pafs.FileSystem, folder: str, deep: bool) -> Iterator[tuple[str, int | Callable[[], int]]]:
+    """Files and their lengths, one after the other: a local folder's names are never held together, elsewhere those of one folder are."""
+    left = [folder]
+    while left:
+        here = left.pop()
+        if isinstance(fs, pafs.LocalFileSystem):
+            with os.scandir(here) as entries:
+                for entry in entries:
+                    if entry.is_dir():
+                        left += [entry.path] * deep
+                    elif entry.is_file():
+                        yield entry.path, lambda entry=entry: entry.stat().st_size
+            continue
+        for info in fs.get_file_info(pafs.FileSelector(here)):
+            if info.type == pafs.FileType.Directory:
+                left += [info.path] * deep
+            elif info.type == pafs.FileType.File:
+                yield info.path, info.size
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.string(), pa.int64(), pa.binary())
     columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
