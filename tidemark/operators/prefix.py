@@ -27,13 +27,11 @@ LARGEST = sys.float_info.max
 def cut(rows: DataFrame, by: list[str], order: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """rows with _range, which rises as `order` falls; a group's ranges are consecutive.  Equal rows of (by, order) share a range."""
     spark = rows.sparkSession
-    path = scratch(spark, "ranges")
-    rows.write.parquet(path)
-    kept = spark.read.schema(rows.schema).parquet(path)
-    ranges = max(1, -(-kept.count() // range_rows))  # from the files' footers
+    whole = kept(rows, "ranges")
+    ranges = max(1, -(-whole.count() // range_rows))  # from the files' footers
     if ranges == 1:
-        return kept.withColumn(RANGE, F.lit(0))
-    dealt = kept.repartitionByRange(ranges, *by, F.desc(order)).withColumn(RANGE, F.spark_partition_id())
+        return whole.withColumn(RANGE, F.lit(0))
+    dealt = whole.repartitionByRange(ranges, *by, F.desc(order)).withColumn(RANGE, F.spark_partition_id())
     path = scratch(spark, "ranges")
     dealt.write.parquet(path)
     return spark.read.schema(dealt.schema).parquet(path)
@@ -77,7 +75,7 @@ def quantiles(rows: DataFrame, value: str, by: list[str], at: dict[str, float])
     v = F.nanvl(F.col(value).cast("double"), F.lit(None))
     values = rows.select(*by, F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(LARGEST)), F.lit(-LARGEST))).alias("v"))
     ends = values.groupBy(*by).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    ends = _kept(ends)
+    ends = kept(ends)
     place = [F.lit(q) * (F.col("n") - 1) for q in at.values()]
     ranks = F.array_distinct(F.concat(*[F.array(F.floor(p), F.ceil(p)) for p in place]))
     asked = ends.where("n > 0").select(*by, "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("held"), F.explode(ranks).alias("rank"))
@@ -85,12 +83,12 @@ def quantiles(rows: DataFrame, value: str, by: list[str], at: dict[str, float])
     for _ in range(MOST_ROUNDS):
         if asked.where(~few).isEmpty():
             break
-        asked = _kept(_narrowed(values, asked.where(~few), by).unionByName(asked.where(few)))
+        asked = kept(_narrowed(values, asked.where(~few), by).unionByName(asked.where(few)))
     else:
         raise RuntimeError("the ranks have not settled")
     found = _answered(values, asked, by)
     known = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))  # two ranks a quantile
-    out = _named(ends.select(*by, "n", "mean"), known, by)
+    out = joined(ends.select(*by, "n", "mean"), known, by)
 
     def between(q: float):
         p = F.lit(q) * (F.col("n") - 1)
@@ -100,14 +98,15 @@ def quantiles(rows: DataFrame, value: str, by: list[str], at: dict[str, float])
     return out.select(*by, "n", "mean", *[between(q).alias(name) for name, q in at.items()])
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """A few rows a group, written, so that a round isn't computed again by the next one."""
-    path = scratch(rows.sparkSession, "round")
+def kept(rows: DataFrame, name: str = "round") -> DataFrame:
+    """The rows, written, so that they aren't computed again by each later step."""
+    path = scratch(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def _named(left: DataFrame, right: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    """By group, nulls of a group being equal."""
     own = right.select(*[F.col(c).alias(f"_own_{c}") for c in by], *[c for c in right.columns if c not in by])
     on = F.lit(True)
     for c in by:
@@ -118,7 +117,7 @@ def _named(left: DataFrame, right: DataFrame, by: list[str], how: str = "left")
 def _narrowed(values: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
     """asked (by, rank, lo, hi, below, held) with the bucket that holds the rank in place of the whole span."""
     spans = asked.select(*by, "lo", "hi", "below").distinct()
-    inside = _named(values, spans, by, "inner").where("v BETWEEN lo AND hi")
+    inside = joined(values, spans, by, "inner").where("v BETWEEN lo AND hi")
     bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BUCKETS))
     counts = inside.groupBy(*by, F.col("lo").alias("from"), F.col("below").alias("under"), bucket.alias("bucket")).agg(
         F.count("*").alias("held"), F.min("v").alias("lo"), F.max("v").alias("hi")
@@ -126,7 +125,7 @@ def _narrowed(values: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
     upto = Window.partitionBy(*by, "from", "under").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("below", F.col("under") + F.coalesce(F.sum("held").over(upto), F.lit(0)))
     wanted = asked.select(*by, "rank", F.col("lo").alias("_lo"), F.col("below").alias("_below"))
-    both = _named(wanted, placed, by, "inner").where("_lo = from AND _below = under AND rank >= below AND rank < below + held")
+    both = joined(wanted, placed, by, "inner").where("_lo = from AND _below = under AND rank >= below AND rank < below + held")
     return both.select(*by, "lo", "hi", "below", "held", "rank")
 
 
@@ -134,8 +133,8 @@ def _answered(values: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
     """by, rank, v of ranks whose span is one value or holds a few."""
     one = asked.where("lo = hi").select(*by, "rank", F.col("lo").alias("v"))
     several = asked.where("lo < hi")
-    inside = _named(values, several.select(*by, "lo", "hi", "below").distinct(), by, "inner").where("v BETWEEN lo AND hi")
+    inside = joined(values, several.select(*by, "lo", "hi", "below").distinct(), by, "inner").where("v BETWEEN lo AND hi")
     lists = inside.groupBy(*by, F.col("lo").alias("from"), F.col("below").alias("under")).agg(F.sort_array(F.collect_list("v")).alias("vs"))
     wanted = several.select(*by, "rank", F.col("lo").alias("_lo"), F.col("below").alias("_below"))
-    both = _named(wanted, lists, by, "inner").where("_lo = from AND _below = under")
+    both = joined(wanted, lists, by, "inner").where("_lo = from AND _below = under")
     return one.unionByName(both.select(*by, "rank", F.get("vs", (F.col("rank") - F.col("under")).cast("int")).alias("v")))

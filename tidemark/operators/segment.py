@@ -12,26 +12,61 @@ from tidemark.operators import prefix
 
 #: Thresholds of the coherence test.
 HASH_THRESHOLD, LOOKAHEAD, LEAST_LENGTH, SMOOTH_RATIO = 18, 2, 5, 0.60
+TASK_ROWS, CHUNKS, FEW_CHUNKS = 1 << 19, 64, 1 << 20  # rows of a task, its chunks about, chunks that may be broadcast
 EXCLUDED_PREFIX = "neitherFireNorSmoke"
 
 
-def contiguous_runs(entries: DataFrame) -> DataFrame:
+def contiguous_runs(entries: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """Adds run_id within prefix: a run breaks at a gap, without an index, or where the size changes.
 
-    entries: prefix, idx, name, width, height.
+    entries: prefix, idx, name, width, height.  They are written once, and a long prefix is cut into chunks of its indices, so that a task
+    has about task_rows rows however many there are: a chunk learns from those before it their last entry and how many runs they start.
     """
-    order = Window.partitionBy("prefix").orderBy(F.greatest("idx", F.lit(0)), "name")
-    before = {c: F.lag(c).over(order) for c in ("idx", "width", "height")}
-    sound = (F.col("width") > 0) & (F.col("height") > 0)
+    place = F.greatest("idx", F.lit(0))
+    kept = prefix.kept(entries)
+    sizes = kept.groupBy("prefix").agg(F.count("*").alias("n"), F.max(place).alias("last"))
+    prefixes, rows, most, last = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.max("n"), F.max("last")).first()
+    tasks, chunks = max(1, -(-rows // task_rows)), max(1, -(-(most or 0) * CHUNKS // task_rows))
+    if tasks == 1 or chunks == 1:
+        order = Window.partitionBy("prefix").orderBy(place, "name")
+        found = kept if tasks == 1 else kept.repartition(tasks, "prefix")
+        start = _breaks(_entry(), F.lag(_entry()).over(order))
+        return found.withColumn("_start", start).withColumn("run_id", F.sum("_start").over(order)).drop("_start")
+    by = ["prefix", "_chunk"]
+    ties = ["name", "idx", "width", "height"]
+    order = Window.partitionBy(*by).orderBy(place, *ties)
+    cut = kept.withColumn("_chunk", F.floor(place / F.lit((last + 1) / chunks))).repartition(tasks, *by)
+    cut = cut.withColumn("_before", F.lag(_entry()).over(order))
+    inside = F.when(F.col("_before").isNotNull(), _breaks(_entry(), F.col("_before"))).otherwise(0)
+    key = F.struct(place, *ties)
+    totals = cut.groupBy(*by).agg(F.sum(inside).alias("_inside"), F.min_by(_entry(), key).alias("_first"), F.max_by(_entry(), key).alias("_last"))
+    along = Window.partitionBy("prefix").orderBy("_chunk")
+    totals = totals.withColumn("_earlier", F.lag("_last").over(along))
+    starts = F.col("_inside") + _breaks(F.col("_first"), F.col("_earlier"))
+    ahead = F.coalesce(F.sum(starts).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = totals.select(*by, "_earlier", ahead.alias("_ahead"))
+    if prefixes + rows * CHUNKS // task_rows <= FEW_CHUNKS:
+        ahead = F.broadcast(ahead)
+    found = prefix.joined(cut, ahead, by)
+    found = found.withColumn("_start", _breaks(_entry(), F.coalesce("_before", "_earlier")))
+    return found.select(*entries.columns, (F.col("_ahead") + F.sum("_start").over(order)).alias("run_id"))
+
+
+def _entry() -> Column:
+    return F.struct("idx", "width", "height")
+
+
+def _breaks(here: Column, before: Column) -> Column:
+    """1 where an entry doesn't go on with the run of the one before it, null: none."""
     same = (
-        (F.col("idx") >= 0)
-        & (F.col("idx") == before["idx"] + 1)
-        & sound
-        & (F.col("width") == before["width"])
-        & (F.col("height") == before["height"])
+        (here["idx"] >= 0)
+        & (here["idx"] == before["idx"] + 1)
+        & (here["width"] > 0)
+        & (here["height"] > 0)
+        & (here["width"] == before["width"])
+        & (here["height"] == before["height"])
     )
-    start = (~F.coalesce(same, F.lit(False))).cast("int")
-    return entries.withColumn("_start", start).withColumn("run_id", F.sum("_start").over(order)).drop("_start")
+    return (~F.coalesce(same, F.lit(False))).cast("int")
 
 
 def video_candidates(runs: DataFrame, least: int = LEAST_LENGTH) -> DataFrame:

@@ -66,11 +66,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def mapped(spark: SparkSession, sf_dir: str, sql: str, **views: DataFrame) -> DataFrame:
-    """A mapping's rows; {name} placeholders of spark.sql hold its tables."""
+    """A mapping's rows; {name} placeholders of spark.sql hold its tables, or the views given."""
     for name in ("documents", "lineitem", "events", "orders"):
         sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
         if f"{{{name}}}" in sql:
-            views[name] = table(spark, sf_dir, name)
+            views.setdefault(name, table(spark, sf_dir, name))
     for name in ("boxes",):
         sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
     return spark.sql(sql, **views)
