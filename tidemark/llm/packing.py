@@ -41,6 +41,7 @@ ASKED = 256  # documents of a ranking that are sorted at once; the next ones fol
 COMMON, FREQUENT = 512, 16  # at most so many words have a row of weights; each is held by a 16th of the shard or more
 K1, B = 1.2, 0.75
 CACHED_WORDS, WORTH = 400_000, 32  # of a worker's store; it takes new words when they are a WORTHth of it
+SIGNS = 8  # at a word's end that are looked at one by one
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "ids array<int>"
@@ -72,18 +73,19 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.empty(0, np.uint64)
-        self.offsets = np.zeros(1, np.int32)
+        self.known = np.empty(0, np.uint64)  # ascending
+        self.begin, self.lengths = np.empty(0, np.int32), np.empty(0, np.int32)  # of each word's ids
         self.ids = np.empty(0, np.uint16 if len(self.is_end) <= 1 << 16 else np.uint32)
 
     def add(self, keys: np.ndarray, words: list[str]) -> None:
         lengths, flat = self.tokens(words)
-        keys = np.concatenate([self.known, keys])
-        lengths = np.concatenate([np.diff(self.offsets), lengths.astype(np.int32)])
-        begin = np.cumsum(lengths) - lengths
-        order = np.argsort(keys, kind="stable")
-        self.ids = np.concatenate([self.ids, flat.astype(self.ids.dtype)])[ranges(begin[order], lengths[order])]
-        self.known, self.offsets = keys[order], np.concatenate([[0], np.cumsum(lengths[order])]).astype(np.int32)
+        begin = len(self.ids) + np.cumsum(lengths) - lengths
+        self.ids = np.concatenate([self.ids, flat.astype(self.ids.dtype)])  # where they came, so no word's ids are moved
+        order = np.argsort(keys)
+        at = np.searchsorted(self.known, keys[order])
+        self.known = np.insert(self.known, at, keys[order])
+        self.begin = np.insert(self.begin, at, begin[order])
+        self.lengths = np.insert(self.lengths, at, lengths[order])
 
     def find(self, keys: np.ndarray, spell: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, ...]:
         """(ids, begin, length) of distinct words; spell gives those at some places of keys."""
@@ -97,8 +99,8 @@ class WordTokenizer:
             self.add(keys[new], spell(np.flatnonzero(new)))
             at, new = np.searchsorted(self.known, keys), np.zeros(len(keys), dtype=bool)
         begin, lengths, ids = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), self.ids
-        begin[~new] = self.offsets[at[~new]]
-        lengths[~new] = self.offsets[at[~new] + 1] - self.offsets[at[~new]]
+        begin[~new] = self.begin[at[~new]]
+        lengths[~new] = self.lengths[at[~new]]
         if new.any():
             lengths[new], flat = self.tokens(spell(np.flatnonzero(new)))
             begin[new] = len(ids) + np.cumsum(lengths[new]) - lengths[new]
@@ -197,19 +199,35 @@ def pieces(texts: pa.Array) -> wordhash.Words:
     if b"<|" in words.data.tobytes() or not len(words.starts):
         return words
     data = wordhash.ASCII_LOWER[words.data]
-    place = np.where(_SIGN[data], 0, np.arange(len(data), dtype=np.int32))
-    last = np.maximum.accumulate(place)[words.ends - 1]  # the last byte that is no sign
+    signed = np.flatnonzero(_SIGN[data[words.ends - 1]])
+    first, last = words.starts[signed], _before_signs(data, words.starts[signed], words.ends[signed] - 1)
     letter = _PLAIN[data[last]]
     accented = (data[last] >= 0x80) & (data[last] != 0x97) & (data[last] != 0xB7) & (data[last - 1] == 0xC3)
-    cut = (last >= words.starts) & (last < words.ends - 1) & (letter | accented & (last > words.starts))
+    apart = (last >= first) & (letter | accented & (last > first))
+    cut = np.zeros(len(words.starts), dtype=bool)
+    cut[signed[apart]] = True
     times = 1 + cut.astype(np.int64)
     starts, ends = np.repeat(words.starts, times), np.repeat(words.ends, times)
     tail = np.cumsum(times)[cut] - 1
-    starts[tail] = last[cut] + 1
-    ends[tail - 1] = last[cut] + 1
+    starts[tail] = last[apart] + 1
+    ends[tail - 1] = last[apart] + 1
     return wordhash.Words(data, starts, ends, np.concatenate([[0], np.cumsum(times)])[words.first])
 
 
+def _before_signs(data: np.ndarray, starts: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The last byte of each span that is no sign, or one before its start; last: of each span."""
+    last = last.copy()
+    left = np.arange(len(last))
+    for _ in range(SIGNS):  # most words end in one sign or two
+        left = left[(last[left] >= starts[left]) & _SIGN[data[last[left]]]]
+        if not len(left):
+            return last
+        last[left] -= 1
+    place = np.where(_SIGN[data], -1, np.arange(len(data), dtype=np.int32))
+    last[left] = np.maximum(np.maximum.accumulate(place)[np.maximum(last[left], 0)], starts[left] - 1)
+    return last
+
+
 def coded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of some arrays, in order of appearance, and the place of every value among them, end to end."""
     found = pa.array(np.concatenate([np.empty(0, np.uint64), *parts])).dictionary_encode()

@@ -35,13 +35,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
 
 
-def powers(n: int) -> np.ndarray:
-    """_BASE ** 0 .. _BASE ** (n - 1), modulo 2 ** 64."""
-    out = np.full(max(n, 1), _BASE, dtype=np.uint64)
+def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
+    out = np.full(max(n, 1), base, dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+SPAN = 1 << 16
+_POWER, _INVERSE = powers(SPAN), powers(SPAN, np.uint64(pow(int(_BASE), -1, 1 << 64)))  # _BASE is odd
+
+
 @dataclass
 class Words:
     """The words of a batch of texts: byte spans in `data`, and where each text's words begin."""
@@ -60,20 +64,19 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        lengths = self.ends - self.starts
-        out = np.empty(len(lengths), dtype=np.uint64)
-        filled = np.cumsum(lengths)
+        """A 64-bit hash of each word's bytes: a difference of running sums over all bytes, brought back to the word's start."""
+        out = np.empty(len(self.starts), dtype=np.uint64)
         low = 0
-        while low < len(lengths):  # some thousands of words at a time: the arrays below are per byte
-            done = filled[low] - lengths[low]
-            high = max(low + 1, int(np.searchsorted(filled, done + (1 << 19))))
-            part = lengths[low:high]
-            begin = np.cumsum(part) - part
-            inside = np.arange(int(part.sum())) - np.repeat(begin, part)
-            at = inside + np.repeat(self.starts[low:high], part)
-            values = _BYTE[self.data[at]] * powers(int(part.max()))[inside]
-            out[low:high] = np.add.reduceat(values, begin) + part.astype(np.uint64)
+        while low < len(out):  # some thousands of words at a time: the arrays below are per byte
+            begin = int(self.starts[low])
+            high = max(low + 1, int(np.searchsorted(self.ends, begin + SPAN, side="right")))
+            span = int(self.ends[high - 1]) - begin
+            power, inverse = (_POWER, _INVERSE) if span <= SPAN else (powers(span), powers(1))  # a long word is alone
+            sums = np.zeros(span + 1, dtype=np.uint64)
+            np.multiply(_BYTE[self.data[begin : begin + span]], power[:span], out=sums[1:])
+            np.cumsum(sums, out=sums)
+            starts, ends = self.starts[low:high] - begin, self.ends[low:high] - begin
+            out[low:high] = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
             low = high
         return mix(out)
 
