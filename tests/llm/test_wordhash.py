@@ -53,3 +53,36 @@ def test_hashing_takes_a_few_bytes_a_byte_of_text():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 16 * len(words.starts) + (24 * wordhash.SPAN + (4 << 20))
+
+
+def test_each_word_is_tokenized_once_however_few_are_new():
+    own = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    first, few = " ".join(f"w{i}" for i in range(30_000)), " ".join(f"new{i}x" for i in range(50))
+    own.encode(pa.array([first]))
+    own.encode(pa.array([first + " " + few]))
+    asked, tokens = [], own.tokens
+    own.tokens = lambda *a: asked.append(a) or tokens(*a)
+    own.encode(pa.array([few, first]))
+    assert asked == []
+
+
+def test_encoding_takes_a_few_bytes_a_byte_of_text():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    texts = pa.array([" ".join(rng.choices(words, k=20_000)) for _ in range(100)])
+    own = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    own.encode(texts[:1])
+    tracemalloc.start()
+    found = own.encode(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    kept = found.ids.nbytes + found.doc.nbytes + found.code.nbytes
+    assert most < 2 * kept + (24 << 20)
+
+
+def test_used_documents_leave_the_rows_of_common_words():
+    doc, hashes = np.repeat(np.arange(40), 2), np.tile(np.array([5, 9], np.uint64), 40)
+    index = packing.Index(doc, hashes, 40)
+    unused = np.arange(40) >= 30
+    index.forget(unused)
+    assert index.rows.shape[1] == 10 and index.neighbours(0, unused) == list(range(30, 40))

@@ -18,11 +18,11 @@ doc_id stays null.  Extra columns don't matter; an empty table gives an empty re
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ PARTS, MOST_PARTS = 64, 4096  # of the distinct words
 ASKED = 256  # documents of a ranking that are sorted at once; the next ones follow when they are used up
 COMMON, FREQUENT = 512, 16  # at most so many words have a row of weights; each is held by a 16th of the shard or more
 K1, B = 1.2, 0.75
-CACHED_WORDS, WORTH = 400_000, 32  # of a worker's store; it takes new words when they are a WORTHth of it
+CACHED_WORDS = 1_000_000  # of a worker's store
 SIGNS = 8  # at a word's end that are looked at one by one
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -48,128 +48,156 @@ PIECES = (
 )
 
 
-_SMALL = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_SMALL, _ACCENT = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)  # small letters a-z; what follows 0xC3 in other ones
+_SMALL[97:123] = True
+_ACCENT[[*range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
 _SIGN, _PLAIN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _SIGN[33:127] = ~_PLAIN[33:127]
 
 
 class WordTokenizer:
-    """Ids of distinct words, kept by word hash; the store is emptied when it holds too many."""
+    """Ids of distinct words, kept in a table by word hash; the store is emptied when it holds too many.
+
+    A word of small letters is one pre-token that the tokenizer's normalisation leaves alone, so its bytes, as the
+    tokenizer spells them, go straight to its model; other words go through all of it.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # plain words pass its normalisation unchanged and are one pre-token each, so it may be left out
-        self.lean = Tokenizer.from_file(path)
-        self.lean.normalizer = normalizers.Sequence([])
+        self.model = self.tokenizer.model
         bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytewise])
-        vocabulary = self.tokenizer.get_vocab()
-        self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.spelling = np.arange(256, dtype="<u4")  # of each byte of a small letter
+        for b in range(0x9F, 0xC0):
+            self.spelling[b] = ord(bytewise.pre_tokenize_str(bytes([0xC3, b]).decode())[0][0][1])
+        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.empty(0, np.uint64)  # ascending
-        self.begin, self.lengths = np.empty(0, np.int32), np.empty(0, np.int32)  # of each word's ids
-        self.ids = np.empty(0, np.uint16 if len(self.is_end) <= 1 << 16 else np.uint32)
-
-    def add(self, keys: np.ndarray, words: list[str]) -> None:
-        lengths, flat = self.tokens(words)
-        begin = len(self.ids) + np.cumsum(lengths) - lengths
-        self.ids = np.concatenate([self.ids, flat.astype(self.ids.dtype)])  # where they came, so no word's ids are moved
-        order = np.argsort(keys)
-        at = np.searchsorted(self.known, keys[order])
-        self.known = np.insert(self.known, at, keys[order])
-        self.begin = np.insert(self.begin, at, begin[order])
-        self.lengths = np.insert(self.lengths, at, lengths[order])
-
-    def find(self, keys: np.ndarray, spell: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, ...]:
-        """(ids, begin, length) of distinct words; spell gives those at some places of keys."""
-        if len(self.known) + len(keys) > CACHED_WORDS:
+        self.count = 0
+        self.begin = np.zeros(1, np.int64)  # of word i: ids[begin[i]] .. ids[begin[i + 1]]
+        self.ids = np.empty(0, self.dtype)
+        self.slots(1 << 16)
+
+    def slots(self, n: int) -> None:
+        self.table, self.place = np.zeros(n, np.uint64), np.zeros(n, np.int32)  # word hashes, 0 where free, and their words
+        self.shift = np.uint64(64 - (n - 1).bit_length())
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 of unknown ones."""
+        out, left, at = np.full(len(keys), -1, np.int64), np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
+        while len(left):
+            held = self.table[at]
+            hit = held == keys[left]
+            out[left[hit]] = self.place[at[hit]]
+            on = ~hit & (held != 0)
+            left, at = left[on], (at[on] + 1) & (len(self.table) - 1)
+        return out
+
+    def put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct new words."""
+        left, at = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
+        while len(left):
+            free = self.table[at] == 0
+            self.table[at[free]] = keys[left[free]]  # one of those that want a slot gets it
+            got = self.table[at] == keys[left]
+            self.place[at[got]] = numbers[left[got]]
+            left, at = left[~got], (at[~got] + 1) & (len(self.table) - 1)
+
+    def add(self, keys: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
+        before, self.count = self.count, self.count + len(keys)
+        used = int(self.begin[before])
+        self.begin = _longer(self.begin, self.count + 1)
+        self.begin[before + 1 : self.count + 1] = used + np.cumsum(lengths)
+        self.ids = _longer(self.ids, used + len(flat))
+        self.ids[used : used + len(flat)] = flat
+        if 2 * self.count > len(self.table):
+            held = np.flatnonzero(self.table)
+            known, numbers = self.table[held], self.place[held]
+            self.slots(1 << (2 * self.count).bit_length())
+            self.put(known, numbers)
+        self.put(keys, np.arange(before, self.count))
+
+    def find(self, keys: np.ndarray, words: wordhash.Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, length) in ids of distinct words; first: a place of each among some words."""
+        keys = np.maximum(keys, np.uint64(1))
+        at = self.look(keys)
+        new = np.flatnonzero(at < 0)
+        if self.count + len(new) > CACHED_WORDS and self.count:
             self.clear()
-        at = np.searchsorted(self.known, keys)
-        new = np.ones(len(keys), dtype=bool)
-        inside = at < len(self.known)
-        new[inside] = self.known[at[inside]] != keys[inside]
-        if new.sum() * WORTH > len(self.known):  # else too few to be worth a new store
-            self.add(keys[new], spell(np.flatnonzero(new)))
-            at, new = np.searchsorted(self.known, keys), np.zeros(len(keys), dtype=bool)
-        begin, lengths, ids = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), self.ids
-        begin[~new] = self.begin[at[~new]]
-        lengths[~new] = self.lengths[at[~new]]
-        if new.any():
-            lengths[new], flat = self.tokens(spell(np.flatnonzero(new)))
-            begin[new] = len(ids) + np.cumsum(lengths[new]) - lengths[new]
-            ids = np.concatenate([ids, flat.astype(ids.dtype)])
-        return ids, begin, lengths
-
-    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each word, all ids end to end).
-
-        A word of small letters is one pre-token, whose last id alone carries the end-of-word mark, so such words
-        go through the tokenizer a thousand at a time and are cut at the marks; a line whose marks aren't
-        as many as its words is done word by word.
-        """
-        letters = [_SMALL.fullmatch(w) is not None for w in words]
-        plain = [i for i, x in enumerate(letters) if x]
-        others = [i for i, x in enumerate(letters) if not x]
-        lines = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        lengths, parts, order = np.zeros(len(words), np.int64), [], []
-        encoded = self.lean.encode_batch_fast([" ".join(words[i] for i in line) for line in lines], add_special_tokens=False)
-        for line, found in zip(lines, encoded, strict=True):
-            ids = np.array(found.ids, np.uint32)
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) != len(line) or ends[-1] != len(ids):
-                others += line
-                continue
-            lengths[line] = np.diff(ends, prepend=0)
-            parts.append(ids)
-            order += line
-        for i, found in zip(others, self.tokenizer.encode_batch_fast([words[i] for i in others], add_special_tokens=False), strict=True):
-            lengths[i] = len(found.ids)
-            parts.append(np.array(found.ids, np.uint32))
-            order.append(i)
-        flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-        begin = np.zeros(len(words), np.int64)
-        begin[order] = np.cumsum(lengths[order]) - lengths[order]
-        return lengths, flat[ranges(begin, lengths)]
+            new = np.arange(len(keys))
+        if len(new):
+            order, lengths, flat = self.tokens(words.data, words.starts[first[new]], words.ends[first[new]])
+            at[new[order]] = self.count + np.arange(len(new))
+            self.add(keys[new[order]], lengths, flat)
+        return self.begin[at], self.begin[at + 1] - self.begin[at]
+
+    def tokens(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, number of ids of each word in that order, all ids end to end) of some words of data."""
+        size = ends - starts
+        line = data[np.minimum(ranges(starts, size + 1), len(data) - 1)]  # with a space after each
+        after = np.cumsum(size + 1) - 1
+        line[after] = 0x20
+        small = _SMALL[line]
+        accented = (line[:-1] == 0xC3) & _ACCENT[line[1:]]
+        small[:-1] |= accented
+        small[1:] |= accented
+        small[after] = True
+        plain = np.logical_and.reduceat(small, after - size)
+        own = np.repeat(plain, size + 1)
+        words = self.spelling[line[own]].tobytes().decode("utf-32-le").split(" ")[:-1]
+        others = line[~own].tobytes().decode("utf-8", "replace").split(" ")[:-1]
+        tokenize = self.model.tokenize
+        found = [[t.id for t in tokenize(w)] for w in words]
+        found += [x.ids for x in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), self.dtype, int(lengths.sum()))
+        return np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]), lengths, flat
 
     def encode(self, texts: pa.Array) -> Encoded:
-        """Some texts, each with its end id."""
-        parts = [pieces(texts.slice(low, high - low)) for low, high in wordhash.chunks(texts, 1 << 20)]
-        keys, code = coded([p.hashes() for p in parts])
-        spans = [(p.data.tobytes(), p.starts.astype(np.int32), p.ends.astype(np.int32)) for p in parts]
-        words = np.concatenate([np.empty(0, np.int64), *(p.counts for p in parts)])
-        before = np.cumsum([0, *(len(p.starts) for p in parts)])
-        del parts
-        first = np.empty(len(keys), np.int64)
-        first[code[::-1]] = np.arange(len(code))[::-1]
-
-        def spell(places: np.ndarray) -> list[str]:
-            out = [""] * len(places)
-            part = np.searchsorted(before, first[places], side="right") - 1
-            for k in np.unique(part).tolist():
-                (data, starts, ends), rows = spans[k], np.flatnonzero(part == k)
-                at = first[places[rows]] - before[k]
-                for row, low, high in zip(rows.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True):
-                    out[row] = data[low:high].decode("utf-8", "replace")
-            return out
-
-        ids, begin, lengths = self.find(keys, spell)
-        del spans, first
-        sums = np.concatenate([[0], np.cumsum(lengths[code])])
-        offsets = sums[np.concatenate([[0], np.cumsum(words)])] + np.arange(len(words) + 1)
-        out = np.full(int(offsets[-1]), END_ID, np.uint32)
+        """Some texts, each with its end id; a megabyte of text at a time, so that only ids and places are kept of all."""
+        ids, sizes, words = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        known, codes = [], []
+        for low, high in wordhash.chunks(texts, 1 << 20):
+            part = pieces(texts.slice(low, high - low))
+            keys, code = coded([part.hashes()])
+            first = np.empty(len(keys), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            begin, lengths = self.find(keys, part, first)
+            sums = np.concatenate([[0], np.cumsum(lengths[code])])
+            ends = sums[part.first[1:]] + np.arange(1, high - low + 1)
+            out = np.full(int(ends[-1]), END_ID, np.uint32)
+            inside = np.ones(len(out), dtype=bool)
+            inside[ends - 1] = False
+            out[inside] = np.concatenate([self.ids[:0], *self._ids(begin, lengths, code)])
+            ids.append(out)
+            sizes.append(np.diff(ends, prepend=0))
+            words.append(part.counts)
+            known.append(keys)
+            codes.append(code)
+            del part, first, begin, lengths, sums, inside
+            trim()
+        keys, again = coded(known)
+        low = 0
+        for i, own in enumerate(known):
+            codes[i] = again[low : low + len(own)][codes[i]]
+            low += len(own)
+        words, offsets = np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         doc = np.repeat(np.arange(len(words), dtype=np.int32), words)
+        return Encoded(np.concatenate(ids), offsets, doc, keys, np.concatenate([np.empty(0, np.int32), *codes]))
+
+    def _ids(self, begin: np.ndarray, lengths: np.ndarray, code: np.ndarray) -> Iterator[np.ndarray]:
         for low in range(0, len(code), 1 << 18):  # index arrays take many bytes an id
-            own = slice(low, min(low + (1 << 18), len(code)))
-            n = lengths[code[own]]
-            out[ranges(sums[own] + doc[own], n)] = ids[ranges(begin[code[own]], n)]
-        return Encoded(out, offsets, doc, keys, code)
+            own = code[low : low + (1 << 18)]
+            yield self.ids[ranges(begin[own], lengths[own])]
+
+
+def _longer(values: np.ndarray, n: int) -> np.ndarray:
+    """With room for n values and, where they are too few, some more."""
+    return values if n <= len(values) else np.concatenate([values, np.zeros(n + n // 4 - len(values), values.dtype)])
 
 
 @lru_cache(maxsize=1)
@@ -195,36 +223,31 @@ def pieces(texts: pa.Array) -> wordhash.Words:
     It maps capitals to small letters, so A-Z do so here, unless a special token might be spelled out.  And
     it always cuts between a letter or digit and a sign, so the signs at a word's end are a word of their own.
     """
-    words = wordhash.split_words(texts)
-    if b"<|" in words.data.tobytes() or not len(words.starts):
-        return words
-    data = wordhash.ASCII_LOWER[words.data]
-    signed = np.flatnonzero(_SIGN[data[words.ends - 1]])
-    first, last = words.starts[signed], _before_signs(data, words.starts[signed], words.ends[signed] - 1)
-    letter = _PLAIN[data[last]]
-    accented = (data[last] >= 0x80) & (data[last] != 0x97) & (data[last] != 0xB7) & (data[last - 1] == 0xC3)
-    apart = (last >= first) & (letter | accented & (last > first))
-    cut = np.zeros(len(words.starts), dtype=bool)
-    cut[signed[apart]] = True
-    times = 1 + cut.astype(np.int64)
-    starts, ends = np.repeat(words.starts, times), np.repeat(words.ends, times)
-    tail = np.cumsum(times)[cut] - 1
-    starts[tail] = last[apart] + 1
-    ends[tail - 1] = last[apart] + 1
-    return wordhash.Words(data, starts, ends, np.concatenate([[0], np.cumsum(times)])[words.first])
-
-
-def _before_signs(data: np.ndarray, starts: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The last byte of each span that is no sign, or one before its start; last: of each span."""
+    data, offsets = wordhash.utf8(texts)
+    start, end = wordhash.edges(data, offsets)
+    if b"<|" not in data.tobytes():
+        data = wordhash.ASCII_LOWER[data]
+        signed = np.flatnonzero(end & _SIGN[data])
+        last = _before_signs(data, start, signed)
+        accented = (data[last] >= 0x80) & (data[last] != 0x97) & (data[last] != 0xB7) & (data[last - 1] == 0xC3)
+        last = last[_PLAIN[data[last]] | accented & ~start[last]]
+        end[last] = True
+        start[last + 1] = True
+    starts = np.flatnonzero(start)
+    return wordhash.Words(data, starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets))
+
+
+def _before_signs(data: np.ndarray, start: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The last byte of each word that is no sign, or its first byte; start: of words, last: of each word."""
     last = last.copy()
     left = np.arange(len(last))
     for _ in range(SIGNS):  # most words end in one sign or two
-        left = left[(last[left] >= starts[left]) & _SIGN[data[last[left]]]]
+        left = left[_SIGN[data[last[left]]] & ~start[last[left]]]
         if not len(left):
             return last
         last[left] -= 1
-    place = np.where(_SIGN[data], -1, np.arange(len(data), dtype=np.int32))
-    last[left] = np.maximum(np.maximum.accumulate(place)[np.maximum(last[left], 0)], starts[left] - 1)
+    place = np.where(_SIGN[data] & ~start, -1, np.arange(len(data), dtype=np.int32))
+    last[left] = np.maximum.accumulate(place)[last[left]]
     return last
 
 
@@ -272,16 +295,20 @@ class Index:
         return out
 
     def build(self, doc: np.ndarray, keys: np.ndarray, code: np.ndarray, n: int, corpus: Corpus | None) -> None:
-        self.n = n
-        pair, times = np.unique(code.astype(np.int64) * max(n, 1) + doc, return_counts=True)
+        pair = (code.astype(np.int64) << 32) | doc
+        pair.sort()
+        edge = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+        times = np.diff(edge, append=len(pair)).astype(np.int32)
+        pair = pair[edge]
+        del edge
         size = np.bincount(doc, minlength=n)
-        term = pair // max(n, 1)
+        term, self.doc = (pair >> 32).astype(np.int32), pair.astype(np.int32)  # the low half
+        del pair
         df = np.bincount(term, minlength=len(keys))
         # words of one document alone are never asked for
         twice = df > 1
         own = twice[term]
-        term, self.doc, times = (np.cumsum(twice) - 1)[term[own]], pair[own] % max(n, 1), times[own]
-        del pair
+        term, self.doc, times = (np.cumsum(twice, dtype=np.int32) - 1)[term[own]], self.doc[own], times[own]
         keys, df = keys[twice], df[twice]
         total, mean, every = (n, size.mean() if n else 1, df)
         if corpus is not None:
@@ -289,26 +316,31 @@ class Index:
         idf = np.log1p((total - every + 0.5) / (every + 0.5))
         length = K1 * (1 - B + B * size / max(mean, 1))
         self.weight = idf[term] * times * (K1 + 1) / (times + length[self.doc])
-        order = np.argsort(self.doc, kind="stable")
-        self.words = term[order]  # of each document its shared words
-        self.first = np.searchsorted(self.doc[order], np.arange(n + 1))
+        asked = (self.doc.astype(np.int64) << 32) | term
+        asked.sort()
+        self.words = asked.astype(np.int32)  # of each document its shared words
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
+        del asked
+        self.live = np.arange(n)  # documents that may still be found; postings and columns of weights are by place among them
         # a word that many documents hold has a row of weights, the others have postings
         common = np.argsort(-df, kind="stable")[:COMMON]
         common = common[df[common] * FREQUENT > n]
         self.row = np.full(len(df), len(common))
         self.row[common] = np.arange(len(common))
         dense = self.row[term] < len(common)
-        self.rows = np.zeros((len(common) + 1, n))
+        self.rows = np.zeros((len(common), n))
         self.rows[self.row[term[dense]], self.doc[dense]] = self.weight[dense]
         rare = np.bincount(term[~dense], minlength=len(df))
         self.doc, self.weight = self.doc[~dense], self.weight[~dense]
         self.begin = np.concatenate([[0], np.cumsum(rare)])
 
     def forget(self, unused: np.ndarray) -> None:
-        """Leaves used documents out of the postings; their words can still be asked for."""
-        kept = unused[self.doc]
+        """Leaves used documents out of postings and weights; their words can still be asked for."""
+        stays = unused[self.live]
+        kept = stays[self.doc]
         self.begin = np.concatenate([[0], np.cumsum(kept)])[self.begin]
-        self.doc, self.weight = self.doc[kept], self.weight[kept]
+        self.doc, self.weight = (np.cumsum(stays, dtype=np.int32) - 1)[self.doc[kept]], self.weight[kept]
+        self.rows, self.live = np.compress(stays, self.rows, axis=1), self.live[stays]
 
     def neighbours(self, seed: int, unused: np.ndarray, most: int | None = None) -> list[int]:
         """Unused documents that share words with the seed, best first; all of them without `most`."""
@@ -316,16 +348,17 @@ class Index:
         if not len(asked):
             return []
         at = ranges(self.begin[asked], self.begin[asked + 1] - self.begin[asked])
-        held = np.zeros(len(self.rows))
-        held[self.row[asked]] = 1
-        score = held @ self.rows + np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
-        score[~unused] = 0  # every weight is positive
+        row = self.row[asked]
+        score = np.bincount(self.doc[at], weights=self.weight[at], minlength=len(self.live))
+        row = row[row < len(self.rows)]
+        score = score + sum(self.rows[row[i : i + 32]].sum(axis=0) for i in range(0, len(row), 32))
+        score[~unused[self.live]] = 0  # every weight is positive
         score = np.ceil(score * 1e9)  # sums in another order are still ties
         docs = np.flatnonzero(score)
         if most is not None and len(docs) > most:
             least = np.partition(score[docs], len(docs) - most)[len(docs) - most]
             docs = docs[score[docs] >= least]  # with its ties
-        return docs[np.argsort(-score[docs], kind="stable")].tolist()
+        return self.live[docs[np.argsort(-score[docs], kind="stable")]].tolist()
 
 
 def fill(sizes: np.ndarray, index: Index, window: int = WINDOW, kind: np.ndarray | None = None) -> list[list[tuple[int, int, int]]]:
@@ -498,13 +531,16 @@ def _pack(path: str, window: int, with_ids: bool) -> Callable:
         del counts
         table = table.sort_by([("rank", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
         ids, texts = table["doc_id"].combine_chunks(), table["text"].combine_chunks()
-        found = shared_tokenizer(path).encode(texts)
+        del table
         kind = texts.cast(pa.large_string()).fill_null("").dictionary_encode().indices.to_numpy()
-        del texts, table
+        found = shared_tokenizer(path).encode(texts)
+        del texts
+        trim()
         tokens, offsets = found.ids, found.offsets
         sizes = np.diff(offsets)
         index = Index.of(found, corpus)
         del found
+        trim()
         made = fill(sizes, index, window, kind)
         del index
         if made and sum(n for _, _, n in made[-1]) < window:

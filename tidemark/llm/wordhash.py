@@ -97,6 +97,13 @@ def split_words(texts: pa.Array, lower: bool = False, separator: np.ndarray = SE
     data, offsets = utf8(texts)
     if lower:
         data = ASCII_LOWER[data]
+    start, end = edges(data, offsets, separator)
+    starts = np.flatnonzero(start)
+    return Words(data, starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets))
+
+
+def edges(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each byte of some texts is the first of a word, and whether it is the last."""
     inside = ~separator[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
@@ -104,8 +111,7 @@ def split_words(texts: pa.Array, lower: bool = False, separator: np.ndarray = SE
     if len(data):
         start[1:] &= ~inside[:-1] | edge[1:-1]
         end[:-1] &= ~inside[1:] | edge[1:-1]
-    starts = np.flatnonzero(start)
-    return Words(data, starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets))
+    return start, end
 
 
 def shingles(words: Words, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
