@@ -77,7 +77,7 @@ def test_encoding_takes_a_few_bytes_a_byte_of_text():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     kept = found.ids.nbytes + found.doc.nbytes + found.code.nbytes
-    assert most < 2 * kept + (24 << 20)
+    assert most < 1.5 * kept + (16 << 20)
 
 
 def test_used_documents_leave_the_rows_of_common_words():
