@@ -1,12 +1,14 @@
 """Running sums, suffix maxima, quantiles and smoothing by pieces, against plain versions."""
 
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.operators import metrics, prefix, segment
 
 
@@ -54,6 +56,66 @@ def test_one_curve_is_the_same_in_pieces(spark):
     assert whole[2][2:] == (170, 0.0, 0.0, 0.0, 0.0)
 
 
+def plain_precision(rows, n_truth):
+    """(ap, recall) by threshold of (conf, hits, counted, n)."""
+    out = []
+    for k in range(len(metrics.THRESHOLDS)):
+        tp, n, curve = 0, 0, []
+        for conf in sorted({r[0] for r in rows if r[2] >> k & 1}, reverse=True):
+            level = [r for r in rows if r[0] == conf and r[2] >> k & 1]
+            tp, n = tp + sum(r[3] for r in level if r[1] >> k & 1), n + sum(r[3] for r in level)
+            curve.append((tp / n_truth, tp / n))
+        points = [max((p for r, p in curve if math.floor(r * 100 + 1e-9) >= x), default=0) for x in range(101)]
+        out.append((sum(points) / 101, curve[-1][0] if curve else 0))
+    return out
+
+
+@pytest.mark.parametrize("range_rows", [1 << 20, 300, 20])
+def test_precision_of_detections_against_a_plain_version(spark, range_rows):
+    rng = random.Random(11)
+
+    def some(count, conf):
+        marks = [(rng.randrange(1024), rng.choice([1023, 1008, 31])) for _ in range(count)]
+        return [(conf(), hits & counted, counted, rng.choice([1, 1, 3])) for hits, counted in marks]
+
+    groups = {
+        (0, "few"): some(4, rng.random), (1, None): some(300, lambda: round(rng.random(), 2)), (None, "all"): some(200, lambda: rng.choice([-math.inf, -1.0, 0.0, 2.5])),
+        (1, "long"): some(1500, rng.random), (1, "one"): some(700, lambda: 0.5), (2, "none"): [],
+    }
+    rows = [(*g, *r) for g, found in groups.items() for r in found] + [(0, "few", c, 1023, 1023, 5) for c in (None, math.nan)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "cls int, bin string, conf double, hits int, counted int, n long").repartition(5)
+    truth = spark.createDataFrame([(*g, 2 * sum(r[3] for r in found) + 7) for g, found in groups.items()] + [(3, "empty", 0)], "cls int, bin string, n_truth long")
+    got = {(r.cls, r.bin): tuple(r)[2:] for r in metrics.precision_of(df, truth, range_rows).collect()}
+    assert got.pop((3, "empty")) == (0, None, None, None, None) and set(got) == set(groups)
+    for g, found in groups.items():
+        n = 2 * sum(r[3] for r in found) + 7
+        by = plain_precision(found, n)
+        assert got[g] == (n, *(pytest.approx(x, abs=1e-12) for x in (np.mean([a for a, _ in by]), by[0][0], by[5][0], np.mean([r for _, r in by]))))
+
+
+def test_ranges_from_bounds_keep_order(spark):
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 1999).cast("double").alias("c"))
+    got = prefix.ranged(df, ["g"], "c", 1000).groupBy("g", "_range").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).orderBy("g", "_range").collect()
+    assert len(got) >= 14 and max(r.n for r in got) <= 2500 and sum(r.n for r in got) == 20_000
+    assert all(a.g != b.g or a.lo > b.hi for a, b in zip(got, got[1:]))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_e1_curve_writes_no_row_for_each_threshold(spark, monkeypatch):
+    """A detection is one row for all thresholds: nothing as long as the table, or ten times that, is written beside it."""
+    written = []
+
+    def counted(rows, *args, own=prefix.kept):
+        found = own(rows, *args)
+        written.append(found.count())
+        return found
+
+    monkeypatch.setattr(prefix, "kept", counted)
+    found = catalog.QUERIES["e1_curve"](spark, "/root/testdata/sf0.001")
+    assert found.count() == 12 and max(written) < 3000
+
+
 @pytest.mark.parametrize(("buckets", "few"), [(1024, 4096), (8, 2)])
 def test_quantiles_against_sorted_values(spark, monkeypatch, buckets, few):
     monkeypatch.setattr(prefix, "BUCKETS", buckets)

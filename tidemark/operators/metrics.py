@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators import prefix
 from tidemark.operators.match import STACK, Stack, by_bucket, stacks
@@ -98,43 +100,93 @@ def scored_detections(predictions: DataFrame, truth: DataFrame, keys: list[str],
 def average_precision(scored: DataFrame, range_rows: int = prefix.RANGE_ROWS) -> DataFrame:
     """By class and bin: ap (mean over thresholds), ap50, ap75, ar; null without boxes to find.
 
-    Precision at 101 recalls: the best precision at that recall or a higher one.  Counts of equal confidence are added up first;
-    running sums and the best precision further down go by ranges of confidences, so no curve is one task.
+    scored: from `scored_detections`; it is written once.
     """
-    scored = scored.withColumn("conf", F.nanvl("conf", F.lit(None)))
+    scored = prefix.kept(scored, "scored")
     truth = scored.groupBy("cls", "bin").agg(F.sum("n_truth").alias("n_truth"))
-    by = ["cls", "bin", "iou"]
-    levels = scored.where("conf is not null").groupBy(*by, "conf").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
-    levels = levels.withColumns({"own_tp": F.col("tp"), "own_n": F.col("n")})
-    sums = prefix.running(prefix.cut(levels, by, "conf", range_rows), by, "conf", ["tp", "n"])
-    curve = prefix.best_below(sums.withColumn("precision", F.col("tp") / F.col("n")), by, "conf", "precision", "best").join(truth, ["cls", "bin"])
-
-    def steps(tp: Column) -> Column:
-        return F.floor(F.try_divide(tp, F.col("n_truth")) * (RECALL_POINTS - 1) + 1e-9)
-
-    # a level reaches the recall points above the level before it
-    before = F.when(F.col("n") == F.col("own_n"), F.lit(-1)).otherwise(F.coalesce(steps(F.col("tp") - F.col("own_tp")), F.lit(-1)))
-    areas = (
-        curve.withColumn("area", (steps(F.col("tp")) - before) * F.col("best"))
-        .groupBy(*by)
-        .agg((F.sum("area") / RECALL_POINTS).alias("ap"), F.max(F.try_divide("tp", "n_truth")).alias("ar"))
-    )
-    every = truth.withColumn("iou", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS]))).join(
-        areas, ["cls", "bin", "iou"], "left"
-    )
+    bit = F.lit(0)
+    for k, t in enumerate(THRESHOLDS):
+        bit = F.when(F.col("iou") == t, 1 << k).otherwise(bit)
+    found, missed = F.struct(bit.alias("hits"), F.col("tp").alias("n")), F.struct(F.lit(0).alias("hits"), (F.col("n") - F.col("tp")).alias("n"))
+    detections = scored.select("cls", "bin", "conf", bit.alias("counted"), F.explode(F.array(found, missed)).alias("x"))
+    return precision_of(detections.select("cls", "bin", "conf", "x.hits", "counted", "x.n").where("n > 0 AND counted > 0"), truth, range_rows)
+
 
-    def known(c: str):
+def precision_of(detections: DataFrame, truth: DataFrame, range_rows: int = prefix.RANGE_ROWS) -> DataFrame:
+    """E1, the same of detections that stand once for all thresholds: cls, bin, conf, hits, counted, n; truth: cls, bin, n_truth.
+
+    Bit k of hits and counted is threshold k's.  Precision at 101 recalls: the best precision at that recall or a higher one.  Equal confidences
+    enter together.  A range of confidences learns from the totals of those before it where its sums begin, and gives its best precisions and
+    the few levels that reach a recall point.  So no curve is one task, and a detection is one short row, shuffled once, or twice where equal
+    confidences are so many that they are counted first.
+    """
+    by, place = ["cls", "bin"], ["cls", "bin", prefix.RANGE]
+    known = detections.withColumn("conf", F.nanvl(F.col("conf").cast("double"), F.lit(None))).where("conf IS NOT NULL")
+    rows = prefix.ranged(known, by, "conf", range_rows)
+    masks = prefix.kept(rows.groupBy(*place, "hits", "counted").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "masks")
+    most = masks.groupBy(*place).agg(F.sum("rows").alias("rows")).agg(F.max("rows")).first()[0] or 0
+    # only a confidence of very many rows makes a range long
+    levels = rows if most <= 2 * range_rows else rows.groupBy(*place, "conf", "hits", "counted").agg(F.sum("n").alias("n"))
+    masks = masks.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(len(THRESHOLDS))])))
+
+    def total(mask: str) -> Column:
+        return F.sum(F.when(F.expr(f"shiftright({mask}, k) & 1") == 1, F.col("n")).otherwise(0))
+
+    ahead = Window.partitionBy(*by, "k").orderBy(prefix.RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    before = masks.groupBy(*place, "k").agg(total("hits").alias("tp"), total("counted").alias("n"))
+    before = before.select(*place, "k", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("tp", "n")])
+    before = prefix.joined(before, truth, by).toDF("own_cls", "own_bin", "own_range", "k", "tp", "n", "n_truth")
+    found = levels.groupBy(*place).cogroup(before.groupBy("own_cls", "own_bin", "own_range")).applyInArrow(_reached, f"cls int, bin string, {prefix.RANGE} int, k int, points double, best double, recall double")
+    # places rise as confidence falls
+    lower = Window.partitionBy(*by, "k").orderBy(-F.col(prefix.RANGE)).rangeBetween(Window.unboundedPreceding, -1)
+    area = F.col("points") * F.greatest("best", F.max("best").over(lower))
+    areas = found.withColumn("area", area).groupBy(*by, "k").agg((F.sum("area") / RECALL_POINTS).alias("ap"), F.max("recall").alias("ar"))
+    every = truth.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(len(THRESHOLDS))])))
+    every = prefix.joined(every, areas, [*by, "k"])
+
+    def known_of(c: str) -> Column:
         return F.when(F.col("n_truth") > 0, F.coalesce(c, F.lit(0.0)))
 
     return every.groupBy("cls", "bin").agg(
         F.max("n_truth").alias("n_truth"),
-        F.avg(known("ap")).alias("ap"),
-        F.max(F.when(F.col("iou") == 0.5, known("ap"))).alias("ap50"),
-        F.max(F.when(F.col("iou") == 0.75, known("ap"))).alias("ap75"),
-        F.avg(known("ar")).alias("ar"),
+        F.avg(known_of("ap")).alias("ap"),
+        F.max(F.when(F.col("k") == THRESHOLDS.index(0.5), known_of("ap"))).alias("ap50"),
+        F.max(F.when(F.col("k") == THRESHOLDS.index(0.75), known_of("ap"))).alias("ap75"),
+        F.avg(known_of("ar")).alias("ar"),
     )
 
 
+def _reached(levels: pa.Table, before: pa.Table) -> pa.Table:
+    """One range by threshold: levels that reach recall points, with the best precision from them on within the range, and a row without points for the whole range."""
+    conf, hits, counted, n = (levels[c].to_numpy() for c in ("conf", "hits", "counted", "n"))
+    order = np.argsort(-conf, kind="stable")
+    conf, hits, counted, n = conf[order], hits[order], counted[order], n[order]
+    ends = np.append(np.flatnonzero(conf[1:] != conf[:-1]), len(conf) - 1)
+    parts = []
+    for r in before.to_pylist():
+        if not r["n_truth"] or r["n_truth"] < 0:
+            continue
+        tp, all_n = (np.cumsum(n * (x >> r["k"] & 1))[ends] + r[c] for x, c in ((hits, "tp"), (counted, "n")))
+        there = np.diff(all_n, prepend=r["n"]) > 0  # a level of this threshold
+        tp, all_n = tp[there], all_n[there]
+        if not len(tp):
+            continue
+        recall = tp / r["n_truth"]
+        best = np.maximum.accumulate((tp / all_n)[::-1])[::-1]
+        steps = np.floor(recall * (RECALL_POINTS - 1) + 1e-9)
+        # a level reaches the recall points above the level before it
+        first = np.floor(r["tp"] / r["n_truth"] * (RECALL_POINTS - 1) + 1e-9) if r["n"] else -1.0
+        points = np.diff(steps, prepend=first)
+        at = np.flatnonzero(points)
+        parts.append((r, np.append(points[at], 0.0), np.append(best[at], best[0]), np.append(recall[at], recall[-1])))
+    sizes = [len(p[1]) for p in parts]
+    kinds = {"own_cls": pa.int32(), "own_bin": pa.string(), "own_range": pa.int32(), "k": pa.int32()}
+    same = {c: [r[c] for (r, *_), size in zip(parts, sizes, strict=True) for _ in range(size)] for c in kinds}
+    numbers = [np.concatenate([p[i] for p in parts] or [np.empty(0)]) for i in (1, 2, 3)]
+    named = pa.table({c: pa.array(same[c], kind) for c, kind in kinds.items()} | dict(zip(("points", "best", "recall"), numbers, strict=True)))
+    return named.rename_columns(["cls", "bin", prefix.RANGE, "k", "points", "best", "recall"])
+
+
 def operating_points(curve: DataFrame, sizes: DataFrame, false_rate: float = 0.3, recall: float = 0.9) -> DataFrame:
     """One row: the best threshold under the false-box rate, and the first of the wanted tiny recall.
 

@@ -4,6 +4,8 @@
 window over those gives each range what lies before it, and windows within the ranges do the rest.  A group of any size is as many
 tasks' work as it has ranges.
 
+`ranged` names the ranges without writing the rows: its bounds come from a sample, and any later step finds a row's range from them.
+
 `quantiles` finds order statistics by histograms: counts by bucket of each group's values, then the same for the bucket that holds the
 wanted rank, until that is one value or a few; nothing is sorted and no group's values come together.
 """
@@ -19,6 +21,7 @@ from pyspark.sql.window import Window
 from tidemark.sources.folders import scratch
 
 RANGE_ROWS = 1 << 20  # rows of a range, about
+RANGE_SAMPLES = 60  # rows of a sample for each range
 BUCKETS, FEW, MOST_ROUNDS = 1024, 4096, 400
 RANGE = "_range"
 LARGEST = sys.float_info.max
@@ -37,6 +40,25 @@ def cut(rows: DataFrame, by: list[str], order: str, range_rows: int = RANGE_ROWS
     return spark.read.schema(dealt.schema).parquet(path)
 
 
+def ranged(rows: DataFrame, by: list[str], order: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """rows with _range as `cut` has it, a group's from 0 on; rows: cheap to read twice, `order` known.
+
+    Only the bounds are written: some rows of a sample of each group, in falling order.  A row's range is the number of bounds above it.
+    """
+    some = min(RANGE_SAMPLES, range_rows)
+    drawn = rows.sample(some / range_rows, seed=1).groupBy(*by).agg(F.sort_array(F.collect_list(order), asc=False).alias("_drawn"))
+    every = F.array_distinct(F.filter("_drawn", lambda _, i: i % some == some - 1))
+    bounds = kept(drawn.select(*by, every.alias("_bounds")).where(F.size("_bounds") > 0), "bounds")
+    most = bounds.agg(F.max(F.size("_bounds"))).first()[0]
+    if not most:
+        return rows.withColumn(RANGE, F.lit(0))
+    found = joined(rows, F.broadcast(bounds), by).withColumn(RANGE, F.lit(0))
+    for step in (1 << k for k in reversed(range(most.bit_length()))):
+        above = F.get("_bounds", F.col(RANGE) + F.lit(step - 1)) > F.col(order)
+        found = found.withColumn(RANGE, F.col(RANGE) + F.when(above, step).otherwise(0))
+    return found.drop("_bounds")
+
+
 def running(cuts: DataFrame, by: list[str], order: str, sums: list[str]) -> DataFrame:
     """Cumulative sums from the highest `order` down, in place of the columns; cuts: from `cut`, one row for each (by, order)."""
     totals = cuts.groupBy(*by, RANGE).agg(*[F.sum(c).alias(f"_{c}") for c in sums])

@@ -183,20 +183,12 @@ def e2_operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e1_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1, average precision alone: order lines as judged detections of four bins."""
-    rows = t.table(spark, sf_dir, "lineitem")
-    found = rows.select(
-        (F.col("l_linenumber") % 2).cast("int").alias("cls"), F.concat("l_returnflag", "l_linestatus").alias("bin"),
-        F.explode(F.array(*[F.lit(x) for x in metrics.THRESHOLDS])).alias("iou"), "l_extendedprice", "l_discount", "l_quantity",
-    )
-    judged = found.select(
-        "cls", "bin", "iou", F.col("l_extendedprice").alias("conf"), (F.col("l_discount") > F.col("iou") / 10 - 0.0025).cast("long").alias("tp"),
-        F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("n_truth"),
-    )
-    truth = rows.select(
-        (F.col("l_linenumber") % 2).cast("int").alias("cls"), F.concat("l_returnflag", "l_linestatus").alias("bin"),
-        *[F.lit(None).cast("double").alias(c) for c in ("iou", "conf")], *[F.lit(0).cast("long").alias(c) for c in ("tp", "n")], F.lit(1).cast("long").alias("n_truth"),
+    rows = t.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_linenumber") % 2).cast("int").alias("cls"), F.concat("l_returnflag", "l_linestatus").alias("bin"), F.col("l_extendedprice").alias("conf"), "l_discount"
     )
-    found = metrics.average_precision(judged.unionByName(truth))
+    hits = sum((F.when(F.col("l_discount") > F.lit(x) / 10 - 0.0025, 1 << k).otherwise(0) for k, x in enumerate(metrics.THRESHOLDS)), F.lit(0))
+    judged = rows.select("cls", "bin", "conf", hits.alias("hits"), F.lit((1 << len(metrics.THRESHOLDS)) - 1).alias("counted"), F.lit(1).cast("long").alias("n"))
+    found = metrics.precision_of(judged, rows.groupBy("cls", "bin").agg(F.count("*").alias("n_truth")))
     return found.select("cls", "bin", "n_truth", *[F.round(c, 6).alias(c) for c in ("ap", "ap50", "ap75", "ar")])
 
 
